@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
 
-from . import bpe_trie, packing, sharding, token_files
+from . import bpe_trie, fingerprints, licenses, packing, quality, sharding, token_files
 from .common import documents
 
 
@@ -19,11 +19,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.measure(documents(spark, sf_dir)).drop("text")
+    kept = Scratch(spark, "op1").keep(measured, "measures")  # without texts; read for the sketches and for the verdicts
+    judged = quality.judge(kept, quality.thresholds(kept))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = [f"shard-{i:03d}" for i in range(64)]
     return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id", shards).select("doc_id", "slot", "shard")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(documents(spark, sf_dir))
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -32,6 +43,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "op9").path("tokens")
     token_files.write_tokens(documents(spark, sf_dir), folder, vocabulary("word_bpe_49k.json"))
@@ -39,9 +54,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_sharding": op3_sharding,
+    "op4_fingerprints": op4_fingerprints,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_packing": op6_packing,
+    "op8_licenses": op8_licenses,
     "op9_token_files": op9_token_files,
 }
 
