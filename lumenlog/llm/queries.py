@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
 
-from . import bpe_trie, fingerprints, licenses, packing, quality, sharding, token_files
+from . import bpe_trie, fingerprints, licenses, near_dup, packing, quality, sharding, token_files
 from .common import documents
 
 
@@ -43,6 +43,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(documents(spark, sf_dir), Scratch(spark, "op7"), width=2)
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_packing": op6_packing,
+    "op7_near_dup": op7_near_dup,
     "op8_licenses": op8_licenses,
     "op9_token_files": op9_token_files,
 }
