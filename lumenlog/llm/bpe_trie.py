@@ -24,20 +24,19 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 #: Words whose encodings a worker keeps.
 MOST_WORDS = 500_000
 #: Pairs of tokens whose verdict a worker keeps.
 MOST_PAIRS = 1_000_000
-#: Words of byte-level vocabularies; a fixed pattern that decides where words end.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: The same words by the standard module, which is faster, for texts without the characters in ``ODD``.
-PLAIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-#: Any character outside those that both modules are known to class alike: Latin letters, common
-#: marks and quotes, without the separators 1C-1F and the numbers that are no decimal digits.
+#: Fixed pattern of the words of byte-level vocabularies, for texts without a character in ``ODD``.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Any character outside those that the standard module is known to class as the library does:
+#: Latin letters, common marks and quotes, without the separators 1C-1F and the numbers that are no
+#: decimal digits. Texts with one are cut into words by the library.
 ODD = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u20ac]"
 NEVER = 1 << 60
 
@@ -154,10 +153,11 @@ class TextCoder:
 
     def __init__(self, path: str):
         self.bpe = Bpe(path)
-        self.find, self.find_plain, self.odd = regex.compile(WORDS).findall, re.compile(PLAIN_WORDS).findall, re.compile(ODD).search
+        self.find, self.odd = re.compile(WORDS).findall, re.compile(ODD).search
+        self.spans = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
         self.decimals: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.bpe.special)) + ")").split
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")").split
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.decimals)
@@ -174,8 +174,11 @@ class TextCoder:
     def words(self, text: str) -> list[str]:
         """Words and special tokens, in order."""
         if any(s in text for s in self.bpe.special):
-            return [w for i, part in enumerate(self.cut(text)) for w in ([part] if i % 2 else self.find(part))]
-        return self.find(text) if self.odd(text) else self.find_plain(text)
+            return [w for i, part in enumerate(self.cut(text)) for w in ([part] if i % 2 else self.plain_words(part))]
+        return self.plain_words(text)
+
+    def plain_words(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.spans(text)] if self.odd(text) else self.find(text)
 
     def run(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text its ids, as decimals joined by commas, and the bytes that they decode to."""

@@ -40,6 +40,8 @@ PER_PIVOT = 200
 ROUNDS, FEW_PAIRS = 6, 4
 #: Ids of texts to fetch that may be broadcast; 16 bytes each.
 MOST_BROADCAST = 20_000
+#: Ids of documents to leave out that may be broadcast; 8 bytes each.
+MOST_DROPPED = 200_000
 
 
 def sketch(shingles: np.ndarray, size: int = COORDINATES) -> np.ndarray:
@@ -178,3 +180,17 @@ def groups(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc
         placed = placed.select("id", F.col("node").alias("component"))
     out = signed.select("id", "n_shingles").join(placed, "id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id), "n_shingles", "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc_id", width: int = 5, lower: bool = True, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents that :func:`groups` doesn't keep; of rows with one id, one stays.
+
+    The ids left out are broadcast if they are counted to be few; else the join shuffles texts by id.
+    """
+    found = scratch.keep(groups(docs, scratch, text, id, width, lower, percent), "groups")
+    gone = found.where("NOT kept").select(id).distinct()
+    few = gone.limit(MOST_DROPPED + 1).count() <= MOST_DROPPED
+    left = docs.join(F.broadcast(gone) if few else gone, id, "left_anti")
+    if found.where(F.col(id).isNotNull()).groupBy(id).count().where("count > 1").limit(1).count():
+        left = left.where(F.col(id).isNotNull()).dropDuplicates([id]).union(left.where(F.col(id).isNull()))
+    return left

@@ -148,3 +148,14 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     for rule, value in rates().items():
         passed &= value <= F.col(f"most_{rule}")
     return keyed.join(limits, ["lang_key", "source_key"], "left").withColumn("kept", F.coalesce(passed, F.lit(False))).drop("lang_key", "source_key", *[f"most_{rule}" for rule in RULES])
+
+
+def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, with its columns.
+
+    Measures twice, for the sketches and for the verdicts, so that texts are never shuffled.
+    """
+    limits = thresholds(measure(docs.select("lang", "source", text), text))
+    wanted = docs.select("*", *[F.col(c).alias(f"_own_{c}") for c in docs.columns])
+    judged = judge(measure(wanted, text), limits).where("kept")
+    return judged.select(*[F.col(f"_own_{c}").alias(c) for c in docs.columns])

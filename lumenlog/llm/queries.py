@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
 
-from . import bpe_trie, fingerprints, licenses, near_dup, packing, quality, sharding, token_files
+from . import bpe_trie, fingerprints, licenses, near_dup, packing, quality, sharding, substrings, token_files
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir), Scratch(spark, "op2"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = [f"shard-{i:03d}" for i in range(64)]
     return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id", shards).select("doc_id", "slot", "shard")
@@ -59,6 +63,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe_trie": op5_bpe_trie,

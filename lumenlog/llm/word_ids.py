@@ -16,16 +16,14 @@ import re
 import unicodedata
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
 MOST_WORDS = 500_000
 MOST_CHUNKS = 500_000
-#: Fixed pattern of the vocabulary's words, after lower-casing.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-#: The same by the standard module, for texts without a character in ``ODD``.
-PLAIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
-#: Any character outside those that both modules are known to class alike.
+#: Fixed pattern of the vocabulary's words, after lower-casing, for texts without a character in ``ODD``.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+#: Any character outside those that the standard module is known to class as the library does;
+#: chunks with one are encoded by the library.
 ODD = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€]"
 #: The rules for which words are independent, as the vocabulary file states them.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -48,8 +46,8 @@ class WordIds:
             self.ends[at] = token.endswith(WORD_END)
         rules = made.get("normalizer") or {}
         self.independent = [x["type"] for x in rules.get("normalizers", [])] == NORMALIZERS and made["model"].get("end_of_word_suffix") == WORD_END
-        self.find, self.find_plain, self.odd = regex.compile(WORDS).findall, re.compile(PLAIN_WORDS).findall, re.compile(ODD).search
-        self.blank, self.separator = regex.compile(r"\p{White_Space}+"), re.compile("[\x1c-\x1f]").search
+        self.find, self.odd = re.compile(WORDS).findall, re.compile(ODD).search
+        self.blank, self.separator = re.compile(r"[^\S\x1c-\x1f]+").split, re.compile("[\x1c-\x1f]").search
         self.known: dict[str, bytes] = {}
         self.chunk_ids: dict[str, bytes] = {}
 
@@ -57,14 +55,17 @@ class WordIds:
         """What stands between white space; no word reaches across it."""
         text = unicodedata.normalize("NFC", text)
         text = text.lower() if text.isascii() else text.replace("Σ", "σ").lower()
-        return self.blank.split(text) if self.separator(text) else text.split()
+        return self.blank(text) if self.separator(text) else text.split()
 
     def learn(self, chunks: set[str]) -> None:
         new = chunks.difference(self.chunk_ids)
         if len(self.chunk_ids) + len(new) > MOST_CHUNKS:
             self.chunk_ids.clear()
             new = chunks
-        words = [self.find(c) if self.odd(c) else self.find_plain(c) for c in new]
+        odd = [c for c in new if self.odd(c)]
+        self.chunk_ids |= {c: np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in odd}
+        new = new.difference(odd)
+        words = [self.find(c) for c in new]
         self.learn_words(set().union(*words))
         known = self.known
         self.chunk_ids |= {c: known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for c, w in zip(new, words, strict=True)}
