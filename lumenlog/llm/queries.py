@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
 
-from . import bpe_trie, fingerprints, licenses, near_dup, packing, quality, sharding, substrings, token_files
+from . import bpe_trie, fingerprints, licenses, near_dup, packing, passages, quality, sharding, substrings, token_files
 from .common import documents
 
 
@@ -61,6 +61,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder).withColumnRenamed("key", "doc_id")
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir), Scratch(spark, "op10"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dup": op7_near_dup,
     "op8_licenses": op8_licenses,
     "op9_token_files": op9_token_files,
+    "op10_passages": op10_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {}
