@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
 
-from . import bpe_trie, fingerprints, licenses, near_dup, packing, passages, quality, sharding, substrings, token_files
+from . import bpe_trie, fingerprints, licenses, near_dup, oracles, packing, passages, quality, sharding, substrings, token_files
 from .common import documents
 
 
@@ -78,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_passages": op10_passages,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality": oracles.op1(), "op7_near_dup": oracles.op7(), "op8_licenses": oracles.op8()}
