@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenlog.functions import fields, text
 from lumenlog.operators import analytics, calls, metrics, pages, traces
 from lumenlog.plans import predicates as P
-from lumenlog.sources import tables
+from lumenlog.sources import lines, otlp, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -381,3 +381,70 @@ def call_positions(spark, d):
 @query("q_conversations", f"WITH {CALLS} SELECT conversation, count(*) AS turns, CAST(sum(tokens) AS BIGINT) AS tokens, count(DISTINCT role) AS roles FROM cl GROUP BY conversation")
 def conversation_totals(spark, d):
     return calls.conversations(tables.calls(spark, d)).drop("first_role")
+
+
+def _line(kind: str) -> Column:
+    """A log line of each form, made from a row of ``events``."""
+    k = F.get_json_object("props", "$.k")
+    user, number = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    if kind == "json":
+        context_ = F.struct(F.struct(F.col("user_id").alias("id")).alias("user"), k.alias("k"))
+        return F.to_json(F.struct(F.col("event_type").alias("msg"), F.when(F.col("event_type") == "error", "CRITICAL").otherwise("Warning").alias("severity"), F.col("event_id").alias("n"), context_.alias("ctx")))
+    if kind == "logfmt":
+        return F.concat(F.lit("level=debug n="), number, F.lit(' msg="user \\"'), user, F.lit('\\" did '), F.col("event_type"), F.lit('" k='), k, F.lit(" k=again"))
+    prefix = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("shop_api_"), user, F.lit("  | "))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("[pod/web-"), user, F.lit("/main] 2024-01-01T00:00:00.123456789Z "))).otherwise(F.lit("a | b "))
+    return F.concat(prefix, F.col("event_type"))
+
+
+@query("c6_json_lines", f"WITH {EV} SELECT id, CASE WHEN event_type = 'error' THEN 'fatal' ELSE 'warn' END AS level, event_type AS message, true AS is_json, CAST(user_id AS VARCHAR) AS user_path, CAST(user_id AS VARCHAR) AS user_leaf, k FROM ev")
+def json_lines(spark, d):
+    rows = tables.read(spark, d, "events").select(F.col("event_id").alias("id"), _line("json").alias("line"))
+    got = lambda n: F.element_at("fields", n)
+    return lines.parse(rows).select("id", "level", "message", "is_json", got("ctx.user.id").alias("user_path"), got("id").alias("user_leaf"), got("k").alias("k"))
+
+
+@query("c7_logfmt", f"WITH {EV} SELECT id, 'debug' AS level, 'user \"' || user_id || '\" did ' || event_type AS message, k, CAST(id AS VARCHAR) AS n, 4 AS pairs FROM ev")
+def logfmt(spark, d):
+    rows = tables.read(spark, d, "events").select(F.col("event_id").alias("id"), _line("logfmt").alias("line"))
+    return lines.parse(rows).select("id", "level", "message", F.element_at("fields", "k").alias("k"), F.element_at("fields", "n").alias("n"), F.size("fields").alias("pairs"))
+
+
+@query("c3_container_prefix", """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'main' END AS service, CASE event_id % 3 WHEN 0 THEN 'shop_api_' || user_id WHEN 1 THEN 'pod/web-' || user_id || '/main' END AS container,
+  CASE WHEN event_id % 3 = 1 THEN '2024-01-01T00:00:00.123456789Z' END AS time, CASE WHEN event_id % 3 = 2 THEN 'a | b ' ELSE '' END || event_type AS payload FROM events""")
+def container_prefix(spark, d):
+    rows = tables.read(spark, d, "events").select(F.col("event_id").alias("id"), lines.container_prefix(_line("prefix")).alias("p"))
+    return rows.select("id", "p.*")
+
+
+@query("c4_stack_traces", "SELECT user_id, event_id * 10 AS first, CAST(CASE WHEN event_type = 'error' THEN 3 ELSE 1 END AS INT) AS n_lines, CASE WHEN event_type = 'error' THEN 'Error: ' || user_id || chr(10) || '    at f (a.js:1:2)' || chr(10) || 'Caused by: ' || event_type ELSE event_type END AS text FROM events")
+def stack_traces(spark, d):
+    several = F.array(F.concat(F.lit("Error: "), F.col("user_id").cast("string")), F.lit("    at f (a.js:1:2)"), F.concat(F.lit("Caused by: "), F.col("event_type")))
+    rows = tables.read(spark, d, "events").select("user_id", "event_id", F.posexplode(F.when(F.col("event_type") == "error", several).otherwise(F.array("event_type"))).alias("i", "line"))
+    return lines.joined_traces(rows.select("user_id", (F.col("event_id") * 10 + F.col("i")).alias("seq"), "line"), "user_id", "seq", "line")
+
+
+@query("c18_otlp_spans", """SELECT lpad(lower(to_hex(o_orderkey + 1)), 32, '0') AS trace_id, lpad(lower(to_hex(o_orderkey + 1)), 16, '0') AS span_id, CAST(NULL AS VARCHAR) AS parent_id, o_orderpriority AS name, 'orders' AS service,
+  CAST((o_orderkey + 1) * 1000 AS DOUBLE) AS start_ms, (o_orderkey + 1) * 1000 + 0.25 AS end_ms, o_orderstatus AS status FROM orders""")
+def otlp_spans(spark, d):
+    key = F.col("o_orderkey") + 1
+    text_value = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
+    span = F.struct(
+        F.lpad(F.hex(key), 32, "0").alias("traceId"),
+        F.base64(F.unhex(F.lpad(F.hex(key), 16, "0"))).alias("spanId"),
+        F.lit("0000000000000000").alias("parentSpanId"),
+        F.col("o_orderpriority").alias("name"),
+        F.concat((key * 1000).cast("string"), F.lit("000000")).alias("startTimeUnixNano"),
+        F.concat((key * 1000).cast("string"), F.lit("250999")).alias("endTimeUnixNano"),
+        F.array(text_value("status", F.col("o_orderstatus"))).alias("attributes"),
+    )
+    resource = F.struct(F.array(text_value("service.name", F.lit("orders"))).alias("attributes"))
+    payload = F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
+    read = otlp.spans(tables.read(spark, d, "orders").select(payload.alias("body")), "body")
+    return read.select("trace_id", "span_id", "parent_id", "name", "service", "start_ms", "end_ms", F.element_at("attributes", "status").alias("status"))
+
+
+@query("c20_trace_parents", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN md5(CAST(event_id AS VARCHAR)) END AS trace_id FROM events")
+def trace_parents(spark, d):
+    header = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("00-"), F.md5(F.col("event_id").cast("string")), F.lit("-00f067aa0ba902b7-01"))).otherwise(F.lit("broken"))
+    found = F.regexp_extract(header, "^[0-9a-f]{2}-([0-9a-f]{32})-[0-9a-f]{16}-[0-9a-f]{2}$", 1)
+    return tables.read(spark, d, "events").select(F.col("event_id").alias("id"), F.nullif(found, F.lit("")).alias("trace_id"))
