@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import fields, text
-from lumenlog.operators import analytics, calls, metrics, pages, traces
+from lumenlog.operators import analytics, calls, errors, metrics, pages, requests, sites, traces
 from lumenlog.plans import predicates as P
 from lumenlog.sources import lines, otlp, tables
 
@@ -448,3 +448,63 @@ def trace_parents(spark, d):
     header = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("00-"), F.md5(F.col("event_id").cast("string")), F.lit("-00f067aa0ba902b7-01"))).otherwise(F.lit("broken"))
     found = F.regexp_extract(header, "^[0-9a-f]{2}-([0-9a-f]{32})-[0-9a-f]{16}-[0-9a-f]{2}$", 1)
     return tables.read(spark, d, "events").select(F.col("event_id").alias("id"), F.nullif(found, F.lit("")).alias("trace_id"))
+
+
+@query("g11_error_groups", """WITH t AS (SELECT event_id AS id, 'kind' || chr(97 + CAST(user_id % 4 AS INT)) || ': bad value <n>' AS template, CASE WHEN event_id % 2 = 0 THEN '/srv/db' || (user_id % 4) || (CASE WHEN user_id % 4 = 3 THEN '_' || (event_id % 4) ELSE '' END) || '.js:12' END AS location,
+  'kind' || chr(97 + CAST(user_id % 4 AS INT)) AS kind FROM events WHERE event_type = 'error'), k AS (SELECT *, CASE WHEN location IS NOT NULL THEN kind || '@' || location ELSE template END AS key0 FROM t),
+  o AS (SELECT template, min(key0) AS owner FROM k WHERE location IS NOT NULL GROUP BY template HAVING count(DISTINCT key0) = 1), p AS (SELECT k.*, CASE WHEN location IS NULL THEN coalesce(owner, key0) ELSE key0 END AS key FROM k LEFT JOIN o ON o.template = k.template)
+  SELECT key, count(*) AS events, min(id) AS first_id, max(id) AS last_id, max(location) AS location, array_to_string(list_sort(list(id))[1:5], ',') AS samples FROM p GROUP BY key""")
+def error_groups(spark, d):
+    user, id = F.col("user_id"), F.col("event_id")
+    file = F.concat(F.lit("/srv/db"), (user % 4).cast("string"), F.when(user % 4 == 3, F.concat(F.lit("_"), (id % 4).cast("string"))).otherwise(""), F.lit(".js"))
+    first = F.concat(F.lit("Kind"), F.element_at(F.array(*map(F.lit, "abcd")), (user % 4 + 1).cast("int")), F.lit(": bad value "), user.cast("string"))
+    stack = F.when(id % 2 == 0, F.concat(F.lit("\n    at run ("), file, F.lit(":12:5)"))).otherwise("")
+    rows = tables.read(spark, d, "events").where("event_type = 'error'").select(id.alias("id"), F.concat(first, stack).alias("text"))
+    return errors.error_groups(rows)
+
+
+@query("c25_requests", """WITH e AS (SELECT user_id % 10 AS tab, event_id // 3 AS request, CAST(event_id % 2 AS INT) AS hop, CASE event_type WHEN 'click' THEN 'sent' WHEN 'view' THEN 'response' WHEN 'error' THEN 'failed' ELSE 'finished' END AS kind, epoch_us(ts) / 1000.0 AS ts_ms, 'u' || user_id AS url, CAST(200 + event_id % 300 AS INT) AS status FROM events),
+  g AS (SELECT tab, request, hop, min(ts_ms) FILTER (kind = 'sent') AS s, max(ts_ms) FILTER (kind IN ('finished', 'failed')) AS f, max(url) FILTER (kind = 'sent') AS url, max(status) FILTER (kind = 'response') AS status, bool_or(kind = 'failed') AS failed FROM e GROUP BY ALL)
+  SELECT tab, request, hop, url, status, f - s AS duration_ms, CASE WHEN failed THEN 'failed' WHEN f IS NULL THEN 'pending' WHEN status >= 400 THEN 'error' ELSE 'ok' END AS state FROM g""")
+def request_join(spark, d):
+    kind = F.col("event_type")
+    named = F.when(kind == "click", "sent").when(kind == "view", "response").when(kind == "error", "failed").otherwise("finished")
+    rows = tables.read(spark, d, "events").select((F.col("user_id") % 10).alias("tab"), F.floor(F.col("event_id") / 3).alias("request"), (F.col("event_id") % 2).cast("int").alias("hop"), named.alias("kind"), tables.millis("ts").alias("ts_ms"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), (200 + F.col("event_id") % 300).cast("int").alias("status"))
+    return requests.requests(rows)
+
+
+SITES = [(1, "error by user * took *ms"), (2, "purchase by user *"), (3, "by user * took *ms k=*"), (4, "view by user * k=7*"), (5, "signup by user 1*"), (6, "signup by user *1")]
+SITE_SQL = "st(site, rx, score) AS (VALUES " + ", ".join(f"({n}, '{p.replace('*', '.*')}', {len(p.replace('*', ''))})" for n, p in SITES) + ")"
+ATTRIBUTED = f"{EV}, {SITE_SQL}, h AS (SELECT id, site, score FROM ev JOIN st ON regexp_matches(message, rx)), a AS (SELECT id, min(site) AS site FROM (SELECT * FROM h QUALIFY score = max(score) OVER (PARTITION BY id)) GROUP BY id HAVING count(*) = 1)"
+
+
+def _sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = tables.events(spark, d)
+    return rows, sites.attributed(rows, spark.createDataFrame(SITES, "site int, pattern string"))
+
+
+@query("f7_statements", f"WITH {ATTRIBUTED} SELECT id, site FROM a")
+def statements(spark, d):
+    return _sites(spark, d)[1]
+
+
+@query("g20_statement_statistics", f"WITH {ATTRIBUTED} SELECT site, count(*) AS hits, count(*) FILTER (level = 'error') AS errors, CAST(0 AS BIGINT) AS quiet, max(ev.id) AS last_id, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM a JOIN ev ON ev.id = a.id GROUP BY site")
+def statement_statistics(spark, d):
+    rows, found = _sites(spark, d)
+    return sites.statistics(rows, found)
+
+
+@query("p3_noisy_statements", f"WITH {ATTRIBUTED}, c AS (SELECT site, count(*) AS hits, count(*) FILTER (level = 'error') AS errors FROM a JOIN ev ON ev.id = a.id GROUP BY site) SELECT site, hits, 'noisy' AS rule FROM c WHERE hits >= 500 AND errors = 0 AND hits >= 0.3 * (SELECT sum(hits) FROM c)")
+def noisy_statements(spark, d):
+    rows, found = _sites(spark, d)
+    return sites.findings(sites.statistics(rows, found))
+
+
+@query("c23_metric_points", "SELECT 'requests' AS name, 'sum' AS kind, true AS monotonic, CAST((event_id + 1) * 1000 AS DOUBLE) AS time_ms, CAST(event_id AS DOUBLE) AS value, event_type AS attribute FROM events WHERE event_id % 10 = 0")
+def metric_points(spark, d):
+    attribute = F.struct(F.lit("type").alias("key"), F.struct(F.col("event_type").alias("stringValue")).alias("value"))
+    point = F.struct(F.concat(((F.col("event_id") + 1) * 1000).cast("string"), F.lit("000000")).alias("timeUnixNano"), F.col("event_id").cast("string").alias("asInt"), F.array(attribute).alias("attributes"))
+    metric = F.struct(F.lit("requests").alias("name"), F.struct(F.lit(True).alias("isMonotonic"), F.array(point).alias("dataPoints")).alias("sum"))
+    payload = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics")))
+    rows = tables.read(spark, d, "events").where("event_id % 10 = 0").select(payload.alias("body"))
+    return otlp.metric_points(rows, "body").select("name", "kind", "monotonic", "time_ms", "value", F.element_at("attributes", "type").alias("attribute"))
