@@ -141,7 +141,7 @@ def groups(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     multi = scratch.keep(buckets.join(shared, "bucket").withColumn("component", F.col("node")), "buckets")
     components_now, least_pairs = None, FEW_PAIRS * member_of.count()
-    sizes = multi.select(F.col("node").alias("member"), F.col("n_shingles").alias("n_member")).distinct()
+    sizes = member_of.where("id = node").select("node", F.col("n_shingles").alias("n_pivot"))
     for turn in range(ROUNDS + 1):
         first = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node"), F.col("component"))
         per = multi.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(first).alias("first"))
@@ -158,7 +158,7 @@ def groups(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc
             pairs = pairs.where(near).select("pivot", "member").distinct()
         else:
             tests = left.where(F.col("component") != F.col("first.component")).groupBy(F.col("first.node").alias("pivot"), F.col("node").alias("member"), "n_shingles").agg(F.count("*").alias("n"))
-            sized = tests.join(sizes.select(F.col("member").alias("pivot"), F.col("n_member").alias("n_pivot")), "pivot")
+            sized = tests.join(sizes.withColumnRenamed("node", "pivot"), "pivot")
             sized = sized.where(F.least("n_shingles", "n_pivot") * 100 >= F.greatest("n_shingles", "n_pivot") * percent)
             pairs = sized.groupBy("member").agg(F.max(F.struct("n", "pivot")).alias("x")).select("x.pivot", "member")
         pairs = scratch.keep(pairs, "pairs")

@@ -37,8 +37,8 @@ PER_PARTITION = 1 << 40
 MOST_DOCS_AT_ONCE = 512
 
 
-def fill(counts: dict[int, int], room: int) -> dict[int, int]:
-    """How many of each length bring the sum closest to ``room`` without passing it.
+def fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> dict[int, int]:
+    """How many of each length bring the sum closest to ``room`` without passing it; ``lengths``: those of ``counts``, longest first.
 
     >>> fill({5: 2, 4: 1, 3: 3}, 11)
     {5: 1, 3: 2}
@@ -46,7 +46,9 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     steps: list[tuple[int, int, int]] = []  # sums reachable before, length, copies brought in
     reached, full = 1, 1 << room
     within = (full << 1) - 1
-    for length in sorted(counts, reverse=True):
+    for length in lengths if lengths is not None else sorted(counts, reverse=True):
+        if length > room:
+            continue
         left = min(counts[length], room // length)
         copies = 1
         while left and not reached & full:
@@ -68,17 +70,14 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
 def pack(lengths: dict[int, int], window: int) -> Iterator[dict[int, int]]:
     """Windows as counts of lengths, until nothing is left."""
     counts = dict(lengths)
-    while counts:
-        longest = max(counts)
-        chosen = {longest: 1}
-        counts[longest] -= 1
-        if not counts[longest]:
-            del counts[longest]
-        for length, n in fill(counts, window - longest).items() if longest < window else ():
+    order = sorted(counts, reverse=True)
+    while order:
+        chosen = {order[0]: 1}
+        counts[order[0]] -= 1
+        for length, n in fill(counts, window - order[0], order).items():
             chosen[length] = chosen.get(length, 0) + n
             counts[length] -= n
-            if not counts[length]:
-                del counts[length]
+        order = [k for k in order if k not in chosen or counts[k]]
         yield chosen
 
 

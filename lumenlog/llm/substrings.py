@@ -19,8 +19,8 @@ arrays of names, each name once a block, range by range, and what comes back to
 names that other places share, in a file of its block. A string that a third of the texts share
 is one name a block. Whole-text copies are found first by digest and only the first is sampled.
 
-Names of step 2 may collide, which adds candidates; those of step 3 have 64 bits (two different
-strings among 10^8 candidates collide with probability 3e-4).
+Names of step 2 may collide, which adds candidates. Those of step 3 keep 48 bits beside their
+range's (12 at 10^8 candidates, where two different strings of all collide with probability 0.005).
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ PERIOD = 133
 COVER = [0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109]
 #: Names of a range, about; ranges are sorted in memory.
 PER_RANGE = 400_000
+#: Bytes of a name that travel, beside the bits of its range: ranges grow in number with the corpus.
+SAMPLE_BYTES, STRING_BYTES = 4, 6
 #: Bytes of text taken together, and names gathered before they are sent.
 AT_ONCE, MOST_NAMES = 1 << 21, 6_000_000
 
@@ -106,33 +108,44 @@ class Texts:
         return np.cumsum(edge)[:-1] > 0
 
 
-def outbox(names: list[np.ndarray], bits: int, kind: str) -> Iterator[tuple[int, bytes, bytes]]:
+def outbox(names: list[np.ndarray], bits: int, size: int) -> Iterator[tuple[int, bytes, bytes]]:
     """Names by range (their leading ``bits``), each once: those found once, and those found more often."""
     values, counts = np.unique(np.concatenate([*names, np.zeros(0, np.uint64)]), return_counts=True)
     ranges = (values >> np.uint64(64 - bits)).astype(np.int64)
-    keys = within(values, bits, kind)
+    keys = within(values, bits, size)
     edges = np.flatnonzero(np.diff(ranges, prepend=-1, append=1 << 62))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         own, often = keys[a:b], counts[a:b] > 1
-        yield int(ranges[a]), own[~often].tobytes(), own[often].tobytes()
+        yield int(ranges[a]), packed(own[~often], size), packed(own[often], size)
 
 
-def within(values: np.ndarray, bits: int, kind: str) -> np.ndarray:
-    """What is kept of a name beside its range: 32 or all 64 bits."""
-    return ((values << np.uint64(bits)) >> np.uint64(32)).astype("<u4") if kind == "<u4" else values
+def within(values: np.ndarray, bits: int, size: int) -> np.ndarray:
+    """What is kept of a name beside its range: the next ``size`` bytes."""
+    return (values << np.uint64(bits)) >> np.uint64(64 - 8 * size)
 
 
-def shared_names(rows: DataFrame, kind: str) -> DataFrame:
+def packed(keys: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
+def shared_names(rows: DataFrame, size: int) -> DataFrame:
     """For every block and range the names of the block that are found in more than one place: ``block``, ``part``, ``names``."""
 
     def compare(group: pa.Table) -> pa.Table:
-        once = [np.frombuffer(x, kind) for x in group.column("once").to_pylist()]
-        often = [np.frombuffer(x, kind) for x in group.column("often").to_pylist()]
+        once = [unpacked(x, size) for x in group.column("once").to_pylist()]
+        often = [unpacked(x, size) for x in group.column("often").to_pylist()]
         ordered = np.sort(np.concatenate([*once, *often, *often]))
         repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         out = []
         for a, b in zip(once, often, strict=True):
-            out.append(np.concatenate([a[np.isin(a, repeated, assume_unique=True)], b]).tobytes())
+            out.append(packed(np.concatenate([a[np.isin(a, repeated, assume_unique=True)], b]), size))
         return pa.table({"block": group.column("block"), "part": group.column("part"), "names": pa.array(out, pa.binary())})
 
     return rows.groupBy("part").applyInArrow(compare, "block int, part int, names binary").where(F.length("names") > 0)
@@ -159,17 +172,18 @@ class BlockFiles:
             self._block, self._table = block, pa.concat_tables(tables) if tables else None
         return self._table
 
-    def names(self, block: int, bits: int, kind: str) -> np.ndarray:
+    def names(self, block: int, bits: int, size: int) -> np.ndarray:
         """The block's shared names, sorted, in the form of :func:`comparable`."""
         table = self.read(block)
         if table is None:
             return np.zeros(0, np.uint64)
-        parts = [(np.uint64(part) << np.uint64(32) if kind == "<u4" else np.uint64(0)) | np.frombuffer(x, kind).astype(np.uint64) for part, x in zip(table.column("part").to_pylist(), table.column("names").to_pylist(), strict=True)]
+        parts = [np.uint64(part) << np.uint64(8 * size) | unpacked(x, size) for part, x in zip(table.column("part").to_pylist(), table.column("names").to_pylist(), strict=True)]
         return np.unique(np.concatenate(parts))
 
 
-def comparable(values: np.ndarray, bits: int, kind: str) -> np.ndarray:
-    return (values >> np.uint64(64 - bits)) << np.uint64(32) | within(values, bits, kind) if kind == "<u4" else values
+def comparable(values: np.ndarray, bits: int, size: int) -> np.ndarray:
+    """Range and kept bytes of names, as one number."""
+    return (values >> np.uint64(64 - bits)) << np.uint64(8 * size) | within(values, bits, size)
 
 
 def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -200,11 +214,11 @@ def _texts(rows: list, copies: BlockFiles, length: int):
     return rows[0][0], rows, Texts([b"" if k == 1 else r[3] for r, k in zip(rows, roles, strict=True)], length), roles
 
 
-def _send(batches, copies: str, length: int, bits: int, kind: str, names) -> Iterator[pa.RecordBatch]:
+def _send(batches, copies: str, length: int, bits: int, width: int, names) -> Iterator[pa.RecordBatch]:
     held, size, block = [], 0, None
 
     def flush():
-        found = list(outbox(held, bits, kind))
+        found = list(outbox(held, bits, width))
         if found:
             part, once, often = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array(once, pa.binary()), pa.array(often, pa.binary())], ["block", "part", "once", "often"])
@@ -246,30 +260,30 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", id: st
     bits_of = lambda n: max(4, math.ceil(math.log2(max(1, n) / PER_RANGE + 1)) + 2)
     few, many = bits_of(total * len(COVER) / PERIOD), bits_of(total / 4)
 
-    sampled = source.mapInArrow(lambda b: _send(b, copies, length, few, "<u4", lambda _, texts: texts.sample()[1]), SENT)
-    first = BlockFiles.write(shared_names(sampled, "<u4"), scratch.path("samples"))
+    sampled = source.mapInArrow(lambda b: _send(b, copies, length, few, SAMPLE_BYTES, lambda _, texts: texts.sample()[1]), SENT)
+    first = BlockFiles.write(shared_names(sampled, SAMPLE_BYTES), scratch.path("samples"))
 
     def candidates(files: BlockFiles, block: int, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         at, names = texts.sample()
-        return texts.candidates(at[is_in(comparable(names, few, "<u4"), held(files, block, few, "<u4"))])
+        return texts.candidates(at[is_in(comparable(names, few, SAMPLE_BYTES), held(files, block, few, SAMPLE_BYTES))])
 
-    def held(files: BlockFiles, block: int, bits: int, kind: str) -> np.ndarray:
+    def held(files: BlockFiles, block: int, bits: int, size: int) -> np.ndarray:
         if getattr(files, "held_for", None) != block:
-            files.held_for, files.held = block, files.names(block, bits, kind)
+            files.held_for, files.held = block, files.names(block, bits, size)
             files._block = files._table = None
         return files.held
 
     def merge(batches):
         files = BlockFiles(first)
-        return _send(batches, copies, length, many, "<u8", lambda block, texts: candidates(files, block, texts)[1])
+        return _send(batches, copies, length, many, STRING_BYTES, lambda block, texts: candidates(files, block, texts)[1])
 
-    second = BlockFiles.write(shared_names(source.mapInArrow(merge, SENT), "<u8"), scratch.path("strings"))
+    second = BlockFiles.write(shared_names(source.mapInArrow(merge, SENT), STRING_BYTES), scratch.path("strings"))
 
     def cut(batches):
         files, more = BlockFiles(first), BlockFiles(second)
         for block, own, texts, roles in _walk(batches, BlockFiles(copies), length):
             at, names = candidates(files, block, texts)
-            gone = texts.covered(at[is_in(names, held(more, block, many, "<u8"))])
+            gone = texts.covered(at[is_in(comparable(names, many, STRING_BYTES), held(more, block, many, STRING_BYTES))])
             out = []
             for k, (_, _, key, data, *_) in enumerate(own):
                 n = len(data)

@@ -6,7 +6,7 @@ splits texts at white space, cuts the chunks that it has not met yet into words
 pattern, lets the library encode the words that are new, many in one call, and joins the stored
 ids of the chunks. Texts that hold a special token's string, and
 vocabularies with other rules, go to the library whole. A worker keeps ``MOST_CHUNKS`` chunks
-and ``MOST_WORDS`` words, then starts afresh, so memory does not grow with the corpus.
+and words, then starts afresh, so memory does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
-MOST_WORDS = 500_000
-MOST_CHUNKS = 500_000
+MOST_CHUNKS = 800_000
 #: Fixed pattern of the vocabulary's words, after lower-casing, for texts without a character in ``ODD``.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: Any character outside those that the standard module is known to class as the library does;
@@ -49,7 +48,6 @@ class WordIds:
         self.find, self.odd = re.compile(WORDS).findall, re.compile(ODD).search
         self.blank, self.separator = re.compile(r"[^\S\x1c-\x1f]+").split, re.compile("[\x1c-\x1f]").search
         self.known: dict[str, bytes] = {}
-        self.chunk_ids: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         """What stands between white space; no word reaches across it."""
@@ -58,23 +56,22 @@ class WordIds:
         return self.blank(text) if self.separator(text) else text.split()
 
     def learn(self, chunks: set[str]) -> None:
-        new = chunks.difference(self.chunk_ids)
-        if len(self.chunk_ids) + len(new) > MOST_CHUNKS:
-            self.chunk_ids.clear()
-            new = chunks
-        odd = [c for c in new if self.odd(c)]
-        self.chunk_ids |= {c: np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in odd}
-        new = new.difference(odd)
-        words = [self.find(c) for c in new]
-        self.learn_words(set().union(*words))
-        known = self.known
-        self.chunk_ids |= {c: known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for c, w in zip(new, words, strict=True)}
-
-    def learn_words(self, words: set[str]) -> None:
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > MOST_WORDS:
+        new = chunks.difference(self.known)
+        if len(self.known) + len(new) > MOST_CHUNKS:
             self.known.clear()
-            new = words
+            new = chunks
+        if self.odd(" ".join(new)):
+            odd = [c for c in new if self.odd(c)]
+            self.known.update([(c, np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()) for c in odd])
+            new = new.difference(odd)
+        mixed = [(c, self.find(c)) for c in new if not c.isalpha()]
+        words = set(filter(str.isalpha, new))
+        words.update(*[w for _, w in mixed])
+        self.learn_words(words.difference(self.known))
+        known = self.known.__getitem__
+        self.known.update([(c, b"".join(map(known, w))) for c, w in mixed])
+
+    def learn_words(self, new: set[str]) -> None:
         listed = list(new)
         for at in range(0, len(listed), 20_000):
             some = listed[at : at + 20_000]
@@ -84,7 +81,7 @@ class WordIds:
                 self.known |= {w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in some}
                 continue
             whole, ends = ids.tobytes(), (4 * ends).tolist()
-            self.known |= {w: whole[a:b] for w, a, b in zip(some, [0, *ends], ends, strict=False)}
+            self.known.update(zip(some, [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def run(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -102,7 +99,7 @@ class WordIds:
                 at += 1
             self.learn(distinct)
             for i, chunks in some:
-                out[i] = b"".join(map(self.chunk_ids.__getitem__, chunks))
+                out[i] = b"".join(map(self.known.__getitem__, chunks))
         return out
 
 

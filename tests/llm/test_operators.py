@@ -119,8 +119,11 @@ def test_near_duplicates(spark, width):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
 
 
-def test_near_duplicates_linked_through_others_only(spark):
-    """A chain whose ends are unlike, and a group that has no member near all others."""
+@pytest.mark.parametrize("rounds", [0, 2, 6])
+def test_near_duplicates_linked_through_others_only(spark, monkeypatch, rounds):
+    """A chain whose ends are unlike, and a group that has no member near all others; few rounds of pivots and many."""
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dup, "FEW_PAIRS", 0)
     words = prose(11, 120).split()
     chain = [(i, " ".join(words[4 * i : 4 * i + 60]), "en", "s", 0) for i in range(12)]
     star = prose(12, 100).split()
