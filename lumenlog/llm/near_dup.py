@@ -7,16 +7,18 @@ so they do end. Values agree with the probability of the sets' similarity, conce
 independent trials, for one hash of each shingle and round. ``BANDS`` bands of ``ROWS`` values are
 the buckets: a pair of similarity 0.8 shares none with probability (1 - 0.8^5)^40, about 1e-7.
 
-Documents with the same set are one node. Buckets link nodes by pivots: each round every bucket
-names one of its members (the least by a hash of node and round) and the other members that are
-not in its component yet become candidates, each member with the pivot that it shares most buckets
-with; candidates are confirmed on the full sets and components updated. A large group of copies so
-costs a few tests a member. Rounds end when the pairs of members in different components, over all
-buckets, are no more than a few a node; then all of these are tested, so every link that shares a
-bucket is found or already implied.
-
-Sets do not travel: texts of candidates go to their pivot, salted so that a pivot of many members
-is spread over tasks, and sets are rebuilt there.
+Documents with the same set are one node. First each bucket names a pivot, the member whose buckets
+are fullest (the middle of its group of copies), and every other member is confirmed on the full
+sets against the pivot that it shares most buckets with: a large group costs one test a member.
+``ROUNDS`` such rounds are followed by all that is left, the members of a bucket that are not in one
+component yet. Buckets of ``SMALL`` members or fewer give pairs, a few for each member. Larger ones
+are gathered into clusters; nodes outside a cluster's largest component are its queries, and they
+are tested against all of the cluster in blocks: a task holds the sets of some queries, as one
+sorted list of shingles with their owners, and streams some of the members past it, so no pair
+becomes a row and only one link for a query and component leaves the task.
+
+Sets do not travel: texts of candidates go to their pivot or block, salted so that many members
+are spread over tasks, and sets are rebuilt there.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ from .shingle_sets import BASE, mix, shingle_sets
 COORDINATES, BANDS, ROWS = 200, 40, 5
 #: Members tested beside one copy of their pivot.
 PER_PIVOT = 200
-#: Rounds of pivots at most, and pairs a node at which all remaining pairs are tested.
-ROUNDS, FEW_PAIRS = 6, 4
-#: Ids of texts to fetch that may be broadcast; 16 bytes each.
-MOST_BROADCAST = 20_000
+#: Rounds of pivots, and members of a bucket that is tested pair by pair after them.
+ROUNDS, SMALL = 1, 8
+#: Shingles of the queries that a block holds, about, and members that pass it in one task.
+BLOCK, SLICE = 500_000, 1_000
+#: Rows that name texts to fetch that may be broadcast; 24 bytes each.
+MOST_BROADCAST = 200_000
 #: Ids of documents to leave out that may be broadcast; 8 bytes each.
 MOST_DROPPED = 200_000
 
@@ -97,9 +101,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str, id: str, width: int, lo
     groups = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_PIVOT).alias("parts"))
     dealt = pairs.join(groups, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member")
     wanted = dealt.select("pivot", "part", F.col("member").alias("id")).union(dealt.select("pivot", "part", F.col("pivot").alias("id")).distinct())
-    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "id")
+    texts = texts_of(wanted, docs, text, id)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     beside = texts.repartition(parts, "pivot", "part").sortWithinPartitions("pivot", "part", (F.col("id") != F.col("pivot")).cast("int"))
 
@@ -123,6 +125,89 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str, id: str, width: int, lo
     return beside.select("id", "pivot", "part", "text").mapInArrow(run, "u bigint, v bigint")
 
 
+def texts_of(wanted: DataFrame, docs: DataFrame, text: str, id: str) -> DataFrame:
+    """``wanted`` (with ``id``) and each one's text; broadcast only if it is counted to be few rows."""
+    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "id")
+
+
+class Queries:
+    """Sets of a block's queries as one sorted list of shingles and their owners."""
+
+    def __init__(self):
+        self.nodes: list[int] = []
+        self.components: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.linked: set[tuple[int, int]] = set()
+        self.shingles = None
+
+    def add(self, node: int, component: int, found: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.components.append(component)
+        self.sets.append(found)
+
+    def like(self, component: int, found: np.ndarray, percent: int) -> list[int]:
+        """Queries of other components that are similar to a member of ``component`` and not linked with it yet."""
+        if not self.sets:
+            return []
+        if self.shingles is None:
+            self.sizes = np.array([len(x) for x in self.sets], np.int64)
+            every, owners = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
+            order = np.argsort(every, kind="stable")
+            self.shingles, first = np.unique(every[order], return_index=True)
+            self.owners, self.bounds = owners[order], np.append(first, len(every))
+            self.of = np.array(self.components, np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, found), len(self.shingles) - 1)
+        at = at[self.shingles[at] == found]
+        begin, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        places = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        common = np.bincount(self.owners[places], minlength=len(self.sizes))
+        near = (100 * common >= percent * (self.sizes + len(found) - common)) & (self.of != component)
+        fresh = [int(k) for k in np.flatnonzero(near) if (int(k), component) not in self.linked]
+        self.linked.update((k, component) for k in fresh)
+        return [self.nodes[k] for k in fresh]
+
+
+def verify_blocks(left: DataFrame, docs: DataFrame, scratch: Scratch, text: str, id: str, width: int, lower: bool, percent: int) -> DataFrame:
+    """Links between nodes of different components in the open buckets ``left``, as edges ``u``, ``v``."""
+    met = left.where(F.col("component") != F.col("first.component")).select(F.col("component").alias("u"), F.col("first.component").alias("v")).distinct()
+    clusters = components(met, scratch).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    placed = scratch.keep(left.select("node", "component", "n_shingles").distinct().join(clusters, "component"), "clusters")
+    sizes = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    whole = sizes.groupBy("cluster").agg(F.sum("n").alias("nodes"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "component", "shingles")).alias("main"))
+    blocks = F.ceil((F.col("shingles") - F.col("main.shingles")) / BLOCK).cast("int")
+    dealt = whole.select("cluster", F.col("main.component").alias("main"), F.greatest(blocks, F.lit(1)).alias("blocks"), F.ceil(F.col("nodes") / SLICE).cast("int").alias("slices"))
+    rows = placed.join(dealt, "cluster").withColumns({"own_block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "own_slice": F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    common = [F.col("node").alias("id"), "component", "cluster"]
+    queries = rows.where(F.col("component") != F.col("main")).select(*common, F.col("own_block").alias("block"), every("slices").alias("slice"), F.lit(0).alias("member"))
+    members = rows.select(*common, every("blocks").alias("block"), F.col("own_slice").alias("slice"), F.lit(1).alias("member"))
+    wanted = scratch.keep(queries.union(members), "blocks")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["cluster", "block", "slice"]
+    ordered = texts_of(wanted, docs, text, id).repartition(parts, *keys).sortWithinPartitions(*keys, "member").select(*keys, "member", "id", "component", "text")
+
+    def run(batches):
+        at, held = None, Queries()
+        for whole in batches:
+            for begin in range(0, len(whole), 256):
+                batch = whole.slice(begin, 256)
+                columns = [c.to_pylist() for c in batch.columns]
+                u, v = [], []
+                for cluster, block, part, member, node, component, found in zip(*columns[:6], shingle_sets(columns[6], width, lower), strict=True):
+                    if at != (cluster, block, part):
+                        at, held = (cluster, block, part), Queries()
+                    if not member:
+                        held.add(node, component, found)
+                        continue
+                    linked = held.like(component, found, percent)
+                    u += linked
+                    v += [node] * len(linked)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return ordered.mapInArrow(run, "u bigint, v bigint")
+
+
 def groups(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc_id", width: int = 5, lower: bool = True, percent: int = 80) -> DataFrame:
     """For every row of ``docs``: ``id``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``.
 
@@ -138,40 +223,44 @@ def groups(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc
     member_of = scratch.keep(nodes.join(sets, ["d1", "d2"]).select("id", "node", "d1", "d2", "n_shingles"), "nodes")
     alone = known.join(member_of.where("id = node"), ["id", "d1", "d2"]).select("node", known["n_shingles"], "bands").dropDuplicates(["node"])
     buckets = alone.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    multi = scratch.keep(buckets.join(shared, "bucket").withColumn("component", F.col("node")), "buckets")
-    components_now, least_pairs = None, FEW_PAIRS * member_of.count()
-    sizes = member_of.where("id = node").select("node", F.col("n_shingles").alias("n_pivot"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    counted = scratch.keep(buckets.join(shared, "bucket"), "shared")
+    weights = counted.groupBy("node").agg(F.sum("n").alias("weight"))
+    multi = scratch.keep(counted.join(weights, "node").select("bucket", "node", "n_shingles", "weight", F.col("node").alias("component")), "buckets")
+    scratch.drop(counted)
+    components_now = None
     for turn in range(ROUNDS + 1):
-        first = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node"), F.col("component"))
+        order = F.xxhash64("node", F.lit(turn)) if turn else -F.col("weight")
+        first = F.struct(order.alias("order"), F.col("node"), F.col("component"), F.col("n_shingles"))
         per = multi.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(first).alias("first"))
-        open_ = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("first").alias("first")).where("parts > 1")
-        open_ = scratch.keep(open_, "open")
-        across = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
-        if not across:
+        open_ = scratch.keep(per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.min("first").alias("first")).where("parts > 1").drop("parts"), "open")
+        if not open_.limit(1).count():
             break
-        left = multi.join(open_, "bucket")
-        if last := across <= least_pairs or turn == ROUNDS:
-            other = left.select("bucket", F.col("node").alias("pivot"), F.col("component").alias("of"), F.col("n_shingles").alias("n_pivot"))
-            pairs = left.select("bucket", "component", F.col("node").alias("member"), "n_shingles").join(other, "bucket").where((F.col("pivot") < F.col("member")) & (F.col("of") != F.col("component")))
+        left = scratch.keep(multi.join(open_, "bucket"), "left")
+        if last := turn == ROUNDS:
+            few = left.where(F.col("n") <= SMALL)
+            other = few.select("bucket", F.col("node").alias("pivot"), F.col("component").alias("of"), F.col("n_shingles").alias("n_pivot"))
+            pairs = few.select("bucket", "component", F.col("node").alias("member"), "n_shingles").join(other, "bucket").where((F.col("pivot") < F.col("member")) & (F.col("of") != F.col("component")))
             near = F.least("n_shingles", "n_pivot") * 100 >= F.greatest("n_shingles", "n_pivot") * percent
             pairs = pairs.where(near).select("pivot", "member").distinct()
         else:
-            tests = left.where(F.col("component") != F.col("first.component")).groupBy(F.col("first.node").alias("pivot"), F.col("node").alias("member"), "n_shingles").agg(F.count("*").alias("n"))
-            sized = tests.join(sizes.withColumnRenamed("node", "pivot"), "pivot")
-            sized = sized.where(F.least("n_shingles", "n_pivot") * 100 >= F.greatest("n_shingles", "n_pivot") * percent)
-            pairs = sized.groupBy("member").agg(F.max(F.struct("n", "pivot")).alias("x")).select("x.pivot", "member")
+            of = F.col("first.n_shingles")
+            tested = left.where((F.col("component") != F.col("first.component")) & (F.least("n_shingles", of) * 100 >= F.greatest("n_shingles", of) * percent))
+            tests = tested.groupBy(F.col("node").alias("member"), F.col("first.node").alias("pivot")).agg(F.count("*").alias("n"))
+            pairs = tests.groupBy("member").agg(F.max(F.struct("n", "pivot")).alias("x")).select("x.pivot", "member")
         pairs = scratch.keep(pairs, "pairs")
         edges = scratch.keep(verify(pairs, docs, text, id, width, lower, percent), "links")
+        if last and (many := left.where(F.col("n") > SMALL)).limit(1).count():
+            edges = edges.union(scratch.keep(verify_blocks(many, docs, scratch, text, id, width, lower, percent), "links"))
         if components_now is not None:
             edges = edges.union(components_now.select(F.col("node").alias("u"), F.col("component").alias("v")))
         components_now = scratch.keep(components(edges, scratch), "components")
         if last:
             break
-        labelled = left.select("bucket", "node", "n_shingles").join(components_now, "node", "left")
-        after = scratch.keep(labelled.select("node", "n_shingles", "bucket", F.coalesce("component", "node").alias("component")), "buckets")
-        scratch.drop(multi)
-        scratch.drop(open_)
+        labelled = left.select("bucket", "node", "n_shingles", "weight").join(components_now, "node", "left")
+        after = scratch.keep(labelled.select("bucket", "node", "n_shingles", "weight", F.coalesce("component", "node").alias("component")), "buckets")
+        for table in (multi, open_, left):
+            scratch.drop(table)
         multi = after
     placed = member_of.select("id", "node")
     if components_now is not None:

@@ -119,11 +119,11 @@ def test_near_duplicates(spark, width):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
 
 
-@pytest.mark.parametrize("rounds", [0, 2, 6])
-def test_near_duplicates_linked_through_others_only(spark, monkeypatch, rounds):
-    """A chain whose ends are unlike, and a group that has no member near all others; few rounds of pivots and many."""
-    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
-    monkeypatch.setattr(near_dup, "FEW_PAIRS", 0)
+@pytest.mark.parametrize("rounds, small, block, slice_", [(0, 8, 500_000, 1000), (0, 2, 300, 7), (1, 8, 500_000, 1000), (1, 1, 300, 7), (3, 100, 1, 1)])
+def test_near_duplicates_linked_through_others_only(spark, monkeypatch, rounds, small, block, slice_):
+    """A chain whose ends are unlike, and a group that has no member near all others; by pivots, pairs and blocks."""
+    for name, value in (("ROUNDS", rounds), ("SMALL", small), ("BLOCK", block), ("SLICE", slice_)):
+        monkeypatch.setattr(near_dup, name, value)
     words = prose(11, 120).split()
     chain = [(i, " ".join(words[4 * i : 4 * i + 60]), "en", "s", 0) for i in range(12)]
     star = prose(12, 100).split()
