@@ -136,19 +136,26 @@ def unpacked(data: bytes, size: int) -> np.ndarray:
 
 
 def shared_names(rows: DataFrame, size: int) -> DataFrame:
-    """For every block and range the names of the block that are found in more than one place: ``block``, ``part``, ``names``."""
+    """For every block and range the names of the block that are found in more than one place: ``block``, ``part``, ``names``, ``n_home``.
+
+    The first ``n_home`` of the names are those that no block before has.
+    """
 
     def compare(group: pa.Table) -> pa.Table:
         once = [unpacked(x, size) for x in group.column("once").to_pylist()]
         often = [unpacked(x, size) for x in group.column("often").to_pylist()]
         ordered = np.sort(np.concatenate([*once, *often, *often]))
         repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        out = []
-        for a, b in zip(once, often, strict=True):
-            out.append(packed(np.concatenate([a[np.isin(a, repeated, assume_unique=True)], b]), size))
-        return pa.table({"block": group.column("block"), "part": group.column("part"), "names": pa.array(out, pa.binary())})
+        out, home, seen = [b""] * len(once), [0] * len(once), np.zeros(len(repeated), bool)
+        for k in np.argsort(group.column("block").to_numpy(), kind="stable").tolist():
+            own = np.concatenate([once[k][np.isin(once[k], repeated, assume_unique=True)], often[k]])
+            at = np.searchsorted(repeated, own)
+            fresh = ~seen[at]
+            seen[at] = True
+            out[k], home[k] = packed(np.concatenate([own[fresh], own[~fresh]]), size), int(fresh.sum())
+        return pa.table({"block": group.column("block"), "part": group.column("part"), "names": pa.array(out, pa.binary()), "n_home": pa.array(home, pa.int32())})
 
-    return rows.groupBy("part").applyInArrow(compare, "block int, part int, names binary").where(F.length("names") > 0)
+    return rows.groupBy("part").applyInArrow(compare, "block int, part int, names binary, n_home int").where(F.length("names") > 0)
 
 
 class BlockFiles:
@@ -172,12 +179,13 @@ class BlockFiles:
             self._block, self._table = block, pa.concat_tables(tables) if tables else None
         return self._table
 
-    def names(self, block: int, bits: int, size: int) -> np.ndarray:
-        """The block's shared names, sorted, in the form of :func:`comparable`."""
+    def names(self, block: int, bits: int, size: int, home: bool = False) -> np.ndarray:
+        """The block's shared names, or those that no block before has, sorted, in the form of :func:`comparable`."""
         table = self.read(block)
         if table is None:
             return np.zeros(0, np.uint64)
-        parts = [np.uint64(part) << np.uint64(8 * size) | unpacked(x, size) for part, x in zip(table.column("part").to_pylist(), table.column("names").to_pylist(), strict=True)]
+        rows = zip(*(table.column(c).to_pylist() for c in ("part", "names", "n_home")), strict=True)
+        parts = [np.uint64(part) << np.uint64(8 * size) | unpacked(x[: n * size] if home else x, size) for part, x, n in rows]
         return np.unique(np.concatenate(parts))
 
 
