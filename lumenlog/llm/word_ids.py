@@ -18,7 +18,7 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
-MOST_CHUNKS = 800_000
+MOST_CHUNKS = 250_000
 #: Fixed pattern of the vocabulary's words, after lower-casing, for texts without a character in ``ODD``.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: Any character outside those that the standard module is known to class as the library does;
