@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 64
+from lumenlog.scratch import Scratch
+
+#: Levels after which one is kept, so plans of deep trees stay short.
+KEPT_LEVELS = 8
 
 
 def distinct_spans(spans: DataFrame) -> DataFrame:
@@ -21,20 +26,24 @@ def with_roots(spans: DataFrame) -> DataFrame:
     return joined.withColumn("parent_id", F.when(F.col("_there"), F.col("parent_id"))).drop("_there")
 
 
-def waterfall(spans: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+def waterfall(spans: DataFrame) -> DataFrame:
     """Depth, ordinal in depth-first order and offset from the trace's start of every span that a root reaches.
 
     Level by level, parents join their children and hand down the path of (start, end, id) that
-    orders the tree; as many joins as the deepest trace has levels.
+    orders the tree; as many joins as the deepest trace has levels. Ids are distinct in a trace
+    (:func:`distinct_spans`), so no root reaches a cycle.
     """
-    rooted = with_roots(spans).select("trace_id", "span_id", "parent_id", "start_ms", "end_ms")
+    scratch = Scratch(spans.sparkSession, "waterfall")
+    rooted = scratch.keep(with_roots(spans).select("trace_id", "span_id", "parent_id", "start_ms", "end_ms"), "rooted")
     step = F.struct("start_ms", "end_ms", "span_id")
     level = rooted.where("parent_id IS NULL").select("trace_id", "span_id", "start_ms", "end_ms", F.lit(0).alias("depth"), F.array(step).alias("path"))
     out = level
     children = rooted.where("parent_id IS NOT NULL")
-    for depth in range(1, most_depth + 1):
+    for depth in itertools.count(1):
         above = level.select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_path"))
         level = children.join(above, ["trace_id", "parent_id"]).select("trace_id", "span_id", "start_ms", "end_ms", F.lit(depth).alias("depth"), F.concat("_path", F.array(step)).alias("path"))
+        if depth % KEPT_LEVELS == 0:
+            level = scratch.keep(level, "level")
         if level.limit(1).count() == 0:
             break
         out = out.union(level)
@@ -76,19 +85,23 @@ def summaries(spans: DataFrame) -> DataFrame:
     )
 
 
-def critical_paths(spans: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+def critical_paths(spans: DataFrame) -> DataFrame:
     """From the root that ends last, the child that ends last, and so on down: the spans of each trace's critical path.
 
-    Of roots with equal ends the first counts, of children the last, by start and id.
+    Of roots with equal ends the first counts, of children the last, by start and id. Ids are
+    distinct in a trace, as for :func:`waterfall`.
     """
-    rooted = with_roots(spans).select("trace_id", "span_id", "parent_id", "start_ms", "end_ms")
+    scratch = Scratch(spans.sparkSession, "critical_paths")
+    rooted = scratch.keep(with_roots(spans).select("trace_id", "span_id", "parent_id", "start_ms", "end_ms"), "rooted")
     roots = Window.partitionBy("trace_id").orderBy(F.desc("end_ms"), "start_ms", "span_id")
     level = rooted.where("parent_id IS NULL").withColumn("_n", F.row_number().over(roots)).where("_n = 1").select("trace_id", "span_id")
     last = Window.partitionBy("trace_id", "parent_id").orderBy(F.desc("end_ms"), F.desc("start_ms"), F.desc("span_id"))
     chosen = rooted.where("parent_id IS NOT NULL").withColumn("_n", F.row_number().over(last)).where("_n = 1").select("trace_id", "parent_id", "span_id")
     out = level.withColumn("step", F.lit(0))
-    for step in range(1, most_depth + 1):
+    for step in itertools.count(1):
         level = chosen.join(level.select("trace_id", F.col("span_id").alias("parent_id")), ["trace_id", "parent_id"]).select("trace_id", "span_id")
+        if step % KEPT_LEVELS == 0:
+            level = scratch.keep(level, "level")
         if level.limit(1).count() == 0:
             break
         out = out.union(level.withColumn("step", F.lit(step)))

@@ -45,6 +45,15 @@ def test_waterfall_of_the_known_trace(spark):
     assert (one.duration_ms, one.spans, one.errors, one.root_name) == (310, 5, 1, "n")
 
 
+def test_deep_traces_keep_all_their_spans(spark):
+    n = 70
+    spans = [("t", f"s{i:03d}", f"s{i - 1:03d}" if i else None, float(i), 1000.0, "n", "s", 0) for i in range(n)]
+    frame = spark.createDataFrame(spans, "trace_id string, span_id string, parent_id string, start_ms double, end_ms double, name string, service string, status_code int")
+    rows = sorted(traces.waterfall(frame).collect(), key=lambda r: r.ordinal)
+    assert [(r.span_id, r.depth, r.ordinal) for r in rows] == [(f"s{i:03d}", i, i + 1) for i in range(n)]
+    assert [r.span_id for r in traces.critical_paths(frame).orderBy("step").collect()] == [f"s{i:03d}" for i in range(n)]
+
+
 def test_outliers_are_trimmed_from_the_range(spark):
     rows = [(i, float(i * 1000)) for i in range(1000)] + [(2000 + i, 999_000.0 + 6 * 3_600_000 + i) for i in range(3)]
     low, high = analytics.time_range(spark.createDataFrame(rows, "id int, ts_ms double")).first()
