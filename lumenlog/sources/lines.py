@@ -103,15 +103,15 @@ def parse(lines: DataFrame, line: str = "line", stream: str = "file") -> DataFra
 
 
 def joined_traces(lines: DataFrame, source: str, order: str, line: str) -> DataFrame:
-    """Stack traces joined to the line before them: one row for each first line, at most ``MOST_LINES`` lines.
+    """Stack traces joined to the line before them: one row for each first line; after ``MOST_LINES`` lines the next begins a row of its own.
 
     Sources are ordered and numbered on their own; a source's lines are one window.
     """
     own = Window.partitionBy(source).orderBy(order)
     starts = F.when(F.col(line).rlike(CONTINUES) & F.lag(line).over(own).isNotNull(), 0).otherwise(1)
     numbered = lines.withColumn("_starts", starts).withColumn("_event", F.sum("_starts").over(own))
-    placed = numbered.withColumn("_n", F.row_number().over(Window.partitionBy(source, "_event").orderBy(order))).where(F.col("_n") <= MOST_LINES)
-    gathered = placed.groupBy(source, "_event").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))).alias("_all"), F.min(order).alias("first"))
+    placed = numbered.withColumn("_n", F.row_number().over(Window.partitionBy(source, "_event").orderBy(order))).withColumn("_part", F.floor((F.col("_n") - 1) / MOST_LINES))
+    gathered = placed.groupBy(source, "_event", "_part").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))).alias("_all"), F.min(order).alias("first"))
     return gathered.select(source, "first", F.size("_all").alias("n_lines"), F.array_join(F.transform("_all", lambda x: x["l"]), "\n").alias("text"))
 
 

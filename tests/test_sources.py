@@ -27,6 +27,13 @@ def test_csv_round_trip(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/jsonl").count() == 2
 
 
+def test_lines_beyond_the_most_of_a_trace_are_further_events(spark):
+    rows = [("a", 0, "Error: x")] + [("a", i, f"    at f{i}") for i in range(1, 2500)] + [("a", 2500, "next"), ("b", 1, "other")]
+    found = lines.joined_traces(spark.createDataFrame(rows, "source string, seq int, line string"), "source", "seq", "line").orderBy("source", "first").collect()
+    assert [(r.source, r.first, r.n_lines) for r in found] == [("a", 0, 1000), ("a", 1000, 1000), ("a", 2000, 500), ("a", 2500, 1), ("b", 1, 1)]
+    assert [x for r in found for x in r.text.split("\n")] == [r[2] for r in rows]
+
+
 def test_otlp_logs(spark):
     body = '{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"api"}}]},"scopeLogs":[{"logRecords":[{"timeUnixNano":"1700000000123456789","severityNumber":17,"severityText":"info","body":{"stringValue":"bad"},"attributes":[{"key":"n","value":{"intValue":"7"}}]}]}]}]}'
     row = otlp.logs(spark.createDataFrame([(body,), (None,), ("{}",)], "body string"), "body").collect()
