@@ -270,6 +270,13 @@ def sensitive(spark, d):
     return found.groupBy("source", "kind").agg(F.count("*").alias("documents"), F.max("doc_id").alias("last_id"))
 
 
+@query("g22_sensitive_kinds")
+def sensitive_kinds(spark, d):
+    """With personal data: all kinds that are found. Without SQL, which has no Luhn check; tested by brute force."""
+    found = tables.read(spark, d, "documents").select("source", "doc_id", F.explode(text.found_kinds(F.col("text"))).alias("kind"))
+    return found.groupBy("source", "kind").agg(F.count("*").alias("documents"), F.max("doc_id").alias("last_id"))
+
+
 @query("p3_noisy", f"WITH {EV}, c AS (SELECT event_type AS statement, count(*) AS hits, count(*) * 1.0 / sum(count(*)) OVER () AS share FROM ev WHERE level IN ('info', 'warn') GROUP BY event_type) SELECT statement, hits, round(share, 6) AS share FROM c WHERE hits >= 500 AND share >= 0.2")
 def noisy(spark, d):
     """Statements that make a large share of a log without being failures."""

@@ -2,6 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lumenlog import queries
 from lumenlog.functions import text
 
 #: The reference's pattern (src/core/redaction.ts), written out.
@@ -19,3 +20,25 @@ def test_passwords_in_urls_are_redacted(spark):
     found = [r[0] for r in rows.orderBy("id").select(text.redact(F.col("text"))).collect()]
     assert found == [URL_PASSWORD.sub(lambda m: m[1] + "[REDACTED]", x) for x in lines]
     assert found[0] == "connect postgres://app:[REDACTED]@db:5432/x failed" and found[2] == lines[2]
+
+
+def luhn(number: str) -> bool:
+    digits = [int(c) for c in reversed(number)]
+    return sum(digits[::2]) % 10 == 0 if len(digits) == 1 else (sum(digits[::2]) + sum(sum(divmod(2 * c, 10)) for c in digits[1::2])) % 10 == 0
+
+
+def test_all_kinds_of_sensitive_values_are_counted(spark, tmp_path):
+    texts = ["mail bob@corp.io now", "mail bob@example.com", "pay 4111 1111 1111 1111 ok", "pay 4111 1111 1111 1112 no", "amex 3782 822463 10005", "AKIA" + "A" * 16 + " and ann@corp.io", "nothing", None]
+    rows = [(i, x, ["s0", "s1"][i % 2]) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, x, source in rows:
+        card = re.search(r"[3-6]\d{3}(?: \d{4} \d{4} \d{4}| \d{6} \d{5})", x or "")
+        email = re.search(r"\w+@[\w.]+", x or "")
+        for kind, there in (("email", email and not email[0].endswith("example.com")), ("card", card and luhn(card[0].replace(" ", ""))), ("aws-key", "AKIA" in (x or ""))):
+            if there:
+                n, _ = want.get((source, kind), (0, 0))
+                want[source, kind] = (n + 1, i)
+    found = queries.QUERIES["g22_sensitive_kinds"](spark, str(tmp_path)).collect()
+    assert {(r.source, r.kind): (r.documents, r.last_id) for r in found} == want
+    assert want == {("s0", "email"): (1, 0), ("s0", "card"): (2, 4), ("s1", "email"): (1, 5), ("s1", "aws-key"): (1, 5)}
