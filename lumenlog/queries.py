@@ -54,6 +54,7 @@ _search("d8_range", lambda: P.between("durationMs", 50, 60), "value BETWEEN 50 A
 _search("d9_status_class", lambda: P.status_class(5) & P.exclude(P.has("statusCode", "503")), "status BETWEEN 500 AND 599 AND status <> 503")
 _search("d10_exists", lambda: P.exists("duration_ms") & P.exclude(P.exists("requestId")) & P.has("k", "99"), "contains(k, '99')")
 _search("d11_since", lambda: P.since(MID, HOUR * 24) & P.up_to(6000), f"ts_ms >= {MID} - {HOUR * 24} AND id <= 6000")
+_search("d11_since_all", lambda: P.since(MID, HOUR * 24), f"ts_ms >= {MID} - {HOUR * 24}")
 _search("d12_time", lambda: P.within(MID, MID + HOUR), f"ts_ms BETWEEN {MID} AND {MID + HOUR}")
 _search("d14_exclude", lambda: P.exclude(P.has("event_type", "e")) & P.exclude(P.has("nothing", "x")), "NOT contains(event_type, 'e')")
 _search("d17_levels", lambda: P.levels("error", "warn") & P.has("user_id", "77"), "level IN ('error', 'warn') AND contains(CAST(user_id AS VARCHAR), '77')")
@@ -76,6 +77,12 @@ def columns(spark, d):
     return tables.events(spark, d).where("id % 3 = 0").select("id", fields.field("user_id").alias("user_id"), fields.field("status").alias("status"), fields.field("serverId").alias("server"))
 
 
+@query("e2_columns_all", f"WITH {EV} SELECT id, CAST(user_id AS VARCHAR) AS user_id, CAST(status AS VARCHAR) AS status, server_id AS server FROM ev")
+def columns_all(spark, d):
+    """Of every event."""
+    return tables.events(spark, d).select("id", fields.field("user_id").alias("user_id"), fields.field("status").alias("status"), fields.field("serverId").alias("server"))
+
+
 @query("e4_fields", f"""WITH {EV}, f AS (SELECT 'user_id' AS name, CAST(user_id AS VARCHAR) AS value FROM ev UNION ALL SELECT 'event_type', event_type FROM ev UNION ALL SELECT 'durationMs', CAST(value AS VARCHAR) FROM ev
   UNION ALL SELECT 'k', k FROM ev UNION ALL SELECT 'statusCode', CAST(status AS VARCHAR) FROM ev) SELECT name, count(*) AS events, count(DISTINCT value) AS distinct_values FROM f GROUP BY name""")
 def field_catalogue(spark, d):
@@ -194,6 +201,14 @@ def context(spark, d):
     return pages.context(rows, rows.where("id % 1000 = 500")).withColumn("distance", F.col("distance").cast("int"))
 
 
+@query("h1_context_all", f"""WITH {EV}, n AS (SELECT id, server_id, session_id, row_number() OVER (PARTITION BY server_id, session_id ORDER BY id) AS place FROM ev)
+  SELECT a.id AS anchor, n.id, CAST(n.place - a.place AS INT) AS distance FROM n a JOIN n ON n.server_id = a.server_id AND n.session_id = a.session_id AND abs(n.place - a.place) <= 25""")
+def context_all(spark, d):
+    """Around every event."""
+    rows = tables.events(spark, d)
+    return pages.context(rows, rows).withColumn("distance", F.col("distance").cast("int"))
+
+
 @query("i1_natural_sort", f"WITH {EV} SELECT CAST(row_number() OVER (ORDER BY regexp_extract(message, '^[^0-9]+'), CAST(regexp_extract(message, '([0-9]+)', 1) AS BIGINT), CAST(regexp_extract(message, 'took ([0-9]+)', 1) AS BIGINT), CAST(k AS BIGINT), id) AS INT) AS place, id FROM ev QUALIFY place <= 200")
 def natural_sort(spark, d):
     rows = pages.sorted_by(tables.events(spark, d).select("id", "ts_ms", "level", "message", "server_id", "server", "session_id", "fields"), "message", 200)
@@ -507,11 +522,20 @@ def noisy_statements(spark, d):
     return sites.findings(sites.statistics(rows, found))
 
 
-@query("c23_metric_points", "SELECT 'requests' AS name, 'sum' AS kind, true AS monotonic, CAST((event_id + 1) * 1000 AS DOUBLE) AS time_ms, CAST(event_id AS DOUBLE) AS value, event_type AS attribute FROM events WHERE event_id % 10 = 0")
-def metric_points(spark, d):
+def _metric_points(rows: DataFrame) -> DataFrame:
     attribute = F.struct(F.lit("type").alias("key"), F.struct(F.col("event_type").alias("stringValue")).alias("value"))
     point = F.struct(F.concat(((F.col("event_id") + 1) * 1000).cast("string"), F.lit("000000")).alias("timeUnixNano"), F.col("event_id").cast("string").alias("asInt"), F.array(attribute).alias("attributes"))
     metric = F.struct(F.lit("requests").alias("name"), F.struct(F.lit(True).alias("isMonotonic"), F.array(point).alias("dataPoints")).alias("sum"))
     payload = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics")))
-    rows = tables.read(spark, d, "events").where("event_id % 10 = 0").select(payload.alias("body"))
-    return otlp.metric_points(rows, "body").select("name", "kind", "monotonic", "time_ms", "value", F.element_at("attributes", "type").alias("attribute"))
+    return otlp.metric_points(rows.select(payload.alias("body")), "body").select("name", "kind", "monotonic", "time_ms", "value", F.element_at("attributes", "type").alias("attribute"))
+
+
+@query("c23_metric_points", "SELECT 'requests' AS name, 'sum' AS kind, true AS monotonic, CAST((event_id + 1) * 1000 AS DOUBLE) AS time_ms, CAST(event_id AS DOUBLE) AS value, event_type AS attribute FROM events WHERE event_id % 10 = 0")
+def metric_points(spark, d):
+    return _metric_points(tables.read(spark, d, "events").where("event_id % 10 = 0"))
+
+
+@query("c23_metric_points_all", "SELECT 'requests' AS name, 'sum' AS kind, true AS monotonic, CAST((event_id + 1) * 1000 AS DOUBLE) AS time_ms, CAST(event_id AS DOUBLE) AS value, event_type AS attribute FROM events")
+def metric_points_all(spark, d):
+    """Of every event."""
+    return _metric_points(tables.read(spark, d, "events"))

@@ -42,3 +42,10 @@ def test_all_kinds_of_sensitive_values_are_counted(spark, tmp_path):
     found = queries.QUERIES["g22_sensitive_kinds"](spark, str(tmp_path)).collect()
     assert {(r.source, r.kind): (r.documents, r.last_id) for r in found} == want
     assert want == {("s0", "email"): (1, 0), ("s0", "card"): (2, 4), ("s1", "email"): (1, 5), ("s1", "aws-key"): (1, 5)}
+
+
+def test_queries_over_all_events_take_every_event(spark):
+    tables = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{tables}/events.parquet").count()
+    for name, column in (("e2_columns_all", "id"), ("c23_metric_points_all", "value"), ("h1_context_all", "anchor")):
+        assert queries.QUERIES[name](spark, tables).select(column).distinct().count() == n
