@@ -11,19 +11,13 @@ BLANKS = r"[^\x20\x09-\x0D]"
 
 def op1() -> str:
     """Measures, sketches, thresholds and verdicts."""
-    values = {"symbols": "n_symbols * 10000 // greatest(word_chars, 1)", "dup_lines": "n_dup_lines * 10000 // greatest(n_lines, 1)", "word_length": "word_chars * 10000 // greatest(n_words, 1)"}
-    rates = ", ".join(f"CAST({v} AS BIGINT) AS r_{k}" for k, v in values.items())
-    shift = f"greatest(length(bin(v)) - {quality.BITS}, 0)"
-    sketch = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, r_{k} AS v FROM m" for k in values)
-    percent = "CASE rule " + " ".join(f"WHEN '{k}' THEN {p}" for k, (p, _, _) in quality.RULES.items()) + " END"
-    most = "CASE rule " + " ".join(f"WHEN '{k}' THEN greatest(at * {f}, {least})" for k, (_, f, least) in quality.RULES.items()) + " END"
-
-    def level(name: str, keys: str) -> str:
-        by = f"{keys}, rule" if keys else "rule"
-        return f"""{name}_c AS (SELECT {by}, cell, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY {by} ORDER BY cell) AS seen, sum(sum(n)) OVER (PARTITION BY {by}) AS total FROM sk GROUP BY {by}, cell),
-  {name} AS (SELECT {by}, any_value(total) AS total, min(cell) FILTER (seen * 100 >= total * {percent}) AS at FROM {name}_c GROUP BY {by})"""
-
-    pick = f"CASE WHEN o.total >= {quality.FEWEST} THEN o.at WHEN l.total >= {quality.FEWEST} THEN l.at ELSE a.at END"
+    own = quality
+    shift = lambda v: f"greatest(length(bin({v})) - {own.BITS}, 0)"
+    cell = lambda v: f"(({v} >> {shift(v)}) << {shift(v)})"
+    rate = lambda part, whole: f"CAST(({part}) * 10000 // greatest({whole}, 1) AS BIGINT)"
+    rates = ", ".join(f"{rate(part, whole)} AS r_{k}, {rate(f'greatest({part} - CAST(ceil({own.DEVIATIONS} * sqrt({part})) AS BIGINT), 0)', whole)} AS l_{k}" for k, (part, whole) in own.RULES.items())
+    sketch = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, r_{k} AS v FROM m" for k in own.RULES)
+    verdict = " AND ".join(f"{cell(f'l_{k}')} <= most_{k}" for k in own.RULES)
     return rf"""WITH d AS (SELECT doc_id, coalesce('=' || lang, 'null') AS lang, coalesce('=' || source, 'null') AS source, coalesce(text, '') AS t FROM documents),
   w AS (SELECT *, regexp_extract_all(t, '{BLANKS}+') AS words, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '{BLANKS}')] AS lines FROM d),
   win AS (SELECT doc_id, i, array_to_string(words[i : i + 4], ' ') AS window5 FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
@@ -32,11 +26,16 @@ def op1() -> str:
   m0 AS (SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
   m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {rates} FROM m0),
-  sk AS (SELECT lang, source, rule, (v >> {shift}) << {shift} AS cell, count(*) AS n FROM ({sketch}) GROUP BY ALL),
-  {level('own', 'lang, source')}, {level('by_lang', 'lang')}, {level('by_all', '')},
-  lim AS (SELECT lang, source, rule, {most.replace('at *', 'picked *')} AS most FROM (SELECT o.lang, o.source, o.rule, {pick} AS picked FROM own o JOIN by_lang l ON l.lang = o.lang AND l.rule = o.rule JOIN by_all a ON a.rule = o.rule)),
-  g AS (SELECT lang, source, {', '.join(f"max(most) FILTER (rule = '{k}') AS most_{k}" for k in values)} FROM lim GROUP BY lang, source)
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(f'r_{k} <= most_{k}' for k in values)} AS kept FROM m JOIN g USING (lang, source)"""
+  sk AS (SELECT lang, source, rule, {cell('v')} AS cell, count(*) AS n FROM ({sketch}) GROUP BY ALL),
+  og AS (SELECT lang, source, rule, sum(n)::BIGINT AS own FROM sk GROUP BY ALL), lg AS (SELECT lang, rule, sum(own)::BIGINT AS total FROM og GROUP BY ALL), ag AS (SELECT rule, sum(own)::BIGINT AS whole FROM og GROUP BY ALL),
+  lc AS (SELECT lang, rule, cell, sum(n)::BIGINT AS n FROM sk GROUP BY ALL), ac AS (SELECT rule, cell, sum(n)::BIGINT AS n FROM sk GROUP BY ALL),
+  parts AS (SELECT lang, source, rule, cell, n * {own.PARTS} AS n FROM sk
+    UNION ALL SELECT lang, source, rule, cell, {own.PARTS} * least({own.PRIOR}, total) * n // total FROM og JOIN lg USING (lang, rule) JOIN lc USING (lang, rule)
+    UNION ALL SELECT og.lang, source, og.rule, cell, {own.PARTS} * ({own.PRIOR} - total) * n // whole FROM og JOIN lg USING (lang, rule) JOIN ag USING (rule) JOIN ac USING (rule) WHERE total < {own.PRIOR}),
+  mc AS (SELECT lang, source, rule, cell, sum(sum(n)) OVER (PARTITION BY lang, source, rule ORDER BY cell) AS seen, sum(sum(n)) OVER (PARTITION BY lang, source, rule) AS in_all FROM parts GROUP BY lang, source, rule, cell),
+  q AS (SELECT lang, source, rule, min(cell) FILTER (seen * 100 >= in_all * 50) AS middle, min(cell) FILTER (seen * 100 >= in_all * {own.PERCENT}) AS upper_ FROM mc GROUP BY ALL),
+  g AS (SELECT lang, source, {', '.join(f"max(upper_ + {own.STRETCH} * (upper_ - middle)) FILTER (rule = '{k}') AS most_{k}" for k in own.RULES)} FROM q GROUP BY lang, source)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {verdict} AS kept FROM m JOIN g USING (lang, source)"""
 
 
 def op7(width: int = 2, percent: int = 80) -> str:

@@ -2,14 +2,18 @@
 
 Every document is measured with DataFrame functions alone. The rates of the documents of each
 language and source go into mergeable quantile sketches: a sketch is the number of rows in each
-of a fixed series of cells whose width grows with the value (six leading bits are kept, so a
-quantile is off by 1/32 of itself at most). Merging sketches is adding counts, so Spark builds
+of a fixed series of cells whose width grows with the value (eight leading bits are kept, so a
+quantile is off by 1/128 of itself at most). Merging sketches is adding counts, so Spark builds
 them with partial sums, whatever the partitions, a hot source is no more work than many small
 ones, and the sketch of a language, or of all rows, comes from those of its sources.
 
-A threshold is a group's upper quantile stretched by a factor; a group of fewer than
-``FEWEST`` documents takes its language's, and a language of fewer the whole table's. The base
-rule (too few words, too many repeated ones) holds besides.
+No rate has a fixed cutoff. A group's threshold is its upper quartile plus ``STRETCH`` times the
+distance from its median, read from its own sketch merged with its language's, which counts as
+``PRIOR`` documents, so a group of few documents leans on its language and a large one on itself;
+what a language of fewer documents can't supply comes from all rows. A text is judged by the
+least rate that its counts support, the count less ``DEVIATIONS`` square roots of it, so a few
+marks in a text, or few words, tell nothing. The base rule (too few words, too many repeated
+ones) holds besides.
 """
 
 from __future__ import annotations
@@ -17,18 +21,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.scratch import Scratch
+
 from .common import split_words, whole_text
 
-#: Documents that a sketch needs before its quantiles decide.
-FEWEST = 200
+#: Documents that a language's sketch counts as in those of its groups.
+PRIOR = 200
+#: Merged counts are whole numbers of this part of a document.
+PARTS = 1000
 #: Bits of a value that a cell keeps.
-BITS = 6
-#: Rates in ten-thousandths, with the percentile, the factor and the least threshold of each.
-RULES = {
-    "symbols": (75, 4, 600),
-    "dup_lines": (90, 3, 4000),
-    "word_length": (95, 2, 100_000),
-}
+BITS = 8
+#: The upper quantile in percent, and how many times its distance from the median is added.
+PERCENT, STRETCH = 75, 3
+#: Square roots of a count that are taken off before a text is judged by it.
+DEVIATIONS = 2
+#: Rates in ten-thousandths: what is counted, and of how many.
+RULES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: Rows of thresholds that may be broadcast; each is under 200 bytes.
 MOST_BROADCAST = 10_000
@@ -85,10 +93,19 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def rate(part: Column, whole: str) -> Column:
+    return F.floor(10_000 * part / F.greatest(F.col(whole), F.lit(1))).cast("long")
+
+
 def rates() -> dict[str, Column]:
-    """What the rules bound, as whole ten-thousandths."""
-    share = lambda part, whole: F.floor(10_000 * F.col(part) / F.greatest(F.col(whole), F.lit(1))).cast("long")
-    return {"symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"), "word_length": share("word_chars", "n_words")}
+    """What the sketches hold, as whole ten-thousandths."""
+    return {name: rate(F.col(part), whole) for name, (part, whole) in RULES.items()}
+
+
+def least_rates() -> dict[str, Column]:
+    """What the verdicts compare: the rates of counts less ``DEVIATIONS`` square roots of them."""
+    less = lambda part: F.greatest(F.col(part) - F.ceil(DEVIATIONS * F.sqrt(part)), F.lit(0))
+    return {name: rate(less(part), whole) for name, (part, whole) in RULES.items()}
 
 
 def cell(value: Column) -> Column:
@@ -108,54 +125,65 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang_key", "source_key", "x.rule", "x.cell").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """For every group of ``keys`` its rows and, for each rule, the stretched upper quantile."""
-    merged = sketch.groupBy(*keys, "rule", "cell").agg(F.sum("n").alias("n"))
-    cells = F.array_sort(F.collect_list(F.struct("cell", "n")))  # some hundreds of cells at most
-    grouped = merged.groupBy(*keys, "rule").agg(cells.alias("cells"), F.sum("n").alias("in_all"))
-    out = []
-    for rule, (percent, factor, least) in RULES.items():
-        below = F.aggregate(
-            "cells",
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at")),
-            lambda s, c: F.struct((s["seen"] + c["n"]).alias("seen"), F.when((s["at"] < 0) & ((s["seen"] + c["n"]) * 100 >= F.col("in_all") * percent), c["cell"]).otherwise(s["at"]).alias("at")),
-        )["at"]
-        out.append(F.max(F.when(F.col("rule") == rule, F.greatest(below * factor, F.lit(least)))).alias(f"most_{rule}"))
-    return grouped.groupBy(*keys).agg(F.max("in_all").alias("rows"), *out)
+def merged(sketch: DataFrame) -> DataFrame:
+    """The sketches of every group with their language's and, for small languages, the whole table's counts merged in."""
+    groups = sketch.groupBy("lang_key", "source_key", "rule").agg(F.sum("n").alias("own"))
+    lang = sketch.groupBy("lang_key", "rule", "cell").agg(F.sum("n").alias("n"))
+    of_lang = groups.groupBy("lang_key", "rule").agg(F.sum("own").alias("total"))
+    every = sketch.groupBy("rule", "cell").agg(F.sum("n").alias("n")).join(groups.groupBy("rule").agg(F.sum("own").alias("whole")), "rule")
+    keys = ["lang_key", "source_key", "rule", "cell"]
+    own = sketch.select(*keys, (F.col("n") * PARTS).alias("n"))
+    placed = groups.select("lang_key", "source_key", "rule").join(of_lang, ["lang_key", "rule"])
+    from_lang = placed.join(lang, ["lang_key", "rule"]).select(*keys, F.expr(f"{PARTS} * least({PRIOR}, total) * n div total").alias("n"))
+    from_all = placed.where(F.col("total") < PRIOR).join(every, "rule").select(*keys, F.expr(f"{PARTS} * ({PRIOR} - total) * n div whole").alias("n"))
+    return own.union(from_lang).union(from_all).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """One row a language and source: ``lang_key``, ``source_key`` and ``most_<rule>`` for each rule."""
-    sketch = sketches(measured)
-    own = quantiles(sketch, ["lang_key", "source_key"])
-    named = lambda df, tag: df.select(*[c for c in df.columns if c.endswith("_key")], *[F.col(c).alias(f"{c}_{tag}") for c in df.columns if not c.endswith("_key")])
-    joined = own.join(named(quantiles(sketch, ["lang_key"]), "lang"), "lang_key").crossJoin(named(quantiles(sketch.withColumn("all_key", F.lit("all")), ["all_key"]), "all").drop("all_key"))
-    pick = lambda c: F.when(F.col("rows") >= FEWEST, F.col(c)).when(F.col("rows_lang") >= FEWEST, F.col(f"{c}_lang")).otherwise(F.col(f"{c}_all")).alias(c)
-    return joined.select("lang_key", "source_key", *[pick(f"most_{rule}") for rule in RULES])
+    """One row a language and source: ``lang_key``, ``source_key`` and ``most_<rule>`` for each rule; no rows of an empty table."""
+    cells = F.array_sort(F.collect_list(F.struct("cell", "n")))  # some thousands of cells at most
+    grouped = merged(sketches(measured)).groupBy("lang_key", "source_key", "rule").agg(cells.alias("cells"), F.sum("n").alias("in_all"))
+
+    def quantile(percent: int) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at"))
+
+        def step(s: Column, c: Column) -> Column:
+            seen = s["seen"] + c["n"]
+            return F.struct(seen.alias("seen"), F.when((s["at"] < 0) & (seen * 100 >= F.col("in_all") * percent), c["cell"]).otherwise(s["at"]).alias("at"))
+
+        return F.aggregate("cells", start, step)["at"]
+
+    found = grouped.select("lang_key", "source_key", "rule", quantile(50).alias("middle"), quantile(PERCENT).alias("upper"))
+    most = F.col("upper") + STRETCH * (F.col("upper") - F.col("middle"))
+    return found.groupBy("lang_key", "source_key").agg(*[F.max(F.when(F.col("rule") == rule, most)).alias(f"most_{rule}") for rule in RULES])
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """``measured`` with ``kept``: no base failure and no rate above its group's threshold.
+    """``measured`` with ``kept``: no base failure and no least rate above its group's threshold; other columns stay as they are.
 
     ``limits`` has a row a group. It is broadcast only if it is counted to be ``MOST_BROADCAST``
-    rows at most; else a sort-merge join, whose hot groups adaptive execution splits.
+    rows at most; else, where it is a table (:class:`Scratch`), both sides are plain shuffles, of
+    which adaptive execution splits hot groups.
     """
-    few = limits.limit(MOST_BROADCAST + 1).collect()
-    if len(few) <= MOST_BROADCAST:
-        limits = F.broadcast(measured.sparkSession.createDataFrame(few, limits.schema))
-    keyed = measured.drop("kept").withColumns({"lang_key": group_key("lang"), "source_key": group_key("source")})
+    few = limits.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    own = F.struct(*[F.col(f"`{c}`") for c in measured.columns if c != "kept"]).alias("row")
+    least = F.struct(*[value.alias(name) for name, value in least_rates().items()]).alias("least")
+    keyed = measured.select(own, least, "base_failed", group_key("lang").alias("lang_key"), group_key("source").alias("source_key"))
     passed = ~F.col("base_failed")
-    for rule, value in rates().items():
-        passed &= value <= F.col(f"most_{rule}")
-    return keyed.join(limits, ["lang_key", "source_key"], "left").withColumn("kept", F.coalesce(passed, F.lit(False))).drop("lang_key", "source_key", *[f"most_{rule}" for rule in RULES])
+    for rule in RULES:
+        passed &= cell(F.col(f"least.{rule}")) <= F.col(f"most_{rule}")
+    joined = keyed.join(F.broadcast(limits) if few else limits, ["lang_key", "source_key"], "left")
+    return joined.select("row.*", F.coalesce(passed, F.lit(False)).alias("kept"))
 
 
-def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with its columns.
+def filter_documents(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, with its columns, whatever their names.
 
-    Measures twice, for the sketches and for the verdicts, so that texts are never shuffled.
+    Rows with null texts, or none of the words that the base rule asks for, go; a null language or
+    source is a group of its own. Rows are measured once and kept in ``scratch`` with what was
+    measured, so texts are never shuffled. An empty table gives an empty table.
     """
-    limits = thresholds(measure(docs.select("lang", "source", text), text))
-    wanted = docs.select("*", *[F.col(c).alias(f"_own_{c}") for c in docs.columns])
-    judged = judge(measure(wanted, text), limits).where("kept")
-    return judged.select(*[F.col(f"_own_{c}").alias(c) for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "lang", "source", F.col(text).alias("text"))
+    measured = scratch.keep(measure(rows).drop("text"), "measured")
+    limits = scratch.keep(thresholds(measured), "thresholds")
+    return judge(measured, limits).where("kept").select("whole.*")

@@ -21,8 +21,9 @@ def vocabulary(name: str) -> str:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.measure(documents(spark, sf_dir)).drop("text")
-    kept = Scratch(spark, "op1").keep(measured, "measures")  # without texts; read for the sketches and for the verdicts
-    judged = quality.judge(kept, quality.thresholds(kept))
+    scratch = Scratch(spark, "op1")
+    kept = scratch.keep(measured, "measures")  # without texts; read for the sketches and for the verdicts
+    judged = quality.judge(kept, scratch.keep(quality.thresholds(kept), "thresholds"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

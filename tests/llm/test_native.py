@@ -1,10 +1,12 @@
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 from lumenlog.llm import fingerprints, licenses, quality
+from lumenlog.scratch import Scratch
 
 from .fixtures import rows, table
 
@@ -43,13 +45,59 @@ def test_cells_keep_leading_bits(spark, value):
     assert cell == value >> shift << shift
 
 
+def verdicts(spark, some):
+    measured = quality.measure(table(spark, some=some))
+    return {r.doc_id: r.kept for r in quality.judge(measured, quality.thresholds(measured)).collect()}
+
+
 def test_thresholds_adapt_to_the_source(spark):
-    code = [(i, "fn main # $ | & x y z w v u " + " ".join(f"w{j}" for j in range(i % 7)) + f" u{i}", "en", "code", 0) for i in range(300)]
+    code = [(i, "fn main # $ | & x y z w v u " * 3 + " ".join(f"w{j}" for j in range(i % 7)) + f" u{i} # $ | &" * (1 + i % 5), "en", "code", 0) for i in range(300)]
+    code = [(i, " ".join(f"{w}{i + k}" if k % 7 else w for k, w in enumerate(t.split())), *rest) for i, t, *rest in code]
     plain = [(1000 + i, "some plain words without any of those marks at all here " + f"u{i}", "en", "plain", 0) for i in range(300)]
-    odd = (5000, "some ## plain $$ words && with || many %% marks << in >> it ** ## ## ##", "en", "plain", 0)
-    measured = quality.measure(table(spark, some=[*code, *plain, odd]))
-    kept = {r.doc_id: r.kept for r in quality.judge(measured, quality.thresholds(measured)).collect()}
-    assert all(kept[r[0]] for r in [*code, *plain]) and not kept[5000]
+    marked = code[4][1]
+    few = "some plain words without many of those * marks at all here"
+    kept = verdicts(spark, [*code, *plain, (5000, marked, "en", "plain", 0), (5001, few, "en", "plain", 0)])
+    assert all(kept[r[0]] for r in plain) and sum(kept[r[0]] for r in code) > 290
+    assert kept[4] and not kept[5000], "the text passes in its own source only"
+    assert kept[5001], "one mark is no rate"
+
+
+def test_small_groups_lean_on_their_language(spark):
+    plain = [(i, f"some plain words without any marks here or there u{i} v{i}", "en", "plain", 0) for i in range(400)]
+    odd = " ".join(f"## $$ && word{i}" for i in range(20))
+    kept = verdicts(spark, [*plain, (1000, odd, "en", "rare", 0), (1001, odd + " more", "en", "rare", 0)])
+    assert not kept[1000] and not kept[1001], "the two are all that their source has"
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_sketches_decide_on_the_test_tables(spark, sf):
+    """Thresholds differ among groups, and no constants in their place give the same verdicts."""
+    path = f"/root/testdata/sf{sf}/documents.parquet"
+    if not Path(path).exists():
+        pytest.skip("no test tables here")
+    measured = quality.measure(spark.read.parquet(path)).drop("text").persist()
+    limits = quality.thresholds(measured)
+    found = limits.collect()
+    assert len({r.most_word_length for r in found}) > 5
+    kept = lambda most: {r.doc_id for r in quality.judge(measured, most).where("kept").select("doc_id").collect()}
+    adapted = kept(limits)
+    names = [f"most_{rule}" for rule in quality.RULES]
+    for pick in (min, max) if sf == "0.1" else (min,):
+        same = spark.createDataFrame([(r.lang_key, r.source_key, *[pick(x[n] for x in found) for n in names]) for r in found], limits.schema)
+        assert kept(same) != adapted
+    measured.unpersist()
+
+
+def test_filter_keeps_columns_of_any_name(spark):
+    clashing = table(spark).selectExpr("*", *[f"'mine' AS {c}" for c in ("most_symbols", "most_word_length", "lang_key", "source_key", "whole", "n_symbols", "base_failed", "row", "least")])
+    found = quality.filter_documents(clashing, Scratch(spark, "t"))
+    assert found.columns == clashing.columns and found.count() > 5
+    assert {r.most_symbols + r.lang_key + r.whole + r.n_symbols for r in found.collect()} == {"mine" * 4}
+    own = [c for c in clashing.columns if c not in ("n_symbols", "base_failed", "n_words", "kept")]
+    measured = quality.measure(clashing)
+    judged = quality.judge(measured, quality.thresholds(measured))
+    assert set(own) <= set(judged.columns) and judged.where("lang_key = 'mine' AND most_symbols = 'mine'").count() == len(rows())
+    assert quality.filter_documents(table(spark, some=[]), Scratch(spark, "t")).count() == 0
 
 
 def test_empty_tables(spark):
