@@ -16,7 +16,7 @@ from lumenlog.scratch import Scratch
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or their group's thresholds go."""
-    return quality.filter_documents(docs)
+    return quality.filter_documents(docs, Scratch(spark, "stage-quality"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
