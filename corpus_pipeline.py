@@ -25,10 +25,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 200-byte strings that are found elsewhere go; ``n_chars`` follows the text."""
-    cut = substrings.remove_repeats(docs, Scratch(spark, "stage-substrings"), with_text=True, carry=("lang", "source"))
-    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
-    return cut.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns if c in (*made, "doc_id", "lang", "source")])
+    """Bytes of 200-byte strings that are found elsewhere go; ``n_chars`` follows the text, other columns stay as they are."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    beside = docs.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("beside"))
+    cut = substrings.remove_repeats(beside, Scratch(spark, "stage-substrings"), with_text=True, carry=("beside",))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    return cut.select(*[made.get(c, F.col(f"beside.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
