@@ -17,8 +17,8 @@ neighbours in the order of suffixes, and only their first ``LENGTH`` bytes matte
 4. Compare adjacent prefixes. Equal neighbours are the repeated strings; what they cover is removed.
 
 Order is that of fingerprints, not of letters: any order that puts equal strings side by side
-serves. Tuples of steps 1 and 2 travel as the 32 bits of a fingerprint that follow those of their
-range, so they may collide, which adds candidates and loses none. Step 4 decides removals and
+serves. Tuples of steps 1 and 2 travel as the 24 bits of a fingerprint that follow those of their
+range, so one in a hundred may collide, which adds candidates and loses none. Step 4 decides removals and
 compares 64 bits of a second, independent fingerprint beside the bits of the range of the first:
 76 bits at 10^8 candidates, where two different strings of all agree with probability 10^-7, and
 91 bits at 10^13, as ranges grow in number with the corpus.
@@ -54,7 +54,7 @@ COVER = [0, 1, 3, 13, 32, 36, 43, 52]
 #: Names of a range, about; ranges are sorted in memory.
 PER_RANGE = 400_000
 #: Bytes of a name that travel, beside the bits of its range: ranges grow in number with the corpus.
-SAMPLE_BYTES, STRING_BYTES = 4, 8
+SAMPLE_BYTES, STRING_BYTES, STRING_BACK = 3, 8, 7
 #: Bytes of text taken together, and names gathered before they are sent.
 AT_ONCE, MOST_NAMES = 1 << 21, 6_000_000
 #: The second fingerprint: its own number for each byte and its own base.
@@ -181,12 +181,14 @@ def unpacked(data: bytes, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def shared_names(rows: DataFrame, size: int, ranked: bool = False) -> DataFrame:
+def shared_names(rows: DataFrame, size: int, ranked: bool = False, back: int | None = None) -> DataFrame:
     """For every block and range the names of the block that are found in more than one place: ``block``, ``part``, ``names``, ``n_home``.
 
     The first ``n_home`` of the names are those that no block before has. ``ranks`` has the place of
-    each name among the repeated ones of its range, if asked for.
+    each name among the repeated ones of its range, if asked for. Of each name the low ``back``
+    bytes come back, all if not given: they only tell the names of one block apart.
     """
+    back = back or size
 
     def compare(group: pa.Table) -> pa.Table:
         once = [unpacked(x, size) for x in group.column("once").to_pylist()]
@@ -200,7 +202,7 @@ def shared_names(rows: DataFrame, size: int, ranked: bool = False) -> DataFrame:
             fresh = ~seen[at]
             seen[at] = True
             order = np.concatenate([np.flatnonzero(fresh), np.flatnonzero(~fresh)])
-            out[k], home[k] = packed(own[order], size), int(fresh.sum())
+            out[k], home[k] = packed(own[order], back), int(fresh.sum())
             if ranked:
                 ranks[k] = at[order].astype("<u4").tobytes()
         return pa.table({"block": group.column("block"), "part": group.column("part"), "names": pa.array(out, pa.binary()), "n_home": pa.array(home, pa.int32()), "ranks": pa.array(ranks, pa.binary())})
@@ -224,7 +226,7 @@ class Held:
 
     def coded(self, parts: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Range and key as one number, if it has room for both; else the key, and ranges are compared beside it."""
-        return keys if self.size == 8 else parts.astype(np.uint64) << np.uint64(8 * self.size) | keys
+        return keys & np.uint64((1 << 8 * self.size) - 1) if self.size > STRING_BACK - 1 else parts.astype(np.uint64) << np.uint64(8 * self.size) | keys
 
     def places(self, parts: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Where each name stands here, -1 if it doesn't."""
@@ -374,14 +376,14 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", id: st
         first, second = BlockFiles(tuples), BlockFiles(pairs)
         return lambda block, texts: texts.strings(remaining(first, second, block, texts))
 
-    strings = BlockFiles.write(shared_names(send(STRING_BYTES, 2, merge), STRING_BYTES), scratch.path("strings"))
+    strings = BlockFiles.write(shared_names(send(STRING_BYTES, 2, merge), STRING_BYTES, back=STRING_BACK), scratch.path("strings"))
 
     def cut(batches):
         first, second, third = BlockFiles(tuples), BlockFiles(pairs), BlockFiles(strings)
         for block, own, texts, roles in _walk(batches, BlockFiles(copies), length):
             at = remaining(first, second, block, texts)
             values, beside = texts.strings(at)
-            gone = texts.covered(at[third.held(block, STRING_BYTES).has(values, bits[2], beside)])
+            gone = texts.covered(at[third.held(block, STRING_BACK).has(values, bits[2], beside)])
             out = []
             for k, (_, _, key, data, *_) in enumerate(own):
                 n = len(data)
