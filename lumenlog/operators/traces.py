@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
 
-#: Levels after which one is kept, so plans of deep trees stay short.
-KEPT_LEVELS = 8
-
 
 def distinct_spans(spans: DataFrame) -> DataFrame:
     """One span a trace and id: the earliest."""
@@ -20,41 +15,49 @@ def distinct_spans(spans: DataFrame) -> DataFrame:
 
 
 def with_roots(spans: DataFrame) -> DataFrame:
-    """``spans`` with ``parent_id`` null where the parent isn't in the trace."""
+    """``spans`` with ``parent_id`` null where the parent isn't in the trace or is the span itself."""
     parents = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("_there"))
     joined = spans.join(parents, ["trace_id", "parent_id"], "left")
-    return joined.withColumn("parent_id", F.when(F.col("_there"), F.col("parent_id"))).drop("_there")
+    return joined.withColumn("parent_id", F.when(F.col("_there") & (F.col("parent_id") != F.col("span_id")), F.col("parent_id"))).drop("_there")
+
+
+def _climbed(nodes: DataFrame, scratch: Scratch, join) -> DataFrame:
+    """``nodes`` whose ``up`` has been led to a root, where it is null.
+
+    Each round every node takes over what the node at ``up`` has, so the distance doubles: as many
+    rounds as the logarithm of the deepest tree. ``join(low, high)`` gives the columns that are carried on
+    of a node and of the one at its ``up``. Nodes that reach no root, on a cycle or above a gap,
+    are left out once a round leads none to a root.
+    """
+    names = [c for c in nodes.columns if c not in ("trace_id", "span_id", "up")]
+    now, before = scratch.keep(nodes, "nodes"), None
+    while (left := now.where("up IS NOT NULL").count()) and left != before:
+        high = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in names])
+        carried = now.where("up IS NOT NULL").join(high, ["trace_id", "up"])
+        moved = carried.select("trace_id", "span_id", F.col("_up").alias("up"), *[join(c).alias(c) for c in names])
+        after = scratch.keep(now.where("up IS NULL").unionByName(moved), "nodes")
+        scratch.drop(now)
+        now, before = after, left
+    return now.where("up IS NULL")
 
 
 def waterfall(spans: DataFrame) -> DataFrame:
     """Depth, ordinal in depth-first order and offset from the trace's start of every span that a root reaches.
 
-    Level by level, parents join their children and hand down the path of (start, end, id) that
-    orders the tree; as many joins as the deepest trace has levels. Ids are distinct in a trace
-    (:func:`distinct_spans`), so no root reaches a cycle.
+    A span's path of (start, end, id) from its root orders the tree. Ids are distinct in a trace
+    (:func:`distinct_spans`); spans on a cycle have no root and no row, of any depth none is cut.
     """
     scratch = Scratch(spans.sparkSession, "waterfall")
-    rooted = scratch.keep(with_roots(spans).select("trace_id", "span_id", "parent_id", "start_ms", "end_ms"), "rooted")
-    step = F.struct("start_ms", "end_ms", "span_id")
-    level = rooted.where("parent_id IS NULL").select("trace_id", "span_id", "start_ms", "end_ms", F.lit(0).alias("depth"), F.array(step).alias("path"))
-    out = level
-    children = rooted.where("parent_id IS NOT NULL")
-    for depth in itertools.count(1):
-        above = level.select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_path"))
-        level = children.join(above, ["trace_id", "parent_id"]).select("trace_id", "span_id", "start_ms", "end_ms", F.lit(depth).alias("depth"), F.concat("_path", F.array(step)).alias("path"))
-        if depth % KEPT_LEVELS == 0:
-            level = scratch.keep(level, "level")
-        if level.limit(1).count() == 0:
-            break
-        out = out.union(level)
-    every = Window.partitionBy("trace_id")
-    return out.select("trace_id", "span_id", "depth", F.row_number().over(every.orderBy("path")).alias("ordinal"), (F.col("start_ms") - F.min("start_ms").over(every)).alias("offset_ms"))
+    nodes = with_roots(spans).select("trace_id", "span_id", F.col("parent_id").alias("up"), F.array(F.struct("start_ms", "end_ms", "span_id")).alias("path"))
+    out = _climbed(nodes, scratch, lambda c: F.concat(f"_{c}", c))
+    every, own = Window.partitionBy("trace_id"), F.element_at("path", -1)["start_ms"]
+    return out.select("trace_id", "span_id", (F.size("path") - 1).alias("depth"), F.row_number().over(every.orderBy("path")).alias("ordinal"), (own - F.min(own).over(every)).alias("offset_ms"))
 
 
 def self_times(spans: DataFrame) -> DataFrame:
-    """Duration of every span less the union of its children's time within it."""
+    """Duration of every span less the union of its children's time within it; a span is no child of itself."""
     parents = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"))
-    clipped = spans.join(parents, ["trace_id", "parent_id"]).select("trace_id", "parent_id", F.greatest("start_ms", "_from").alias("a"), F.least("end_ms", "_to").alias("b")).where("b > a")
+    clipped = spans.join(parents, ["trace_id", "parent_id"]).select("trace_id", "parent_id", F.greatest("start_ms", "_from").alias("a"), F.least("end_ms", "_to").alias("b"), "span_id").where("b > a AND span_id <> parent_id").drop("span_id")
     order = Window.partitionBy("trace_id", "parent_id").orderBy("a", "b")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = clipped.withColumn("_before", before).select("trace_id", F.col("parent_id").alias("span_id"), F.greatest(F.lit(0.0), F.col("b") - F.greatest("a", F.coalesce("_before", "a"))).alias("covered"))
@@ -94,15 +97,8 @@ def critical_paths(spans: DataFrame) -> DataFrame:
     scratch = Scratch(spans.sparkSession, "critical_paths")
     rooted = scratch.keep(with_roots(spans).select("trace_id", "span_id", "parent_id", "start_ms", "end_ms"), "rooted")
     roots = Window.partitionBy("trace_id").orderBy(F.desc("end_ms"), "start_ms", "span_id")
-    level = rooted.where("parent_id IS NULL").withColumn("_n", F.row_number().over(roots)).where("_n = 1").select("trace_id", "span_id")
+    first = rooted.where("parent_id IS NULL").withColumn("_n", F.row_number().over(roots)).where("_n = 1")
     last = Window.partitionBy("trace_id", "parent_id").orderBy(F.desc("end_ms"), F.desc("start_ms"), F.desc("span_id"))
-    chosen = rooted.where("parent_id IS NOT NULL").withColumn("_n", F.row_number().over(last)).where("_n = 1").select("trace_id", "parent_id", "span_id")
-    out = level.withColumn("step", F.lit(0))
-    for step in itertools.count(1):
-        level = chosen.join(level.select("trace_id", F.col("span_id").alias("parent_id")), ["trace_id", "parent_id"]).select("trace_id", "span_id")
-        if step % KEPT_LEVELS == 0:
-            level = scratch.keep(level, "level")
-        if level.limit(1).count() == 0:
-            break
-        out = out.union(level.withColumn("step", F.lit(step)))
-    return out
+    chosen = rooted.where("parent_id IS NOT NULL").withColumn("_n", F.row_number().over(last)).where("_n = 1")
+    nodes = first.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.lit(0).alias("step")).union(chosen.select("trace_id", "span_id", "parent_id", F.lit(1)))
+    return _climbed(nodes, scratch, lambda c: F.col(c) + F.col(f"_{c}")).select("trace_id", "span_id", "step")

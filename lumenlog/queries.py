@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions import fields, text
+from lumenlog.functions import fields, redaction, text
 from lumenlog.operators import analytics, calls, errors, metrics, pages, requests, sites, traces
 from lumenlog.plans import predicates as P
 from lumenlog.sources import lines, otlp, tables
@@ -71,15 +71,9 @@ def rules(spark, d):
     return tables.events(spark, d).groupBy("server_id").agg(*[F.count_if(c).alias(n) for n, c in named.items()])
 
 
-@query("e2_columns", f"WITH {EV} SELECT id, CAST(user_id AS VARCHAR) AS user_id, CAST(status AS VARCHAR) AS status, server_id AS server FROM ev WHERE id % 3 = 0")
+@query("e2_columns", f"WITH {EV} SELECT id, CAST(user_id AS VARCHAR) AS user_id, CAST(status AS VARCHAR) AS status, server_id AS server FROM ev")
 def columns(spark, d):
     """Some fields as columns, by alias."""
-    return tables.events(spark, d).where("id % 3 = 0").select("id", fields.field("user_id").alias("user_id"), fields.field("status").alias("status"), fields.field("serverId").alias("server"))
-
-
-@query("e2_columns_all", f"WITH {EV} SELECT id, CAST(user_id AS VARCHAR) AS user_id, CAST(status AS VARCHAR) AS status, server_id AS server FROM ev")
-def columns_all(spark, d):
-    """Of every event."""
     return tables.events(spark, d).select("id", fields.field("user_id").alias("user_id"), fields.field("status").alias("status"), fields.field("serverId").alias("server"))
 
 
@@ -195,10 +189,10 @@ def nearest_rank(spark, d):
 
 
 @query("h1_context", f"""WITH {EV}, n AS (SELECT id, server_id, session_id, row_number() OVER (PARTITION BY server_id, session_id ORDER BY id) AS place FROM ev)
-  SELECT a.id AS anchor, n.id, CAST(n.place - a.place AS INT) AS distance FROM n a JOIN n ON n.server_id = a.server_id AND n.session_id = a.session_id AND abs(n.place - a.place) <= 25 WHERE a.id % 1000 = 500""")
+  SELECT a.id AS anchor, n.id, CAST(n.place - a.place AS INT) AS distance FROM n a JOIN n ON n.server_id = a.server_id AND n.session_id = a.session_id AND abs(n.place - a.place) <= 25 WHERE a.id % 100 = 0""")
 def context(spark, d):
     rows = tables.events(spark, d)
-    return pages.context(rows, rows.where("id % 1000 = 500")).withColumn("distance", F.col("distance").cast("int"))
+    return pages.context(rows, rows.where("id % 100 = 0")).withColumn("distance", F.col("distance").cast("int"))
 
 
 @query("h1_context_all", f"""WITH {EV}, n AS (SELECT id, server_id, session_id, row_number() OVER (PARTITION BY server_id, session_id ORDER BY id) AS place FROM ev)
@@ -305,7 +299,7 @@ SPANS = """day AS (SELECT l_orderkey AS trace_id, l_orderkey || '-' || l_linenum
   CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS start_ms, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + l_quantity AS end_ms, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END AS status_code FROM lineitem),
   lasts AS (SELECT trace_id, max(end_ms) AS last FROM day GROUP BY trace_id), ord AS (SELECT o_orderkey AS trace_id, CAST(o_orderkey AS VARCHAR) AS span_id, CAST(NULL AS VARCHAR) AS parent_id, o_orderpriority AS name, 'orders' AS service,
   CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS start_ms, greatest(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)), coalesce(last, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)))) AS end_ms, 0 AS status_code FROM orders LEFT JOIN lasts ON lasts.trace_id = o_orderkey),
-  spans0 AS (SELECT * FROM ord UNION ALL SELECT * FROM day), spans AS (SELECT * FROM spans0 QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY start_ms, end_ms, name, status_code) = 1),
+  spans0 AS (SELECT * FROM ord UNION ALL SELECT * FROM day), spans AS MATERIALIZED (SELECT * FROM spans0 QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY start_ms, end_ms, name, status_code) = 1),
   rooted AS (SELECT s.* REPLACE (CASE WHEN p.span_id IS NOT NULL THEN s.parent_id END AS parent_id) FROM spans s LEFT JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.parent_id)"""
 
 
@@ -530,12 +524,40 @@ def _metric_points(rows: DataFrame) -> DataFrame:
     return otlp.metric_points(rows.select(payload.alias("body")), "body").select("name", "kind", "monotonic", "time_ms", "value", F.element_at("attributes", "type").alias("attribute"))
 
 
-@query("c23_metric_points", "SELECT 'requests' AS name, 'sum' AS kind, true AS monotonic, CAST((event_id + 1) * 1000 AS DOUBLE) AS time_ms, CAST(event_id AS DOUBLE) AS value, event_type AS attribute FROM events WHERE event_id % 10 = 0")
+@query("c23_metric_points", "SELECT 'requests' AS name, 'sum' AS kind, true AS monotonic, CAST((event_id + 1) * 1000 AS DOUBLE) AS time_ms, CAST(event_id AS DOUBLE) AS value, event_type AS attribute FROM events")
 def metric_points(spark, d):
-    return _metric_points(tables.read(spark, d, "events").where("event_id % 10 = 0"))
+    return _metric_points(tables.read(spark, d, "events"))
 
 
-@query("c23_metric_points_all", "SELECT 'requests' AS name, 'sum' AS kind, true AS monotonic, CAST((event_id + 1) * 1000 AS DOUBLE) AS time_ms, CAST(event_id AS DOUBLE) AS value, event_type AS attribute FROM events")
-def metric_points_all(spark, d):
-    """Of every event."""
-    return _metric_points(tables.read(spark, d, "events"))
+@query("o2_assignments", """SELECT event_id AS id, 'login user=u' || user_id || ' password=[REDACTED] api_key: "[REDACTED]", max_tokens=' || event_id || ' Authorization: [REDACTED] db_pwd=[REDACTED]; {"secret":"[REDACTED]","kind":"' || event_type || '"} cookie=[REDACTED]' AS redacted FROM events""")
+def redacted_assignments(spark, d):
+    """Assignments of sensitive keys in texts that carry them in every form."""
+    own = F.format_string('login user=u%d password=p%d api_key: "k \\" %d", max_tokens=%d Authorization: Bearer abc%d db_pwd=x%d; {"secret":"s%d","kind":"%s"} cookie={"a": [%d]}', *["user_id"] + ["event_id"] * 6, "event_type", "event_id")
+    return tables.read(spark, d, "events").select(F.col("event_id").alias("id"), redaction.redact_assignments(own).alias("redacted"))
+
+
+@query("o4_fields", """SELECT event_id AS id, 'auth.token=[REDACTED]|auth.user=u' || user_id || '|max_tokens=' || event_id || '|note=key [REDACTED]|token=[REDACTED]|Api-Key=[REDACTED]|twin=[REDACTED]|x.secret.twin=[REDACTED]' AS redacted FROM events""")
+def redacted_fields(spark, d):
+    """Fields by name, by configured name, and as twins of sensitive paths."""
+    n = F.col("event_id").cast("string")
+    of = {"auth.token": F.concat(F.lit("t"), n), "auth.user": F.concat(F.lit("u"), F.col("user_id")), "max_tokens": n, "note": F.concat(F.lit("key AKIA"), F.lpad(n, 16, "0")), "token": F.concat(F.lit("t"), n), "Api-Key": n, "twin": F.concat(F.lit("w"), n), "x.secret.twin": F.concat(F.lit("w"), n)}
+    made = F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v)])
+    shown = F.array_join(F.transform(F.map_entries(redaction.redact_fields(made)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return tables.read(spark, d, "events").select(F.col("event_id").alias("id"), shown.alias("redacted"))
+
+
+def _chains(rows: DataFrame) -> DataFrame:
+    """Events as spans: each hundred is one chain, whose first span names itself as its parent."""
+    n = F.col("event_id")
+    return rows.select(F.floor(n / 100).alias("trace_id"), n.cast("string").alias("span_id"), F.when(n % 100 == 0, n).otherwise(n - 1).cast("string").alias("parent_id"), (n % 100).cast("double").alias("start_ms"), F.lit(200.0).alias("end_ms"))
+
+
+@query("r1_deep_waterfall", "SELECT event_id // 100 AS trace_id, CAST(event_id AS VARCHAR) AS span_id, CAST(event_id % 100 AS INT) AS depth, CAST(event_id % 100 + 1 AS INT) AS ordinal, CAST(event_id % 100 AS DOUBLE) AS offset_ms FROM events")
+def deep_waterfall(spark, d):
+    """Chains of a hundred spans."""
+    return traces.waterfall(_chains(tables.read(spark, d, "events")))
+
+
+@query("r2_deep_critical_path", "SELECT event_id // 100 AS trace_id, CAST(event_id AS VARCHAR) AS span_id, CAST(event_id % 100 AS INT) AS step FROM events")
+def deep_critical_path(spark, d):
+    return traces.critical_paths(_chains(tables.read(spark, d, "events")))
