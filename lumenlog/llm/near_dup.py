@@ -18,9 +18,8 @@ sorted list of shingles with their owners, and streams some of the members past
 becomes a row and only one link for a query and component leaves the task.
 
 Sets do not travel: texts of candidates go to their pivot or block, salted so that many members
-are spread over tasks, and sets are rebuilt there. Tables that hot digests, buckets, pivots or
-clusters are joined with are kept first, so both sides of these joins are plain shuffles, of which
-adaptive execution splits the hot key.
+are spread over tasks, and sets are rebuilt there. The table of equal sets is kept before rows
+join it, so both sides of the join are plain shuffles, of which adaptive execution splits a hot digest.
 """
 
 from __future__ import annotations
@@ -98,9 +97,9 @@ def signatures(docs: DataFrame, text: str, id: str, width: int, lower: bool) ->
     return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, text: str, id: str, width: int, lower: bool, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, text: str, id: str, width: int, lower: bool, percent: int) -> DataFrame:
     """Those of ``pairs`` (``pivot``, ``member``) whose full sets are similar enough, as edges ``u``, ``v``."""
-    groups = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_PIVOT).alias("parts")), "parts")
+    groups = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_PIVOT).alias("parts"))
     dealt = pairs.join(groups, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member")
     wanted = dealt.select("pivot", "part", F.col("member").alias("id")).union(dealt.select("pivot", "part", F.col("pivot").alias("id")).distinct())
     texts = texts_of(wanted, docs, text, id)
@@ -173,13 +172,13 @@ class Queries:
 def verify_blocks(left: DataFrame, docs: DataFrame, scratch: Scratch, text: str, id: str, width: int, lower: bool, percent: int) -> DataFrame:
     """Links between nodes of different components in the open buckets ``left``, as edges ``u``, ``v``."""
     met = left.where(F.col("component") != F.col("first.component")).select(F.col("component").alias("u"), F.col("first.component").alias("v")).distinct()
-    clusters = scratch.keep(components(met, scratch).select(F.col("node").alias("component"), F.col("component").alias("cluster")), "clusters")
+    clusters = components(met, scratch).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     placed = scratch.keep(left.select("node", "component", "n_shingles").distinct().join(clusters, "component"), "clusters")
     sizes = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     whole = sizes.groupBy("cluster").agg(F.sum("n").alias("nodes"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "component", "shingles")).alias("main"))
     blocks = F.ceil((F.col("shingles") - F.col("main.shingles")) / BLOCK).cast("int")
     dealt = whole.select("cluster", F.col("main.component").alias("main"), F.greatest(blocks, F.lit(1)).alias("blocks"), F.ceil(F.col("nodes") / SLICE).cast("int").alias("slices"))
-    rows = placed.join(scratch.keep(dealt, "dealt"), "cluster").withColumns({"own_block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "own_slice": F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int")})
+    rows = placed.join(dealt, "cluster").withColumns({"own_block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "own_slice": F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int")})
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     common = [F.col("node").alias("id"), "component", "cluster"]
     queries = rows.where(F.col("component") != F.col("main")).select(*common, F.col("own_block").alias("block"), every("slices").alias("slice"), F.lit(0).alias("member"))
@@ -225,7 +224,7 @@ def groups(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc
     member_of = scratch.keep(nodes.join(sets, ["d1", "d2"]).select("id", "node", "d1", "d2", "n_shingles"), "nodes")
     alone = known.join(member_of.where("id = node"), ["id", "d1", "d2"]).select("node", known["n_shingles"], "bands").dropDuplicates(["node"])
     buckets = alone.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = scratch.keep(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     counted = scratch.keep(buckets.join(shared, "bucket"), "shared")
     weights = counted.groupBy("node").agg(F.sum("n").alias("weight"))
     multi = scratch.keep(counted.join(weights, "node").select("bucket", "node", "n_shingles", "weight", F.col("node").alias("component")), "buckets")
@@ -251,7 +250,7 @@ def groups(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc
             tests = tested.groupBy(F.col("node").alias("member"), F.col("first.node").alias("pivot")).agg(F.count("*").alias("n"))
             pairs = tests.groupBy("member").agg(F.max(F.struct("n", "pivot")).alias("x")).select("x.pivot", "member")
         pairs = scratch.keep(pairs, "pairs")
-        edges = scratch.keep(verify(pairs, docs, scratch, text, id, width, lower, percent), "links")
+        edges = scratch.keep(verify(pairs, docs, text, id, width, lower, percent), "links")
         if last and (many := left.where(F.col("n") > SMALL)).limit(1).count():
             edges = edges.union(scratch.keep(verify_blocks(many, docs, scratch, text, id, width, lower, percent), "links"))
         if components_now is not None:
