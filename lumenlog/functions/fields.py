@@ -80,3 +80,16 @@ def level_of(level: Column, fallback: str = "info") -> Column:
     low = F.lower(F.trim(level))
     codes = F.create_map(*[F.lit(x) for pair in {"10": "trace", "20": "debug", "30": "info", "40": "warn", "50": "error", "60": "fatal"}.items() for x in pair])
     return F.when(low.isin("trace", "debug", "info", "warn", "error", "fatal"), low).when(low == "warning", "warn").when(low == "critical", "fatal").otherwise(F.coalesce(F.element_at(codes, low), F.lit(fallback)))
+
+
+def time_ms(value: Column, unit: str = "auto") -> Column:
+    """Milliseconds since 1970 of a stored time: a number in ``unit`` (``s``, ``ms``, or by its size), or text of a date and time.
+
+    Numbers below 1e11 count seconds under ``auto``. Text without a zone is UTC. Text in other forms
+    than ISO 8601 and null are null.
+    """
+    text = F.trim(value.cast("string"))
+    plain = F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text.try_cast("double"))
+    scaled = {"s": plain * 1000, "ms": plain}.get(unit, F.when(F.abs(plain) < 1e11, plain * 1000).otherwise(plain))
+    dated = F.when(text.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(text, F.lit("T00:00:00Z"))).when(text.rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d(\.\d+)?)?$"), F.concat(text, F.lit("Z"))).when(text.rlike(r"^\d{4}-\d\d-\d\d[ T]"), text)
+    return F.when(plain.isNotNull(), scaled).otherwise(F.unix_micros(dated.try_cast("timestamp")) / 1000.0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlog.functions.fields import field
+
 from .ranks import ceil_rank, nth_values
 
 
@@ -44,3 +46,35 @@ def findings(stats: DataFrame) -> DataFrame:
     joined = stats.join(F.broadcast(total))
     found = F.array_compact(F.array(F.when((F.col("hits") >= 500) & (F.col("hits") >= 0.3 * F.col("all")) & (F.col("errors") == 0), "noisy"), F.when((F.col("quiet") >= 3) & (2 * F.col("quiet") >= F.col("hits")), "quiet-failure")))
     return joined.select("site", "hits", F.explode(found).alias("rule"))
+
+
+def health(rows: DataFrame, placeholders: DataFrame, truncated: str | None = None) -> DataFrame:
+    """Rules over events with their statement, one row a finding: ``site, hits, rule``.
+
+    ``rows``: ``site, id, level, raw, is_json, fields``; ``placeholders``: ``site`` and how many
+    values it formats. oversized: 3 hits, and 8,192 characters on average or cut events (the boolean
+    column ``truncated``). contextless: 3 and half of the hits are structured warnings or errors
+    without a trace or request id, where at least 50 structured events exist and half of them have
+    one. unstructured: 2 values, 3 hits, all plain text. Null texts have no characters.
+    """
+    known = F.coalesce(field("traceId"), field("requestId"), F.lit("")) != ""
+    structured = F.coalesce("is_json", F.lit(False))
+    cut = F.coalesce(F.col(truncated), F.lit(False)) if truncated else F.lit(False)
+    counted = rows.groupBy("site").agg(
+        F.count("*").alias("hits"),
+        F.sum(F.length(F.coalesce("raw", F.lit("")))).alias("chars"),
+        F.count_if(cut).alias("cut"),
+        F.count_if(~structured).alias("plain"),
+        F.count_if(structured & known).alias("correlated"),
+        F.count_if(structured & ~known & F.col("level").isin("warn", "error", "fatal")).alias("bare"),
+    )
+    whole = counted.agg((F.sum("hits") - F.sum("plain")).alias("all_structured"), F.sum("correlated").alias("all_correlated"))
+    joined = counted.join(F.broadcast(whole)).join(placeholders.groupBy("site").agg(F.max("placeholders").alias("values")), "site", "left")
+    many = F.col("hits") >= 3
+    rules = {
+        "oversized": many & ((F.col("cut") > 0) | (F.col("chars") >= 8192 * F.col("hits"))),
+        "contextless": (F.col("all_structured") >= 50) & (2 * F.col("all_correlated") >= F.col("all_structured")) & (F.col("bare") >= 3) & (2 * F.col("bare") >= F.col("hits")),
+        "unstructured": many & (F.col("values") >= 2) & (F.col("plain") == F.col("hits")),
+    }
+    found = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
+    return joined.select("site", "hits", F.explode(found).alias("rule"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import fields, redaction, text
-from lumenlog.operators import analytics, calls, errors, metrics, pages, requests, sites, traces
+from lumenlog.operators import analytics, calls, errors, links, metrics, model_calls, pages, requests, sites, traces
 from lumenlog.plans import predicates as P
 from lumenlog.sources import lines, otlp, tables
 
@@ -561,3 +561,208 @@ def deep_waterfall(spark, d):
 @query("r2_deep_critical_path", "SELECT event_id // 100 AS trace_id, CAST(event_id AS VARCHAR) AS span_id, CAST(event_id % 100 AS INT) AS step FROM events")
 def deep_critical_path(spark, d):
     return traces.critical_paths(_chains(tables.read(spark, d, "events")))
+
+
+def _call_spans(rows: DataFrame) -> DataFrame:
+    """Turns of conversations as spans with attributes of five conventions, and calls of no model."""
+    n, text_ = F.col("turn"), F.coalesce("text", F.lit(""))
+    size, of = F.length(text_).cast("string"), lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k.replace("__", ".")), v if isinstance(v, Column) else F.lit(v))])
+    attributes = (
+        F.when(n % 6 == 0, of(gen_ai__operation__name="chat", gen_ai__system="acme", gen_ai__request__model="m1", gen_ai__response__model="m2", gen_ai__usage__input_tokens=size, gen_ai__response__finish_reasons='["stop","length"]', gen_ai__prompt__0__content=text_))
+        .when(n % 6 == 1, of(gen_ai__provider__name="acme", gen_ai__usage__prompt_tokens="-5", gen_ai__usage__completion_tokens=size, gen_ai__completion__0__finish_reason="stop"))
+        .when(n % 6 == 2, of(llm__request__type="completion", llm__request__model="m3", llm__usage__prompt_tokens="many"))
+        .when(n % 6 == 3, of(gen_ai__tool__name="search", gen_ai__tool__call__id=F.concat(F.lit("c"), n.cast("string"))))
+        .when(n % 6 == 4, of(gen_ai__agent__name="planner", error__type="timeout"))
+        .otherwise(of(http__method="GET"))
+    )
+    name = F.when(n % 6 == 1, "Embeddings m1").otherwise(F.lit("step"))
+    return rows.select(F.col("conv_id").alias("trace_id"), n.cast("string").alias("span_id"), name.alias("name"), F.lit("api").alias("service"), n.cast("double").alias("start_ms"), (n + 2.5).alias("end_ms"), F.when(n % 6 == 4, 2).otherwise(0).alias("status_code"), attributes.alias("attributes"))
+
+
+@query("q3_model_calls", """WITH c AS (SELECT conv_id AS trace_id, turn, turn % 6 AS k, length(coalesce(text, '')) AS size FROM conversations WHERE turn % 6 <> 5)
+  SELECT trace_id, CAST(turn AS VARCHAR) AS span_id, ['chat', 'embeddings', 'text_completion', 'execute_tool', 'invoke_agent'][k + 1] AS operation, ['model', 'model', 'model', 'tool', 'agent'][k + 1] AS kind,
+  CASE WHEN k < 2 THEN 'acme' END AS provider, CASE k WHEN 0 THEN 'm2' WHEN 2 THEN 'm3' END AS model, CAST(2.5 AS DOUBLE) AS duration_ms, CAST(CASE WHEN k = 0 THEN size END AS DOUBLE) AS input_tokens, CAST(CASE WHEN k = 1 THEN size END AS DOUBLE) AS output_tokens,
+  CASE k WHEN 0 THEN 'stop,length' WHEN 1 THEN 'stop' END AS finish_reasons, k = 4 AS error, CASE WHEN k = 4 THEN 'timeout' END AS error_message, k IN (0, 1) AS has_content FROM c""")
+def model_call_rows(spark, d):
+    """Operation, kind, names, tokens, reasons and content of spans (Q1 to Q4)."""
+    found = model_calls.model_calls(_call_spans(tables.read(spark, d, "conversations")))
+    return found.select("trace_id", "span_id", "operation", "kind", "provider", "model", "duration_ms", "input_tokens", "output_tokens", F.array_join("finish_reasons", ",").alias("finish_reasons"), "error", "error_message", "has_content")
+
+
+def _message_spans(rows: DataFrame) -> DataFrame:
+    """Turns as spans that carry one question and one tool call, in each of four conventions, and as runs of the tool."""
+    n, said = F.col("turn"), F.concat(F.lit("t:"), F.coalesce("text", F.lit("")))
+    id, arguments = F.concat(F.lit("c"), n.cast("string")), F.format_string('{"q": %d}', n)
+    none = F.lit(None).cast("map<string,string>")
+    of = lambda *kv: F.create_map(*[x if isinstance(x, Column) else F.lit(x) for x in kv])
+    inner = F.array(F.struct(F.lit("tool_call").alias("type"), id.alias("id"), F.lit("search").alias("name"), F.struct(n.alias("q")).alias("arguments")))
+    parts = lambda role, p: F.to_json(F.array(F.struct(F.lit(role).alias("role"), p.alias("parts"))))
+    asked = F.array(F.struct(id.alias("id"), F.struct(F.lit("search").alias("name"), arguments.alias("arguments")).alias("function")))
+    reply = F.struct(F.lit("assistant").alias("role"), asked.alias("tool_calls"))
+    attributes = (
+        F.when(n % 5 == 0, of("gen_ai.input.messages", parts("user", F.array(F.struct(F.lit("text").alias("type"), said.alias("content")))), "gen_ai.output.messages", parts("assistant", inner)))
+        .when(n % 5 == 1, of("gen_ai.prompt", F.to_json(F.array(F.struct(F.lit("user").alias("role"), said.alias("content")))), "gen_ai.completion", F.to_json(reply)))
+        .when(n % 5 == 2, of("gen_ai.prompt.0.role", "user", "gen_ai.prompt.0.content", said, "gen_ai.completion.0.tool_calls.0.name", "search", "gen_ai.completion.0.tool_calls.0.arguments", arguments, "gen_ai.completion.0.tool_calls.0.id", id))
+        .when(n % 5 == 4, of("gen_ai.tool.name", "search", "gen_ai.tool.call.id", F.concat(F.lit("c"), (n - 1).cast("string")), "gen_ai.tool.call.result", F.lit("[1, 2]")))
+        .otherwise(none)
+    )
+    event = lambda name, key, value: F.struct(F.lit(name).alias("name"), of(key, value).alias("attributes"))
+    events = F.when(n % 5 == 3, F.array(event("gen_ai.user.message", "content", said), event("gen_ai.choice", "message", F.to_json(reply))))
+    return rows.select(F.col("conv_id").alias("trace_id"), n.cast("string").alias("span_id"), F.lit("step").alias("name"), F.lit("api").alias("service"), n.cast("double").alias("start_ms"), (n + 1.5).alias("end_ms"), F.lit(0).alias("status_code"), attributes.alias("attributes"), events.alias("events"))
+
+
+@query("q5_messages", """WITH t AS (SELECT *, CAST(turn AS VARCHAR) AS span_id FROM conversations) SELECT conv_id AS trace_id, span_id, CAST(0 AS INT) AS message, 'user' AS role, false AS output, 'text' AS kind, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS id, 't:' || coalesce(text, '') AS text FROM t WHERE turn % 5 < 4
+  UNION ALL SELECT conv_id, span_id, 1, 'assistant', true, 'tool_call', 'search', 'c' || turn, '{"q":' || turn || '}' FROM t WHERE turn % 5 < 4 UNION ALL SELECT conv_id, span_id, 0, 'tool', true, 'tool_result', 'search', 'c' || (turn - 1), '[1,2]' FROM t WHERE turn % 5 = 4""")
+def messages(spark, d):
+    """Messages from list attributes, chat attributes, numbered attributes, events and tool runs."""
+    return model_calls.message_parts(_message_spans(tables.read(spark, d, "conversations"))).drop("part")
+
+
+@query("f5_tool_runs", """SELECT a.conv_id AS trace_id, CAST(a.turn AS VARCHAR) AS span_id, 'c' || a.turn AS tool_call_id, CAST(min(b.turn) AS VARCHAR) AS run_span_id, CAST(1.5 AS DOUBLE) AS duration_ms FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.turn % 5 = 4 GROUP BY a.conv_id, a.turn""")
+def tool_runs(spark, d):
+    rows = _message_spans(tables.read(spark, d, "conversations"))
+    return model_calls.tool_runs(model_calls.message_parts(rows), model_calls.model_calls(rows)).select("trace_id", "span_id", "tool_call_id", "run_span_id", "duration_ms")
+
+
+@query("c29_time_values", f"WITH {EV} SELECT id, CASE id % 5 WHEN 3 THEN floor(ts_ms / 1000) * 1000 WHEN 4 THEN NULL ELSE floor(ts_ms) END AS time_ms FROM ev")
+def time_values(spark, d):
+    """Stored times in seconds, milliseconds, text with and without a zone, and text that is no time."""
+    ms = F.floor("ts_ms")
+    at = F.timestamp_millis(ms)
+    of = (
+        F.when(F.col("id") % 5 == 0, ms.cast("string"))
+        .when(F.col("id") % 5 == 1, F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss.SSS"))
+        .when(F.col("id") % 5 == 2, F.concat(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("Asia/Tokyo"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+09:00")))
+        .when(F.col("id") % 5 == 3, F.floor(ms / 1000).cast("string"))
+        .otherwise(F.lit("yesterday"))
+    )
+    return tables.events(spark, d).select("id", fields.time_ms(of).alias("time_ms"))
+
+
+def _traced(spark: SparkSession, d: str) -> DataFrame:
+    """Events that name an order as their trace, some of them a line as their span, and some a request."""
+    id, own = F.col("id"), F.col("id") % 1500
+    extra = F.create_map(F.lit("trace_id"), own.cast("string"), F.lit("spanId"), F.concat(own.cast("string"), F.lit("-"), (id % 9).cast("string")), F.lit("kind"), F.when(id % 7 == 0, "span").otherwise(F.lit("log")))
+    request = F.when(id % 4 == 0, F.concat(F.lit("done method=get url=https://shop.test/o/"), (id % 3).cast("string"), F.lit("?q=1"))).when(id % 4 == 1, F.concat(F.lit("POST /p/"), (id % 3).cast("string"))).otherwise(F.col("message"))
+    return tables.events(spark, d).withColumns({"fields": F.map_concat("fields", extra), "message": request})
+
+
+TRACED = f"""{EV}, tr AS (SELECT id, ts_ms, level, server_id, CAST(id % 1500 AS VARCHAR) AS trace_id, (id % 1500) || '-' || (id % 9) AS span_id, id % 7 = 0 AS own,
+  CASE id % 4 WHEN 0 THEN 'done method=get url=https://shop.test/o/' || (id % 3) || '?q=1' WHEN 1 THEN 'POST /p/' || (id % 3) ELSE message END AS message,
+  CASE id % 4 WHEN 0 THEN 'GET https://shop.test/o/' || (id % 3) WHEN 1 THEN 'POST /p/' || (id % 3) END AS request FROM ev)"""
+
+
+@query("k4_request_operation", f"WITH {TRACED} SELECT id, request FROM tr")
+def request_operations(spark, d):
+    return _traced(spark, d).select("id", links.request_operation().alias("request"))
+
+
+@query("f2_trace_logs", f"""WITH {SPANS}, {TRACED}, st AS (SELECT CAST(trace_id AS VARCHAR) AS trace_id, min(start_ms) AS start FROM spans GROUP BY trace_id), kn AS (SELECT DISTINCT CAST(trace_id AS VARCHAR) AS trace_id, span_id, parent_id IS NULL AS shown FROM spans)
+  SELECT tr.trace_id, tr.id, tr.span_id, tr.ts_ms - st.start AS offset_ms, kn.span_id IS NOT NULL AS linked, kn.span_id IS NOT NULL AND NOT kn.shown AS span_omitted FROM tr LEFT JOIN st ON st.trace_id = tr.trace_id LEFT JOIN kn ON kn.trace_id = tr.trace_id AND kn.span_id = tr.span_id WHERE NOT tr.own OR st.trace_id IS NULL""")
+def trace_logs(spark, d):
+    """Logs beside their traces (F2) and whether their span is received and shown (F3), with only root spans shown."""
+    spans = _spans(spark, d)
+    return links.trace_logs(_traced(spark, d), spans, spans.where("parent_id IS NULL"))
+
+
+@query("f15_log_traces", f"""WITH {TRACED}, g AS (SELECT tr.trace_id, count(*) AS logs, coalesce(arg_min(request, id) FILTER (request IS NOT NULL), arg_min(message, id)) AS name, array_to_string(list_sort(list(DISTINCT 'Service ' || substr(server_id, 4))), ',') AS services, min(ts_ms) AS start_ms, count(*) FILTER (level = 'error') AS errors, max(ts_ms) - min(ts_ms) AS duration_ms FROM tr WHERE NOT own GROUP BY tr.trace_id)
+  SELECT trace_id, h.o_orderkey IS NOT NULL AS has_spans, logs, CASE WHEN h.o_orderkey IS NULL THEN name END AS name, CASE WHEN h.o_orderkey IS NULL THEN services END AS services, CASE WHEN h.o_orderkey IS NULL THEN start_ms END AS start_ms, CASE WHEN h.o_orderkey IS NULL THEN errors END AS errors, CASE WHEN h.o_orderkey IS NULL THEN duration_ms END AS duration_ms
+  FROM g LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) h ON CAST(h.o_orderkey AS VARCHAR) = g.trace_id""")
+def log_traces(spark, d):
+    """Traces that logs name, where every second order has spans."""
+    found = links.log_traces(_traced(spark, d), tables.read(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("trace_id")))
+    return found.withColumn("services", F.when(F.col("services").isNotNull(), F.array_join("services", ",")))
+
+
+@query("f1_sessions", f"WITH {EV} SELECT session_id, CASE WHEN session_id < '2024-01-15' THEN 'run ' || session_id END AS label, count(*) AS events, count(*) FILTER (level = 'error') AS errors FROM ev GROUP BY session_id")
+def session_labels(spark, d):
+    """Events with the labels of their sessions (F1) and errors by run (G28)."""
+    rows = tables.events(spark, d)
+    listed = rows.where("session_id < '2024-01-15'").select("session_id", F.concat(F.lit("run "), F.col("session_id")).alias("label"), F.lit("ended").alias("status"))
+    return links.with_sessions(rows, listed).groupBy("session_id", "label").agg(F.count("*").alias("events"), F.count_if(F.col("level") == "error").alias("errors"))
+
+
+@query("f13_differing_fields", """WITH e AS (SELECT *, lead(event_id) OVER w AS n, lead(user_id) OVER w AS u, lead(event_type) OVER w AS t, lead(value) OVER w AS v, lead(regexp_extract(props, '"k": *([0-9]+)', 1)) OVER w AS q, regexp_extract(props, '"k": *([0-9]+)', 1) AS k FROM events WINDOW w AS (PARTITION BY event_id // 2 ORDER BY event_id))
+  SELECT event_id AS id, array_to_string(list_filter([CASE WHEN value <> v THEN 'durationMs' END, CASE WHEN event_type <> t THEN 'event_type' END, CASE WHEN k <> q THEN 'k' END, CASE WHEN (CASE event_type WHEN 'error' THEN 500 + event_id % 4 ELSE 200 END) <> (CASE t WHEN 'error' THEN 500 + n % 4 ELSE 200 END) THEN 'statusCode' END, CASE WHEN user_id <> u THEN 'user_id' END], lambda x: x IS NOT NULL), ',') AS names FROM e WHERE n IS NOT NULL""")
+def differing_fields(spark, d):
+    """Fields that differ between two events in a row."""
+    rows = tables.events(spark, d)
+    pair = rows.groupBy(F.floor(F.col("id") / 2).alias("pair")).agg(F.min_by("fields", "id").alias("a"), F.max_by("fields", "id").alias("b"), F.min("id").alias("id"), F.count("*").alias("n")).where("n = 2")
+    return pair.select("id", F.array_join(links.differing_fields(F.col("a"), F.col("b")), ",").alias("names"))
+
+
+@query("d13_changed", "SELECT l_suppkey, count(*) FILTER (c) AS changed, count(*) FILTER (NOT c) AS unchanged FROM (SELECT l_suppkey, EXISTS (SELECT 1 FROM (SELECT s_suppkey AS k, (s_suppkey * 37) % 1500 AS a, (s_suppkey * 37) % 1500 + 120 AS b FROM supplier) r WHERE r.k = l.l_suppkey AND l.l_partkey BETWEEN r.a AND r.b) AS c FROM lineitem l) GROUP BY l_suppkey")
+def changed_events(spark, d):
+    """Events from changed lines and from others."""
+    keyed = lambda rows: rows.withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    lines_ = tables.read(spark, d, "lineitem")
+    ranges = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_suppkey") * 37 % 1500).alias("a"), (F.col("s_suppkey") * 37 % 1500 + 120).alias("b"))
+    found = links.with_changed(keyed(lines_), keyed(pages.in_ranges(lines_, ranges, "l_suppkey", "l_partkey", "a", "b", 100)))
+    return found.groupBy("l_suppkey").agg(F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("unchanged"))
+
+
+@query("g8_sources", f"WITH {EV} SELECT session_id, count(DISTINCT server_id) AS sources, count(DISTINCT server_id) FILTER (server_id = 'svc1' OR starts_with(server_id, 'svc1::')) AS in_group FROM ev GROUP BY session_id")
+def distinct_sources(spark, d):
+    """Sources by session (G8), and those of one group of containers (F14)."""
+    return tables.events(spark, d).groupBy("session_id").agg(F.countDistinct("server_id").alias("sources"), F.countDistinct(F.when(links.in_group("svc1"), F.col("server_id"))).alias("in_group"))
+
+
+@query("h3_intervals", """WITH h AS (SELECT user_id AS series, CAST(floor(event_id / 500) AS BIGINT) AS t, CAST(count(*) FILTER (value <= 10) AS DOUBLE) AS b0, CAST(count(*) FILTER (value > 10 AND value <= 100) AS DOUBLE) AS b1, CAST(count(*) FILTER (value > 100) AS DOUBLE) AS b2, max(value) AS high FROM events GROUP BY ALL),
+  r AS (SELECT *, b0 + b1 + b2 AS n, 0.95 * (b0 + b1 + b2) AS rank, greatest(0, max(high) OVER (PARTITION BY series ORDER BY t ROWS UNBOUNDED PRECEDING)) AS top FROM h),
+  p AS (SELECT *, CASE WHEN b0 > 0 AND b0 >= rank THEN 0 WHEN b1 > 0 AND b0 + b1 >= rank THEN 1 ELSE 2 END AS i FROM r),
+  q AS (SELECT *, [0.0, 10.0, 100.0][i + 1] AS lo0, [10.0, 100.0, greatest(top, 100.0)][i + 1] AS hi0, [0.0, b0, b0 + b1][i + 1] AS seen, [b0, b1, b2][i + 1] AS c FROM p),
+  v AS (SELECT *, least(hi0, greatest(top, lo0)) AS hi FROM q), w AS (SELECT *, lo0 + (hi - lo0) * ((rank - seen) / c) AS p95 FROM v)
+  SELECT series, t * 1000 + 1000.0 AS time_ms, n AS count, round(CASE WHEN hi - lo0 > abs(p95) THEN hi ELSE p95 END, 6) AS value, hi - lo0 > abs(p95) AS bound FROM w""")
+def histogram_intervals(spark, d):
+    """Cumulative histograms by user, each point sent twice: late points go, the rest gives percentiles of intervals."""
+    rows = tables.read(spark, d, "events").select(F.col("user_id").alias("series"), F.floor(F.col("event_id") / 500).alias("t"), "value")
+    low, high = F.col("value") <= 10, F.col("value") > 100
+    each = rows.groupBy("series", "t").agg(F.count_if(low).alias("b0"), F.count_if(~low & ~high).alias("b1"), F.count_if(high).alias("b2"), F.max("value").alias("high"))
+    order = Window.partitionBy("series").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    run = [F.sum(c).over(order).cast("double") for c in ("b0", "b1", "b2")]
+    made = each.select("series", "t", F.array(*run).alias("buckets"), F.max("high").over(order).alias("max"))
+    points = made.select("series", F.explode(F.array(F.col("t") * 2, F.col("t") * 2 + 1)).alias("id"), F.lit("histogram").alias("kind"), F.lit(False).alias("monotonic"), F.lit(2).alias("temporality"), F.lit(0.0).alias("start_ms"), (F.col("t") * 1000 + 1000.0).alias("time_ms"), F.lit(None).cast("double").alias("value"), (F.element_at("buckets", 1) + F.element_at("buckets", 2) + F.element_at("buckets", 3)).alias("count"), F.lit(None).cast("double").alias("sum"), F.lit(0.0).alias("min"), F.greatest(F.lit(0.0), F.col("max")).alias("max"), F.array(F.lit(10.0), F.lit(100.0)).alias("bounds"), "buckets")
+    found = metrics.intervals(metrics.without_late(points))
+    return found.select("series", "time_ms", F.col("interval_count").alias("count"), F.round("plotted", 6).alias("value"), "bound")
+
+
+@query("s2_measures", f"WITH {EV} SELECT id, CASE id % 5 WHEN 0 THEN 'rate' WHEN 1 THEN 'value' WHEN 2 THEN 'p95' WHEN 3 THEN 'average' ELSE 'p95' END AS measure, CASE id % 5 WHEN 0 THEN value / 2 WHEN 1 THEN value WHEN 2 THEN 5 + 5 * 0.95 WHEN 3 THEN value / 4 ELSE value END AS plotted FROM ev")
+def measures(spark, d):
+    """Delta points of every kind, each a series of its own, through their payloads: counters, gauges, histograms, exponential ones, summaries."""
+    n, value = F.col("event_id"), F.col("value")
+    nanos = lambda s: F.concat(((n + s) * 1000).cast("string"), F.lit("000000"))
+    kind = n % 5
+    id = F.array(F.struct(F.lit("id").alias("key"), F.struct(n.cast("string").alias("stringValue")).alias("value")))
+    point = lambda **more: F.array(F.struct(id.alias("attributes"), nanos(1).alias("startTimeUnixNano"), nanos(3).alias("timeUnixNano"), *[c.alias(k) for k, c in more.items()]))
+    only = lambda k, points, **more: F.when(kind == k, F.struct(*[F.lit(v).alias(name) for name, v in more.items()], points.alias("dataPoints")))
+    total = F.when(kind == 3, value).alias("sum")
+    metric = F.struct(
+        F.lit("m").alias("name"),
+        only(0, point(asDouble=value), isMonotonic=True, aggregationTemporality=1).alias("sum"),
+        only(1, point(asDouble=value)).alias("gauge"),
+        only(2, point(count=F.lit("4"), bucketCounts=F.array(F.lit("0"), F.lit("4"), F.lit("0")), explicitBounds=F.array(F.lit(5.0), F.lit(10.0))), aggregationTemporality=1).alias("histogram"),
+        only(3, point(count=F.lit("4"), sum=total), aggregationTemporality=1).alias("exponentialHistogram"),
+        only(4, point(count=F.lit("4"), quantileValues=F.array(F.struct(F.lit(0.5).alias("quantile"), F.lit(0.0).alias("value")), F.struct(F.lit(0.95).alias("quantile"), value.alias("value"))))).alias("summary"),
+    )
+    payload = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics")))
+    points = otlp.metric_points(tables.read(spark, d, "events").select(payload.alias("body")), "body")
+    return metrics.intervals(points).select(F.element_at("attributes", "id").cast("bigint").alias("id"), "measure", "plotted")
+
+
+@query("s7_series", f"WITH {COUNTERS} SELECT series, count(*) AS points, max(time_ms) AS latest_ms, arg_max(value, (time_ms, id)) AS latest FROM pts GROUP BY series")
+def series_list(spark, d):
+    return metrics.series(tables.counters(spark, d).withColumn("plotted", F.col("value")))
+
+
+HEALTH = f"{EV}, hs AS (SELECT event_type AS site, id, level, CASE WHEN event_type = 'view' THEN 9000 ELSE 10 END AS size, event_type <> 'click' AS structured, event_type IN ('view', 'purchase', 'signup', 'error') AND (event_type <> 'error' OR id % 4 = 0) AS correlated FROM ev)"
+
+
+@query("p5_health_rules", f"""WITH {HEALTH}, c AS (SELECT count(*) FILTER (structured) AS s, count(*) FILTER (structured AND correlated) AS k FROM hs), g AS (SELECT site, count(*) AS hits, avg(size) AS average, count(*) FILTER (NOT structured) AS plain, count(*) FILTER (structured AND NOT correlated AND level IN ('warn', 'error')) AS bare FROM hs GROUP BY site)
+  SELECT site, hits, 'oversized' AS rule FROM g WHERE hits >= 3 AND average >= 8192 UNION ALL SELECT site, hits, 'contextless' FROM g, c WHERE s >= 50 AND 2 * k >= s AND bare >= 3 AND 2 * bare >= hits UNION ALL SELECT site, hits, 'unstructured' FROM g WHERE hits >= 3 AND plain = hits""")
+def health_rules(spark, d):
+    """Oversized, contextless and unstructured statements (P5 to P7)."""
+    kind, n = F.element_at("fields", "event_type"), F.col("id")
+    named = ~kind.isin("click", "error") | ((kind == "error") & (n % 4 == 0))
+    rows = tables.events(spark, d).select(kind.alias("site"), "id", "level", F.when(kind == "view", F.lpad(F.lit(""), 9000, "x")).otherwise(F.lpad(F.lit(""), 10, "x")).alias("raw"), (kind != "click").alias("is_json"), F.when(named, F.map_concat("fields", F.create_map(F.lit("traceId"), F.lit("t")))).otherwise(F.col("fields")).alias("fields"))
+    placeholders = rows.select("site", F.lit(2).alias("placeholders")).distinct()
+    return sites.health(rows, placeholders)

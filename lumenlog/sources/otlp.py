@@ -76,19 +76,19 @@ def logs(payloads: DataFrame, json: str) -> DataFrame:
     )
 
 
-POINT = f"struct<startTimeUnixNano:string,timeUnixNano:string,asDouble:double,asInt:string,count:string,sum:double,min:double,max:double,bucketCounts:array<string>,explicitBounds:array<double>,attributes:{ATTRIBUTES}>"
-METRIC = f"struct<name:string,unit:string,gauge:struct<dataPoints:array<{POINT}>>,sum:struct<isMonotonic:boolean,aggregationTemporality:int,dataPoints:array<{POINT}>>,histogram:struct<aggregationTemporality:int,dataPoints:array<{POINT}>>>"
+POINT = f"struct<startTimeUnixNano:string,timeUnixNano:string,asDouble:double,asInt:string,count:string,sum:double,min:double,max:double,bucketCounts:array<string>,explicitBounds:array<double>,quantileValues:array<struct<quantile:double,value:double>>,attributes:{ATTRIBUTES}>"
+METRIC = f"struct<name:string,unit:string,gauge:struct<dataPoints:array<{POINT}>>,sum:struct<isMonotonic:boolean,aggregationTemporality:int,dataPoints:array<{POINT}>>,histogram:struct<aggregationTemporality:int,dataPoints:array<{POINT}>>,exponentialHistogram:struct<aggregationTemporality:int,dataPoints:array<{POINT}>>,summary:struct<dataPoints:array<{POINT}>>>"
 METRICS = f"resourceMetrics array<struct<resource:struct<attributes:{ATTRIBUTES}>,scopeMetrics:array<struct<metrics:array<{METRIC}>>>>>"
 
 
 def metric_points(payloads: DataFrame, json: str) -> DataFrame:
-    """One row a data point of gauges, sums and histograms; ``series`` names service, metric and sorted attributes."""
+    """One row a data point of gauges, sums, histograms of both kinds and summaries; ``series`` names service, metric and sorted attributes."""
     read = payloads.select(F.explode(F.from_json(json, METRICS)["resourceMetrics"]).alias("r"))
     scoped = read.select(F.element_at(attribute_map(F.col("r.resource.attributes")), "service.name").alias("service"), F.explode("r.scopeMetrics").alias("s"))
     one = scoped.select("service", F.explode("s.metrics").alias("m"))
-    kind = F.when(F.col("m.histogram").isNotNull(), "histogram").when(F.col("m.sum").isNotNull(), "sum").otherwise("gauge")
-    point = F.explode(F.coalesce("m.histogram.dataPoints", "m.sum.dataPoints", "m.gauge.dataPoints")).alias("p")
-    rows = one.select("service", F.col("m.name").alias("name"), F.col("m.unit").alias("unit"), kind.alias("kind"), F.coalesce("m.sum.isMonotonic", F.lit(False)).alias("monotonic"), F.coalesce("m.sum.aggregationTemporality", "m.histogram.aggregationTemporality").alias("temporality"), point)
+    kind = F.when(F.col("m.histogram").isNotNull(), "histogram").when(F.col("m.exponentialHistogram").isNotNull(), "exponentialHistogram").when(F.col("m.summary").isNotNull(), "summary").when(F.col("m.sum").isNotNull(), "sum").otherwise("gauge")
+    point = F.explode(F.coalesce("m.histogram.dataPoints", "m.exponentialHistogram.dataPoints", "m.summary.dataPoints", "m.sum.dataPoints", "m.gauge.dataPoints")).alias("p")
+    rows = one.select("service", F.col("m.name").alias("name"), F.col("m.unit").alias("unit"), kind.alias("kind"), F.coalesce("m.sum.isMonotonic", F.lit(False)).alias("monotonic"), F.coalesce("m.sum.aggregationTemporality", "m.histogram.aggregationTemporality", "m.exponentialHistogram.aggregationTemporality").alias("temporality"), point)
     attributes = attribute_map(F.col("p.attributes"))
     return rows.select(
         "service",
@@ -104,6 +104,9 @@ def metric_points(payloads: DataFrame, json: str) -> DataFrame:
         F.coalesce("p.asDouble", F.col("p.asInt").try_cast("double")).alias("value"),
         F.col("p.count").try_cast("double").alias("count"),
         F.col("p.sum").alias("sum"),
+        F.col("p.min").alias("min"),
+        F.col("p.max").alias("max"),
+        F.col("p.quantileValues").alias("quantiles"),
         F.col("p.explicitBounds").alias("bounds"),
         F.transform("p.bucketCounts", lambda c: c.try_cast("double")).alias("buckets"),
     )
