@@ -91,5 +91,5 @@ def time_ms(value: Column, unit: str = "auto") -> Column:
     text = F.trim(value.cast("string"))
     plain = F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text.try_cast("double"))
     scaled = {"s": plain * 1000, "ms": plain}.get(unit, F.when(F.abs(plain) < 1e11, plain * 1000).otherwise(plain))
-    dated = F.when(text.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(text, F.lit("T00:00:00Z"))).when(text.rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d(\.\d+)?)?$"), F.concat(text, F.lit("Z"))).when(text.rlike(r"^\d{4}-\d\d-\d\d[ T]"), text)
+    dated = F.when(text.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(text, F.lit("T00:00:00Z"))).when(text.rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d$"), F.concat(text, F.lit(":00Z"))).when(text.rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d(\.\d+)?$"), F.concat(text, F.lit("Z"))).when(text.rlike(r"^\d{4}-\d\d-\d\d[ T]"), text)
     return F.when(plain.isNotNull(), scaled).otherwise(F.unix_micros(dated.try_cast("timestamp")) / 1000.0)

@@ -766,3 +766,24 @@ def health_rules(spark, d):
     rows = tables.events(spark, d).select(kind.alias("site"), "id", "level", F.when(kind == "view", F.lpad(F.lit(""), 9000, "x")).otherwise(F.lpad(F.lit(""), 10, "x")).alias("raw"), (kind != "click").alias("is_json"), F.when(named, F.map_concat("fields", F.create_map(F.lit("traceId"), F.lit("t")))).otherwise(F.col("fields")).alias("fields"))
     placeholders = rows.select("site", F.lit(2).alias("placeholders")).distinct()
     return sites.health(rows, placeholders)
+
+
+@query("c14_exceptions", r"""WITH e AS (SELECT event_id AS id, event_id % 4 AS k, CAST(user_id AS VARCHAR) AS u FROM events)
+  SELECT id, CAST(0 AS INT) AS block, CASE k WHEN 0 THEN 'IoError: bad ' || u WHEN 1 THEN 'E: ' || u WHEN 2 THEN 'error' ELSE 'Exception' END AS title, CASE k WHEN 0 THEN 'IoError: bad' || chr(10) || '    at f (a.js:1:2)' WHEN 1 THEN u WHEN 2 THEN 'text ' || u ELSE 'Traceback ' || u END AS text FROM e
+  UNION ALL SELECT id, 1, 'Caused by: Net: down', 'Caused by: Net: down' FROM e WHERE k = 0""")
+def exception_blocks(spark, d):
+    """Exceptions with causes, in flat fields, as text in JSON, and in plain text."""
+    k, u = F.col("event_id") % 4, F.col("user_id").cast("string")
+    cause = F.struct(F.lit("Net").alias("name"), F.lit("down").alias("message"))
+    failed = F.struct(F.struct(F.lit("IoError").alias("type"), F.concat(F.lit("bad "), u).alias("message"), F.lit("IoError: bad\n    at f (a.js:1:2)").alias("stack"), cause.alias("cause")).alias("err"))
+    flat = F.struct(F.lit("E").alias("exception.type"), u.alias("exception.message"))
+    raw = F.when(k == 0, F.to_json(failed)).when(k == 1, F.to_json(flat)).when(k == 2, F.to_json(F.struct(F.concat(F.lit("text "), u).alias("error")))).otherwise(F.concat(F.lit("Traceback "), u))
+    return errors.exceptions(tables.read(spark, d, "events").select(F.col("event_id").alias("id"), raw.alias("raw"), (k != 3).alias("is_json")))
+
+
+@query("c22_entry_spans", "SELECT o_orderkey AS trace_id, count(*) AS entries FROM (SELECT o_orderkey, 1 AS x FROM orders UNION ALL SELECT l_orderkey, 1 FROM lineitem WHERE l_linenumber IN (2, 5)) GROUP BY o_orderkey")
+def entry_spans(spark, d):
+    """Spans where work enters a service: roots, and lines of two numbers taken as of kind server and consumer."""
+    rows = tables.spans(spark, d).withColumn("kind", F.substring_index("span_id", "-", -1).cast("int"))
+    rows = rows.withColumn("kind", F.when(F.col("parent_id").isNotNull(), F.col("kind")))
+    return rows.where(links.entry_span()).groupBy("trace_id").agg(F.count("*").alias("entries"))
