@@ -93,3 +93,24 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, key: str, at: str, first: str,
     celled = rows.withColumn("_cell", F.floor(F.col(at) / width))
     inside = (celled[at] >= cells[first]) & (celled[at] <= cells[last])
     return celled.join(cells, (celled[key] == cells[key]) & (celled["_cell"] == cells["_cell"]) & inside, "left_semi").drop("_cell")
+
+
+def diff_ranges(diffs: DataFrame, key: str, diff: str) -> DataFrame:
+    """Changed lines of unified diffs as ranges ``key, a, b`` of the new file; a removal counts at the line after it.
+
+    Null and empty diffs have none. Rows of one key are merged.
+    """
+    hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+    start = F.struct(F.lit(0).cast("bigint").alias("line"), F.lit(False).alias("inside"), F.array().cast("array<bigint>").alias("changed"))
+
+    def step(s: Column, text: Column) -> Column:
+        first, file = text.rlike(hunk), text.startswith("diff --git ")
+        added, removed = text.startswith("+"), text.startswith("-")
+        line = F.when(first, F.regexp_extract(text, hunk, 1).try_cast("bigint")).when(s["inside"] & ~file & (added | text.startswith(" ") | (text == "")), s["line"] + 1).otherwise(s["line"])
+        counts = ~first & ~file & s["inside"] & (added | removed)
+        at = F.when(removed, F.greatest(s["line"], F.lit(1))).otherwise(s["line"])
+        changed = F.when(counts, F.concat(s["changed"], F.array(at))).otherwise(s["changed"])
+        return F.struct(line.alias("line"), (first | s["inside"] & ~file).alias("inside"), changed.alias("changed"))
+
+    lines = diffs.select(F.col(key).alias(key), F.explode(F.array_distinct(F.aggregate(F.split(diff, r"\r?\n"), start, step)["changed"])).alias("a"))
+    return merged_ranges(lines.withColumn("b", F.col("a")), key, "a", "b")

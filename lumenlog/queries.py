@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import fields, redaction, text
-from lumenlog.operators import analytics, calls, errors, links, metrics, model_calls, pages, requests, sites, traces
+from lumenlog.operators import analytics, calls, errors, links, metrics, model_calls, pages, requests, sites, telemetry, traces
 from lumenlog.plans import predicates as P
 from lumenlog.sources import lines, otlp, tables
 
@@ -787,3 +787,30 @@ def entry_spans(spark, d):
     rows = tables.spans(spark, d).withColumn("kind", F.substring_index("span_id", "-", -1).cast("int"))
     rows = rows.withColumn("kind", F.when(F.col("parent_id").isNotNull(), F.col("kind")))
     return rows.where(links.entry_span()).groupBy("trace_id").agg(F.count("*").alias("entries"))
+
+
+@query("g23_telemetry", """WITH e AS (SELECT *, CASE WHEN user_id % 5 = 0 THEN 'unknown_service:node' ELSE 'svc' || (user_id % 5) END AS service, CASE WHEN event_id % 2 = 0 THEN 'GET /u/' || (event_id + 10) ELSE 'GET /u/{id}' END AS name FROM events),
+  t AS (SELECT service, 'unnamed-service' AS code, NULL AS example FROM e WHERE user_id % 5 = 0 UNION ALL SELECT service, 'span-name-ids', name FROM e WHERE event_id % 2 = 0 UNION ALL SELECT service, 'missing-route', name FROM e WHERE user_id % 5 = 2 UNION ALL SELECT service, 'unmarked-error', '503 ' || name FROM e WHERE event_type = 'error' AND event_id % 3 = 0
+  UNION ALL SELECT service, 'old-attributes', 'http.method' FROM e UNION ALL SELECT service, 'unit-in-name', 'latency_ms' FROM e WHERE event_type = 'view' UNION ALL SELECT service, 'unnamed-service', NULL FROM e WHERE event_type = 'view' AND user_id % 5 = 0)
+  SELECT service, code, CASE code WHEN 'missing-route' THEN 'information' WHEN 'old-attributes' THEN 'hint' WHEN 'unit-in-name' THEN 'hint' ELSE 'warning' END AS severity, count(*) AS hits, min(example) AS example FROM t GROUP BY service, code""")
+def telemetry_findings(spark, d):
+    """Conventions of spans and metrics by service (G23, P10): one service names no routes."""
+    user, n = F.col("user_id"), F.col("event_id")
+    service = F.when(user % 5 == 0, "unknown_service:node").otherwise(F.concat(F.lit("svc"), (user % 5).cast("string")))
+    route = F.when(user % 5 == 2, "").otherwise(F.lit("/u/{id}"))
+    name = F.when(n % 2 == 0, F.concat(F.lit("GET /u/"), (n + 10).cast("string"))).otherwise(F.lit("GET /u/{id}"))
+    failed = F.col("event_type") == "error"
+    attributes = F.create_map(F.lit("http.method"), F.lit("GET"), F.lit("http.route"), route, F.lit("http.response.status_code"), F.when(failed, "503").otherwise("200"))
+    rows = tables.read(spark, d, "events")
+    spans = rows.select(service.alias("service"), name.alias("name"), F.lit(2).alias("kind"), F.when(n % 3 == 0, 0).otherwise(2).alias("status_code"), attributes.alias("attributes"))
+    named = rows.where("event_type = 'view'").select(service.alias("service"), F.lit("latency_ms").alias("name"), F.lit(None).cast("map<string,string>").alias("attributes"))
+    return telemetry.findings(telemetry.tallies(spans, named))
+
+
+@query("k23_diff_ranges", "SELECT p_partkey AS key, p_partkey + 1 AS a, p_partkey + 2 AS b FROM part UNION ALL SELECT p_partkey, p_partkey + 9, p_partkey + 9 FROM part UNION ALL SELECT p_partkey, p_partkey + 100, p_partkey + 100 FROM part")
+def diff_ranges(spark, d):
+    """Two hunks with lines added and removed, and a header between."""
+    key = F.col("p_partkey")
+    at = lambda n: (key + n).cast("string")
+    text_ = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,3 +"), at(0), F.lit(",4 @@ f\n same\n+new\n+new\n same\n\n same\n same\n same\n same\n-old\n same\ndiff --git a/y b/y\n+++ b/y\n@@ -0,0 +"), at(100), F.lit(" @@\n+new\n\\ No newline"))
+    return pages.diff_ranges(tables.read(spark, d, "part").select(key.alias("key"), text_.alias("diff")), "key", "diff")

@@ -85,3 +85,14 @@ def test_health_of_missing_values(spark):
     found = sites.health(rows, spark.createDataFrame([("a", 2), ("a", 1), (None, 5)], "site string, placeholders int"))
     assert [(r.site, r.hits, r.rule) for r in found.collect()] == [("a", 3, "unstructured")]
     assert sites.health(rows.limit(0), spark.createDataFrame([], "site string, placeholders int")).count() == 0
+
+
+def test_telemetry_and_diffs_of_missing_values(spark):
+    from lumenlog.operators import pages, telemetry
+
+    rows = spark.createDataFrame([(None, None, None, None, None), (None, None, 2, None, {"http.method": "GET", "http.status_code": "x"}), ("s", "a", 2, 2, {"http.status_code": "500"})], "service string, name string, kind int, status_code int, attributes map<string,string>")
+    found = {(r.service, r.code): r.hits for r in telemetry.findings(telemetry.tallies(rows)).collect()}
+    assert found == {(None, "missing-route"): 1, (None, "old-attributes"): 2, ("s", "old-attributes"): 1}
+    assert telemetry.findings(telemetry.tallies(rows.limit(0))).count() == 0
+    diffs = spark.createDataFrame([("a", None), ("b", ""), ("c", "+no hunk"), ("d", "@@ -3 +0,0 @@\r\n-gone"), ("d", "@@ -3 +1 @@\n+x")], "key string, diff string")
+    assert [tuple(r) for r in pages.diff_ranges(diffs, "key", "diff").collect()] == [("d", 1, 1)]
