@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions.fields import first_number
+from lumenlog.functions.fields import ALIASES, first_number
 from lumenlog.functions.text import first_line, template
 
 from .ranks import floor_rank, nth_values
@@ -135,3 +135,30 @@ def compare_sessions(events: DataFrame, baseline: str, latest: str) -> DataFrame
         .otherwise("localOnly")
     )
     return counts.withColumn("verdict", verdict)
+
+
+#: Fields that are offered first, in this order, and fields that never are.
+PREFERRED = ["service", "path", "method", "host", "logger", "environment", "region", "version", "container", "pod"]
+SKIPPED = ["level", "message", "timestamp", "status", "durationms", "traceid", "spanid", "parentspanid", "requestid"]
+
+
+def facet_fields(events: DataFrame, top: int = 4) -> DataFrame:
+    """Fields worth breaking events down by: ``name, events, distinct_values, place``, counted over all events.
+
+    A field is offered if a fifth of the events has it, with two values or more, none over 80
+    characters, and at most 50 or a fifth of its events. Of names of one meaning the best placed
+    one stays, and a dotted name only if its last part is no field. Ties are placed by name.
+    """
+    every = events.agg(F.count("*").alias("_all"))
+    counted = events.select(F.explode("fields").alias("name", "value")).groupBy("name").agg(F.count("*").alias("events"), F.countDistinct("value").alias("distinct_values"), F.max(F.length("value")).alias("_longest"))
+    meant = F.create_map(*[F.lit(x) for pair in {n.lower(): group[0].lower() for group in ALIASES for n in group}.items() for x in pair])
+    same = F.coalesce(F.element_at(meant, F.lower("name")), F.lower("name"))
+    ranks = F.create_map(*[F.lit(x) for place, n in enumerate(PREFERRED) for x in (n, place)])
+    rows = counted.withColumns({"_same": same, "_rank": F.coalesce(F.element_at(ranks, same), F.lit(len(PREFERRED)))}).join(F.broadcast(every))
+    ids = (F.col("distinct_values") > 50) & (5 * F.col("distinct_values") > F.col("events"))
+    fit = ~F.col("_same").isin(*SKIPPED) & ~F.col("_same").endswith(".time") & (F.coalesce("_longest", F.lit(0)) <= 80) & (5 * F.col("events") >= F.col("_all")) & (F.col("distinct_values") >= 2) & ~ids
+    names = counted.select(F.col("name").alias("_last"))
+    kept = rows.where(fit).join(names, F.col("name").contains(".") & (F.substring_index("name", ".", -1) == F.col("_last")), "left_anti")
+    order = ["_rank", F.desc("events"), "name"]
+    first = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_same").orderBy(*order))).where("_n = 1").orderBy(*order).limit(top)
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))).select("name", "events", "distinct_values", "place")

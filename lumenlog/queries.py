@@ -814,3 +814,9 @@ def diff_ranges(spark, d):
     at = lambda n: (key + n).cast("string")
     text_ = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,3 +"), at(0), F.lit(",4 @@ f\n same\n+new\n+new\n same\n\n same\n same\n same\n same\n-old\n same\ndiff --git a/y b/y\n+++ b/y\n@@ -0,0 +"), at(100), F.lit(" @@\n+new\n\\ No newline"))
     return pages.diff_ranges(tables.read(spark, d, "part").select(key.alias("key"), text_.alias("diff")), "key", "diff")
+
+
+@query("g13_facet_fields", f"""WITH {EV}, f AS (SELECT 'user_id' AS name, CAST(user_id AS VARCHAR) AS value FROM ev UNION ALL SELECT 'event_type', event_type FROM ev UNION ALL SELECT 'k', k FROM ev), s AS (SELECT name, count(*) AS events, count(DISTINCT value) AS distinct_values FROM f GROUP BY name)
+  SELECT name, events, distinct_values, CAST(row_number() OVER (ORDER BY events DESC, name) AS INT) AS place FROM s WHERE 5 * events >= (SELECT count(*) FROM ev) AND distinct_values >= 2 AND NOT (distinct_values > 50 AND 5 * distinct_values > events) QUALIFY place <= 4""")
+def facet_fields(spark, d):
+    return analytics.facet_fields(tables.events(spark, d))

@@ -96,3 +96,12 @@ def test_telemetry_and_diffs_of_missing_values(spark):
     assert telemetry.findings(telemetry.tallies(rows.limit(0))).count() == 0
     diffs = spark.createDataFrame([("a", None), ("b", ""), ("c", "+no hunk"), ("d", "@@ -3 +0,0 @@\r\n-gone"), ("d", "@@ -3 +1 @@\n+x")], "key string, diff string")
     assert [tuple(r) for r in pages.diff_ranges(diffs, "key", "diff").collect()] == [("d", 1, 1)]
+
+
+def test_facet_fields_of_aliases_dotted_and_long_values(spark):
+    from lumenlog.operators import analytics
+
+    made = [{"svc.zone": str(i % 2), "zone": str(i % 2), "a.b": str(i % 3), "host": "h", "service_name": str(i % 2), "service": str(i % 2), "prose": "x" * 81 + str(i % 2), "id": str(i), "level": str(i % 2)} for i in range(100)]
+    rows = spark.createDataFrame([(m,) for m in [*made, None]], "fields map<string,string>")
+    assert [(r.name, r.place) for r in analytics.facet_fields(rows).orderBy("place").collect()] == [("service", 1), ("a.b", 2), ("zone", 3)]
+    assert analytics.facet_fields(rows.limit(0)).count() == 0
