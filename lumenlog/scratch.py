@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Rows of a batch that goes to a Python worker: rows are whole texts, and both sides hold two batches or so.
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_ROWS = 1_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While a table is written, Python workers get ``MOST_ROWS`` rows at a time at most; the session's own setting comes back."""
+    own = spark.conf.get(ROWS_A_BATCH)
+    if 0 < int(own) <= MOST_ROWS:
+        yield
+        return
+    spark.conf.set(ROWS_A_BATCH, MOST_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_A_BATCH, own)
+
+
 class Scratch:
     """Parquet tables of one job in the shared folder; reading one back cuts the lineage.
 
@@ -38,7 +58,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path  # for drop()
         return kept
