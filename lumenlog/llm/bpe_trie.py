@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
+from .worker_memory import tidy
+
 #: Words whose encodings a worker keeps.
 MOST_WORDS = 500_000
 #: Pairs of tokens whose verdict a worker keeps.
@@ -221,7 +223,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", id: str
 
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id)
+    return rows.mapInArrow(tidy(run), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id)
 
 
 def digests(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -242,4 +244,4 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc
 
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id)
+    return rows.mapInArrow(tidy(run), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id)

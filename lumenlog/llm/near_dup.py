@@ -35,6 +35,7 @@ from lumenlog.scratch import Scratch
 
 from .components import components
 from .shingle_sets import BASE, mix, shingle_sets
+from .worker_memory import tidy
 
 COORDINATES, BANDS, ROWS = 200, 40, 5
 #: Members tested beside one copy of their pivot.
@@ -82,7 +83,7 @@ def signatures(docs: DataFrame, text: str, id: str, width: int, lower: bool) ->
     """Size, digest (128 bits) and bands of every row's shingle set; no bands for an empty set."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(begin, 256) for whole in batches for begin in range(0, len(whole), 256)):
             n, first, second, buckets = [], [], [], []
             for found in shingle_sets(batch.column(1).to_pylist(), width, lower):
                 n.append(len(found))
@@ -94,7 +95,7 @@ def signatures(docs: DataFrame, text: str, id: str, width: int, lower: bool) ->
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*buckets, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, first, second)), lists], ["id", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
+    return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(tidy(run), SIGNED)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, text: str, id: str, width: int, lower: bool, percent: int) -> DataFrame:
@@ -123,7 +124,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str, id: str, width: int, lo
                         v.append(pivot)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return beside.select("id", "pivot", "part", "text").mapInArrow(run, "u bigint, v bigint")
+    return beside.select("id", "pivot", "part", "text").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame, text: str, id: str) -> DataFrame:
@@ -206,7 +207,7 @@ def verify_blocks(left: DataFrame, docs: DataFrame, scratch: Scratch, text: str,
                     v += [node] * len(linked)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return ordered.mapInArrow(run, "u bigint, v bigint")
+    return ordered.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def groups(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc_id", width: int = 5, lower: bool = True, percent: int = 80) -> DataFrame:

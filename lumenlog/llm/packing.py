@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .word_ids import encoder
+from .worker_memory import tidy
 
 #: Remainders that a task gathers before it packs them.
 POOL = 4096
@@ -189,5 +190,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, window: in
     source = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     longs = ", ".join(f"{c} bigint" for c in columns[1:])
-    packed = source.mapInArrow(run, f"id {kind}, {longs}" + ", ids array<bigint>" * with_ids)
+    packed = source.mapInArrow(tidy(run), f"id {kind}, {longs}" + ", ids array<bigint>" * with_ids)
     return packed.withColumnRenamed("id", id)

@@ -43,9 +43,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenlog.scratch import Scratch
+from lumenlog.scratch import Scratch, small_batches
 
 from .shingle_sets import BASE, OF_BYTE, UNBASE, mix, powers
+from .worker_memory import tidy
 
 LENGTH = 200
 #: A perfect difference set: each difference modulo the period occurs once. Fixed values.
@@ -259,7 +260,8 @@ class BlockFiles:
     @staticmethod
     def write(df: DataFrame, folder: str) -> str:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df.repartition(parts, "block").write.partitionBy("block").option("compression", "uncompressed").parquet(folder)
+        with small_batches(df.sparkSession):
+            df.repartition(parts, "block").write.partitionBy("block").option("compression", "uncompressed").parquet(folder)
         return folder
 
     def read(self, block: int) -> pa.Table | None:
@@ -350,7 +352,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", id: st
     bits = bits_of(sampled), bits_of(sampled / 4), bits_of(total / 4)
 
     def send(size: int, level: int, names) -> DataFrame:
-        return source.mapInArrow(lambda batches: _send(batches, copies, length, bits[level], size, names()), SENT)
+        return source.mapInArrow(tidy(lambda batches: _send(batches, copies, length, bits[level], size, names())), SENT)
 
     tuples = BlockFiles.write(shared_names(send(SAMPLE_BYTES, 0, lambda: lambda _, texts: texts.sample()[1]), SAMPLE_BYTES, ranked=True), scratch.path("tuples"))
 
@@ -406,4 +408,4 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", id: st
     types = [to_arrow_type(f.dataType) for f in fields]
     schema = f"id {fields[0].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
     schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in fields[1:])
-    return with_carried.mapInArrow(cut, schema).select(F.col("id").alias(id), *out_names[1 : len(out_names) - len(carried)], *[F.col(f"carried_{c}").alias(c) for c in carry])
+    return with_carried.mapInArrow(tidy(cut), schema).select(F.col("id").alias(id), *out_names[1 : len(out_names) - len(carried)], *[F.col(f"carried_{c}").alias(c) for c in carry])

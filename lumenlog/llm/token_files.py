@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .word_ids import encoder
+from .worker_memory import tidy
 
 #: Sequences of a batch.
 PER_BATCH = 256
@@ -148,7 +149,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
 
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(tidy(run), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -172,4 +173,4 @@ def read_documents(spark: SparkSession, folder: str, key_type: str = "bigint") -
                 yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], ["key", "start", "n_tokens", "ids_crc32"])
 
     files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return based.repartition(files, "shard").mapInArrow(read, f"key {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return based.repartition(files, "shard").mapInArrow(tidy(read), f"key {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")

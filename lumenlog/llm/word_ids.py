@@ -6,19 +6,27 @@ splits texts at white space, cuts the chunks that it has not met yet into words
 pattern, lets the library encode the words that are new, many in one call, and joins the stored
 ids of the chunks. Texts that hold a special token's string, and
 vocabularies with other rules, go to the library whole. A worker keeps ``MOST_CHUNKS`` chunks
-and words, then starts afresh, so memory does not grow with the corpus.
+and words, then starts afresh, so memory does not grow with the corpus; it drops them when it is idle.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import threading
+import time
 import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from .worker_memory import give_back
+
 MOST_CHUNKS = 800_000
+#: Characters of the texts that are cut into chunks together.
+AT_ONCE = 1_000_000
+#: Seconds without a text after which a worker's chunks and words go.
+IDLE = 5
 #: Fixed pattern of the vocabulary's words, after lower-casing, for texts without a character in ``ODD``.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: Any character outside those that the standard module is known to class as the library does;
@@ -48,6 +56,7 @@ class WordIds:
         self.find, self.odd = re.compile(WORDS).findall, re.compile(ODD).search
         self.blank, self.separator = re.compile(r"[^\S\x1c-\x1f]+").split, re.compile("[\x1c-\x1f]").search
         self.known: dict[str, bytes] = {}
+        self.lock, self.watched, self.used = threading.Lock(), False, 0.0
 
     def chunks(self, text: str) -> list[str]:
         """What stands between white space; no word reaches across it."""
@@ -84,11 +93,30 @@ class WordIds:
             self.known.update(zip(some, [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def run(self, texts: list[str]) -> list[bytes]:
+        with self.lock:
+            out = self._ids(texts)
+            self.used = time.monotonic()
+            if not self.watched:
+                self.watched = True
+                threading.Thread(target=self._forget, daemon=True).start()
+        return out
+
+    def _forget(self) -> None:
+        """Drops what is known once no text has come for ``IDLE`` seconds: other stages need the memory of idle workers."""
+        while self.watched:
+            time.sleep(IDLE)
+            with self.lock:
+                if time.monotonic() - self.used >= IDLE:
+                    self.known.clear()
+                    self.watched = False
+        give_back()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         at = 0
         while at < len(texts):
             some, size, distinct = [], 0, set()
-            while at < len(texts) and (not some or size + len(texts[at]) < 8_000_000):
+            while at < len(texts) and (not some or size + len(texts[at]) < AT_ONCE):
                 text = texts[at]
                 if not self.independent or any(s in text for s in self.special):
                     out[at] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
