@@ -76,3 +76,53 @@ def op8() -> str:
   r AS (SELECT doc_id, count(*) FILTER ({found.replace('t.', '')}) AS n_base, min(diagonal) FILTER ({found.replace('t.', '')}) AS first_word, max(diagonal) FILTER ({found.replace('t.', '')}) AS last_word,
     {label(found)} AS base_labels, {label(found + ' OR ' + notice)} AS labels, coalesce(max(share), 0.0) AS score FROM b GROUP BY doc_id)
   SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM w LEFT JOIN r ON r.doc_id = w.doc_id"""
+
+
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+SQUARES = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+FLOOR = "(s - ((s % n) + n) % n) // n"
+
+
+def op11(parts: int = 8, entries: int = 16, scale: int = 4096, rounds: int = 6) -> str:
+    """Every part against every entry, a round a step."""
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f"""a{k} AS MATERIALIZED (SELECT v.r, v.part, min(struct_pack(d := CAST({SQUARES} AS BIGINT), e := c.e)) AS m FROM v JOIN c{k} c ON c.part = v.part GROUP BY v.r, v.part),
+"""
+        if k < rounds:
+            steps += f"""c{k + 1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(f.q, c.q) AS q FROM c{k} c LEFT JOIN (SELECT part, e, list(CAST({FLOOR} AS BIGINT) ORDER BY i) AS q FROM (SELECT v.part, a.m.e AS e, i, sum(v.q[i]) AS s, count(*) AS n FROM v JOIN a{k} a ON a.r = v.r AND a.part = v.part, (SELECT unnest(range(1, len(v.q) + 1)) AS i) GROUP BY v.part, a.m.e, i) GROUP BY part, e) f ON f.part = c.part AND f.e = c.e),
+"""
+    return f"""WITH u AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings WHERE {FINITE}),
+v AS MATERIALIZED (SELECT r, vec_id, part, p[part * (len(p) // {parts}) + 1 : (part + 1) * (len(p) // {parts})] AS q FROM u, (SELECT unnest(range({parts})) AS part)),
+c0 AS MATERIALIZED (SELECT part, e, q FROM (SELECT part, q, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e FROM v) WHERE e < {entries}),
+{steps}t AS (SELECT r, string_agg(lower(printf('%02x', m.e)), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+s AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, e)) AS sha FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM u JOIN t ON t.r = u.r, s"""
+
+
+def op12(window: int = 10) -> str:
+    """Windows of items joined with all runs of as many words of documents."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""WITH b AS (SELECT item_id, {words} AS words FROM benchmark),
+  iw AS MATERIALIZED (SELECT DISTINCT item_id, least(len(words), {window}) AS size, array_to_string(words[i : i + least(len(words), {window}) - 1], ' ') AS w FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - {window}, 0) + 2)) AS i FROM b WHERE len(words) > 0)),
+  d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents),
+  dw AS (SELECT r, i, size, array_to_string(words[i : i + size - 1], ' ') AS w FROM (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM iw) WHERE len(words) >= size)),
+  m AS MATERIALIZED (SELECT dw.r, dw.i, dw.size, iw.item_id FROM dw JOIN iw ON iw.w = dw.w AND iw.size = dw.size),
+  h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT r, i, size FROM m)) GROUP BY r),
+  n AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY r)
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN n ON n.r = d.r"""
+
+
+def op13(size: int = 64, k: int = 8, scale: int = 1024, rounds: int = 10, seed: int = 3) -> str:
+    """Every vector against every centroid, a round a step."""
+    steps = ""
+    for turn in range(rounds + 1):
+        steps += f"""a{turn} AS MATERIALIZED (SELECT v.r, min(struct_pack(d := CAST({SQUARES} AS BIGINT), e := c.e)) AS m FROM v, c{turn} c GROUP BY v.r),
+"""
+        if turn < rounds:
+            steps += f"""c{turn + 1} AS MATERIALIZED (SELECT c.e, coalesce(f.q, c.q) AS q FROM c{turn} c LEFT JOIN (SELECT e, list(CAST({FLOOR} AS BIGINT) ORDER BY i) AS q FROM (SELECT a.m.e AS e, i, sum(v.q[i]) AS s, count(*) AS n FROM v JOIN a{turn} a ON a.r = v.r, (SELECT unnest(range(1, {size + 1})) AS i) GROUP BY a.m.e, i) GROUP BY e) f ON f.e = c.e),
+"""
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = {size} AND {FINITE}),
+c0 AS MATERIALIZED (SELECT e, q FROM (SELECT q, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS e FROM v) WHERE e < {k}),
+{steps}s AS (SELECT e, sha256(array_to_string(q, ',')) AS sha FROM c{rounds})
+SELECT vec_id, CAST(m.e AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.e) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256 FROM v JOIN a{rounds} a ON a.r = v.r JOIN s ON s.e = a.m.e"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
 
-from . import bpe_trie, fingerprints, licenses, near_dup, oracles, packing, passages, quality, sharding, substrings, token_files
+from . import bpe_trie, clusters, decontamination, fingerprints, licenses, near_dup, oracles, packing, passages, quality, sharding, substrings, token_files, vector_codes
 from .common import documents
 
 
@@ -66,6 +66,19 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(documents(spark, sf_dir), Scratch(spark, "op10"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark, "op11"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.hits(documents(spark, sf_dir), benchmark, Scratch(spark, "op12")).drop("items")
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark, "op13"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -77,6 +90,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_token_files": op9_token_files,
     "op10_passages": op10_passages,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_decontamination": op12_decontamination,
+    "op13_clusters": op13_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality": oracles.op1(), "op7_near_dup": oracles.op7(), "op8_licenses": oracles.op8()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality": oracles.op1(),
+    "op7_near_dup": oracles.op7(),
+    "op8_licenses": oracles.op8(),
+    "op11_vector_codes": oracles.op11(),
+    "op12_decontamination": oracles.op12(),
+    "op13_clusters": oracles.op13(),
+}

@@ -42,12 +42,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word, between blanks, of UTF-8 text."""
+def word_hashes(data: bytes, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word, between blanks (those of the 256 bytes that ``blank`` marks), of UTF-8 text."""
     own = np.frombuffer(data, np.uint8)
     if not len(own):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = ~BLANK[own]
+    word = ~blank[own]
     edge = np.diff(word.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(own) + 1, np.uint64)
