@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
 
-from .vectors import LONG, exact, floors, integers, keep_blocks, largest, longs, over_blocks, sums, usable
+from .vectors import LONG, exact, floors, integers, keep_blocks, largest, longs, over_blocks, sums, usable, whole
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +56,7 @@ def clusters(df: DataFrame, scratch: Scratch, id: str = "vec_id", vector: str =
     if not first:
         return df.sparkSession.createDataFrame([], schema)
     blocks, context = keep_blocks(own, scratch), df.sparkSession.sparkContext
-    centroids = integers(np.array([r.x for r in first], "<f8").tobytes(), size, scale).astype(object)
+    centroids = whole(integers(np.array([r.x for r in first], "<f8").tobytes(), size, scale))
     for _ in range(rounds):
         sent = context.broadcast(centroids)
 
@@ -75,14 +75,14 @@ def clusters(df: DataFrame, scratch: Scratch, id: str = "vec_id", vector: str =
         return (total,)
 
     (inertias,) = over_blocks(blocks, spread)
-    whole = int(sum(inertias))
+    total = int(sum(inertias))
     shas = [sha_of(c) for c in centroids]
 
     def run(batches):
         for batch in batches:
             for at in range(len(batch)):
                 number, distance = nearest(integers(batch.column("x")[at].as_py(), size, scale), sent.value)
-                every = pa.array([whole if whole < LONG else None] * len(number), pa.int64())
+                every = pa.array([total if total < LONG else None] * len(number), pa.int64())
                 columns = [batch.column("ids")[at].values, pa.array(number, pa.int32()), longs(distance), longs([inertias[c] for c in number]), every, pa.array([shas[c] for c in number])]
                 yield pa.RecordBatch.from_arrays(columns, [id, "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
 
-from .vectors import exact, floors, integers, keep_blocks, largest, longs, over_blocks, sums, usable
+from .vectors import exact, floors, integers, keep_blocks, largest, longs, over_blocks, sums, usable, whole
 
 #: Entries of a leaf at most, unless they are all alike.
 LEAF = 2
@@ -109,7 +109,7 @@ def codes(df: DataFrame, scratch: Scratch, id: str = "vec_id", vector: str = "em
         some = own.where(F.size("x") == size)
         first = some.orderBy(*order).limit(entries).collect()
         blocks, context = keep_blocks(some, scratch), df.sparkSession.sparkContext
-        books = cut(integers(np.array([r.x for r in first], "<f8").tobytes(), size, scale).astype(object), parts)
+        books = cut(whole(integers(np.array([r.x for r in first], "<f8").tobytes(), size, scale)), parts)
         for _ in range(rounds):
             sent = context.broadcast([Tree(book) for book in books])
 

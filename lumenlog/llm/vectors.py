@@ -23,7 +23,8 @@ from lumenlog.scratch import Scratch
 ROWS = 2_048
 LONG = 1 << 63
 
-_whole = np.frompyfunc(int, 1, 1)
+#: Elementwise Python integers.
+whole = np.frompyfunc(int, 1, 1)
 
 
 def usable(vector: str | Column) -> Column:
@@ -57,7 +58,7 @@ def integers(data: bytes, size: int, scale: int) -> np.ndarray:
         scaled = np.floor(x * scale)
     if np.isfinite(scaled).all():
         return scaled
-    return np.where(np.isfinite(scaled), _whole(np.nan_to_num(scaled)), _whole(x) * scale)  # a double of that magnitude is whole
+    return np.where(np.isfinite(scaled), whole(np.nan_to_num(scaled)), whole(x) * scale)  # a double of that magnitude is whole
 
 
 def largest(x: np.ndarray) -> int:
@@ -68,14 +69,14 @@ def exact(x: np.ndarray, bound: int) -> np.ndarray:
     """``x`` in the narrowest kind for results below ``bound``."""
     if bound < 1 << 53:
         return x.astype(np.float64)
-    return x.astype(np.int64) if bound < LONG else x if x.dtype == object else _whole(x)
+    return x.astype(np.int64) if bound < LONG else whole(x)
 
 
 def sums(x: np.ndarray, numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each number below ``n`` the sum of its rows of ``x`` and their count, as Python's integers."""
     own = exact(x, (len(x) + 1) * largest(x))
     chosen = (np.arange(n)[:, None] == numbers).astype(own.dtype)
-    return _whole(chosen @ own), _whole(np.bincount(numbers, minlength=n))
+    return whole(chosen @ own), whole(np.bincount(numbers, minlength=n))
 
 
 def floors(entries: np.ndarray, total: np.ndarray, count: np.ndarray) -> np.ndarray:
