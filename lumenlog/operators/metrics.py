@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.scratch import Scratch
+
+from .scans import numbered, ranged, running
+
 
 def rates(points: DataFrame, series: str = "series", time: str = "time_ms", value: str = "total") -> DataFrame:
     """Change a second of a cumulative counter; a drop is a restart from zero; null without time between points."""
-    order = Window.partitionBy(series).orderBy(time, "id")
-    before, then = F.lag(value).over(order), F.lag(time).over(order)
+    own = ranged(points, [series], [time, "id"], Scratch(points.sparkSession, "rates"))
+    rows = running(own, [series], [time, "id"], {"_lag": ("last", F.struct(F.col(value).alias("value"), F.col(time).alias("time")))})
+    before, then = F.col("_lag.value"), F.col("_lag.time")
     change = F.when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
     seconds = (F.col(time) - then) / 1000
-    return points.withColumn("rate", F.when(seconds > 0, change / seconds))
+    return rows.withColumn("rate", F.when(seconds > 0, change / seconds)).drop("_lag", "_range")
 
 
 def histogram_percentile(bounds: list[float], counts: Column, p: float) -> Column:
@@ -40,18 +45,19 @@ def histograms(rows: DataFrame, keys: list[str], value: str, bounds: list[float]
 
 def thinned(points: DataFrame, series: str, order_by: list[str], most: int) -> DataFrame:
     """Evenly chosen points of each series, the first and last among them."""
-    every = Window.partitionBy(series)
-    numbered = points.withColumns({"_i": F.row_number().over(every.orderBy(*order_by)) - 1, "_n": F.count("*").over(every)})
+    own = numbered(ranged(points, [series], order_by, Scratch(points.sparkSession, "thinned")), [series], order_by, "_place")
+    counted = running(own, [series], order_by, {"_n": ("sum", F.lit(1))}, "all").withColumn("_i", F.col("_place") - 1)
     chosen = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / (most - 1) + 0.5).cast("int"))
     kept = (F.col("_n") <= most) | F.array_contains(chosen, F.col("_i").cast("int"))
-    return numbered.where(kept).drop("_i", "_n")
+    return counted.where(kept).select(*points.columns)
 
 
 def without_late(points: DataFrame, arrival: str = "id") -> DataFrame:
     """Points later than all of their series that arrived before: repeats and late ones go. Of equal arrivals the earlier time is first."""
-    before = Window.partitionBy("series").orderBy(arrival, "time_ms").rowsBetween(Window.unboundedPreceding, -1)
-    newest = points.withColumn("_newest", F.max("time_ms").over(before))
-    return newest.where(F.col("_newest").isNull() | (F.col("time_ms") > F.col("_newest"))).drop("_newest")
+    order = [arrival, "time_ms"]
+    own = ranged(points, ["series"], order, Scratch(points.sparkSession, "late"))
+    newest = running(own, ["series"], order, {"_newest": ("max", F.col("time_ms"))})
+    return newest.where(F.col("_newest").isNull() | (F.col("time_ms") > F.col("_newest"))).select(*points.columns)
 
 
 def measure_of() -> Column:
@@ -103,9 +109,9 @@ def intervals(points: DataFrame) -> DataFrame:
         if name not in points.columns:
             points = points.withColumn(name, F.lit(None).cast(kind))
     cumulative = F.col("temporality") == 2
-    order = Window.partitionBy("series", F.coalesce(cumulative, F.lit(False))).orderBy("time_ms")
-    own = F.struct("start_ms", "time_ms", "value", "count", "sum", "buckets")
-    rows = points.withColumn("_lag", F.lag(own).over(order))
+    keys = ["series", "_cumulative"]
+    own = ranged(points.withColumn("_cumulative", F.coalesce(cumulative, F.lit(False))), keys, ["time_ms"], Scratch(points.sparkSession, "intervals"))
+    rows = running(own, keys, ["time_ms"], {"_lag": ("last", F.struct("start_ms", "time_ms", "value", "count", "sum", "buckets"))})
     rows = rows.withColumn("_before", F.when(cumulative & F.col("_lag.start_ms").eqNullSafe(F.col("start_ms")), F.col("_lag")))
     per_second = lambda amount, ms: F.when(ms > 0, amount / (ms / 1000))
     rate = F.when(F.col("value") >= F.col("_before.value"), per_second(F.col("value") - F.col("_before.value"), F.col("time_ms") - F.col("_before.time_ms"))).otherwise(per_second(F.col("value"), F.col("time_ms") - F.col("start_ms")))
@@ -125,7 +131,7 @@ def intervals(points: DataFrame) -> DataFrame:
     of_split = F.when(some, F.coalesce(p95, F.when(F.col("kind") == "summary", quantile(0.95)), F.col("average")))
     plotted = F.when(split, of_split).when((F.col("kind") == "sum") & F.col("monotonic"), rate).otherwise(F.col("value"))
     p50 = F.when(F.col("kind") == "summary", F.when(some, quantile(0.5))).otherwise(F.when(~coarse(F.col("_p50")), F.col("_p50.value")))
-    return rows.withColumns({"measure": measure_of(), "plotted": plotted, "p50": p50, "bound": wide}).drop("_lag", "_before", "_since", "_between", "_p50", "_p95")
+    return rows.withColumns({"measure": measure_of(), "plotted": plotted, "p50": p50, "bound": wide}).drop("_lag", "_before", "_since", "_between", "_p50", "_p95", "_cumulative", "_range")
 
 
 def series(points: DataFrame) -> DataFrame:

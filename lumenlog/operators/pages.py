@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.fields import field, number
 from lumenlog.functions.text import natural_key
+from lumenlog.scratch import Scratch
+
+from .scans import numbered, ranged, running
 
 
 def newest(events: DataFrame, condition: Column, size: int = 1000, before: int | None = None) -> DataFrame:
@@ -20,13 +23,16 @@ def newest(events: DataFrame, condition: Column, size: int = 1000, before: int |
 def context(events: DataFrame, anchors: DataFrame, around: int = 25) -> DataFrame:
     """The events before and after each anchor (``id``) in its source and session, with their distance.
 
-    Rows are numbered within source and session, and neighbours found by an equi-join on the
-    number, so an anchor costs its neighbours only.
+    Rows are numbered within source and session (ranges of a hot one are numbered apart), and
+    neighbours found by an equi-join on the number, so an anchor costs its neighbours only. Events
+    without a source or session are a group too.
     """
-    order = Window.partitionBy("server_id", "session_id").orderBy("id")
-    numbered = events.select("id", "server_id", "session_id", F.row_number().over(order).alias("place"))
-    wanted = numbered.join(anchors.select("id"), "id", "left_semi").select(F.col("id").alias("anchor"), "server_id", "session_id", F.explode(F.sequence(F.col("place") - around, F.col("place") + around)).alias("place"), F.col("place").alias("own"))
-    return numbered.join(wanted, ["server_id", "session_id", "place"]).select("anchor", "id", (F.col("place") - F.col("own")).alias("distance"))
+    keys = ["server_id", "session_id"]
+    own = ranged(events.select("id", *keys), keys, ["id"], Scratch(events.sparkSession, "context"))
+    placed = numbered(own, keys, ["id"], "place")
+    wanted = placed.join(anchors.select("id"), "id", "left_semi").select(F.col("id").alias("anchor"), "server_id", "session_id", F.explode(F.sequence(F.col("place") - around, F.col("place") + around)).alias("place"), F.col("place").alias("own"))
+    there = placed.select("id", F.struct(*keys).alias("of"), "place")  # a struct of nulls is a key too
+    return there.join(wanted.withColumn("of", F.struct(*keys)).drop(*keys), ["of", "place"]).select("anchor", "id", (F.col("place") - F.col("own")).alias("distance"))
 
 
 def sorted_by(events: DataFrame, name: str, size: int, descending: bool = False) -> DataFrame:
@@ -72,18 +78,18 @@ def crash_links(events: DataFrame, is_structured: Column, is_crash: Column, wind
     As-of join: the last structured event before the crash must be an error within the window; a
     structured event in between resets it.
     """
-    order = Window.partitionBy("server_id", "session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(is_structured, F.struct("id", "ts_ms", "level")), ignorenulls=True).over(order)
-    found = events.withColumn("_last", last).where(is_crash & (F.col("_last.level") == "error") & (F.col("ts_ms") - F.col("_last.ts_ms") <= window_ms))
-    first = Window.partitionBy(F.col("_last.id")).orderBy("id")
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("id").alias("crash_id"), F.col("_last.id").alias("error_id"))
+    keys = ["server_id", "session_id"]
+    own = ranged(events.select("id", "ts_ms", "level", *keys, is_structured.alias("_structured"), is_crash.alias("_crash")), keys, ["id"], Scratch(events.sparkSession, "crashes"))
+    last = F.when(F.col("_structured"), F.struct("id", "ts_ms", "level"))
+    found = running(own, keys, ["id"], {"_last": ("last", last)}).where((F.col("_last.level") == "error") & F.col("_crash") & (F.col("ts_ms") - F.col("_last.ts_ms") <= window_ms))
+    return found.groupBy(F.col("_last.id").alias("error_id")).agg(F.min("id").alias("crash_id")).select("crash_id", "error_id")
 
 
 def merged_ranges(ranges: DataFrame, key: str, first: str, last: str) -> DataFrame:
     """Unions of overlapping or touching whole-number ranges of each key."""
-    order = Window.partitionBy(key).orderBy(first, last)
-    before = F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = ranges.withColumn("_new", F.when(F.col(first) > before + 1, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(order))
+    own = ranged(ranges.select(key, first, last), [key], [first, last], Scratch(ranges.sparkSession, "ranges"))
+    seen = running(own, [key], [first, last], {"_before": ("max", F.col(last))}).withColumn("_new", F.when(F.col(first) > F.col("_before") + 1, 1).otherwise(0))
+    island = running(seen, [key], [first, last], {"_island": ("sum", F.col("_new"))}, "upto")
     return island.groupBy(key, "_island").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("_island")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
 
+from .scans import numbered, ranged, running
+
 
 def distinct_spans(spans: DataFrame) -> DataFrame:
     """One span a trace and id: the earliest."""
@@ -49,18 +51,19 @@ def waterfall(spans: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spans.sparkSession, "waterfall")
     nodes = with_roots(spans).select("trace_id", "span_id", F.col("parent_id").alias("up"), F.array(F.struct("start_ms", "end_ms", "span_id")).alias("path"))
-    out = _climbed(nodes, scratch, lambda c: F.concat(f"_{c}", c))
-    every, own = Window.partitionBy("trace_id"), F.element_at("path", -1)["start_ms"]
-    return out.select("trace_id", "span_id", (F.size("path") - 1).alias("depth"), F.row_number().over(every.orderBy("path")).alias("ordinal"), (own - F.min(own).over(every)).alias("offset_ms"))
+    out = ranged(_climbed(nodes, scratch, lambda c: F.concat(f"_{c}", c)).drop("up"), ["trace_id"], ["path"], scratch)
+    own = F.element_at("path", -1)["start_ms"]
+    rows = running(numbered(out, ["trace_id"], ["path"], "ordinal"), ["trace_id"], ["path"], {"_from": ("min", own)}, "all")
+    return rows.select("trace_id", "span_id", (F.size("path") - 1).alias("depth"), F.col("ordinal").cast("int").alias("ordinal"), (own - F.col("_from")).alias("offset_ms"))
 
 
 def self_times(spans: DataFrame) -> DataFrame:
     """Duration of every span less the union of its children's time within it; a span is no child of itself."""
     parents = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"))
     clipped = spans.join(parents, ["trace_id", "parent_id"]).select("trace_id", "parent_id", F.greatest("start_ms", "_from").alias("a"), F.least("end_ms", "_to").alias("b"), "span_id").where("b > a AND span_id <> parent_id").drop("span_id")
-    order = Window.partitionBy("trace_id", "parent_id").orderBy("a", "b")
-    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = clipped.withColumn("_before", before).select("trace_id", F.col("parent_id").alias("span_id"), F.greatest(F.lit(0.0), F.col("b") - F.greatest("a", F.coalesce("_before", "a"))).alias("covered"))
+    keys, order = ["trace_id", "parent_id"], ["a", "b"]
+    own = ranged(clipped, keys, order, Scratch(spans.sparkSession, "self-times"))
+    fresh = running(own, keys, order, {"_before": ("max", F.col("b"))}).select("trace_id", F.col("parent_id").alias("span_id"), F.greatest(F.lit(0.0), F.col("b") - F.greatest("a", F.coalesce("_before", "a"))).alias("covered"))
     covered = fresh.groupBy("trace_id", "span_id").agg(F.sum("covered").alias("covered"))
     joined = spans.join(covered, ["trace_id", "span_id"], "left")
     return joined.withColumn("self_ms", F.greatest(F.lit(0.0), F.col("end_ms") - F.col("start_ms") - F.coalesce("covered", F.lit(0.0)))).drop("covered")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions.fields import level_of
 from lumenlog.functions.text import first_line, leading_level, strip_ansi
+from lumenlog.operators.scans import numbered, ranged, running
+from lumenlog.scratch import Scratch
 
 #: Forms of container prefixes and of logfmt pairs.
 COMPOSE = r"^([A-Za-z0-9][\w.-]{0,127}) +\| ?"
@@ -105,12 +107,14 @@ def parse(lines: DataFrame, line: str = "line", stream: str = "file") -> DataFra
 def joined_traces(lines: DataFrame, source: str, order: str, line: str) -> DataFrame:
     """Stack traces joined to the line before them: one row for each first line; after ``MOST_LINES`` lines the next begins a row of its own.
 
-    Sources are ordered and numbered on their own; a source's lines are one window.
+    Sources are ordered and numbered on their own, a hot one in several ranges; no list is longer than ``MOST_LINES``.
     """
-    own = Window.partitionBy(source).orderBy(order)
-    starts = F.when(F.col(line).rlike(CONTINUES) & F.lag(line).over(own).isNotNull(), 0).otherwise(1)
-    numbered = lines.withColumn("_starts", starts).withColumn("_event", F.sum("_starts").over(own))
-    placed = numbered.withColumn("_n", F.row_number().over(Window.partitionBy(source, "_event").orderBy(order))).withColumn("_part", F.floor((F.col("_n") - 1) / MOST_LINES))
+    own = numbered(ranged(lines.select(source, order, line), [source], [order], Scratch(lines.sparkSession, "traces")), [source], [order], "_place")
+    starts = F.when(F.col(line).rlike(CONTINUES) & (F.col("_place") > 1), 0).otherwise(1)
+    marked = own.withColumn("_starts", starts)
+    begun = F.when(F.col("_starts") == 1, F.col("_place"))
+    events = running(marked, [source], [order], {"_event": ("max", begun)}, "upto")
+    placed = events.withColumn("_part", F.floor((F.col("_place") - F.col("_event")) / MOST_LINES))
     gathered = placed.groupBy(source, "_event", "_part").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))).alias("_all"), F.min(order).alias("first"))
     return gathered.select(source, "first", F.size("_all").alias("n_lines"), F.array_join(F.transform("_all", lambda x: x["l"]), "\n").alias("text"))
 
