@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.fields import number
 
+from .traces import distinct_spans, subtree_sums
+
 # Names of operations, of attributes, and of span events.
 MODEL = ["chat", "text_completion", "generate_content", "embeddings", "completion"]
 AGENT = ["invoke_agent", "create_agent"]
@@ -298,3 +300,22 @@ def message_parts(spans: DataFrame) -> DataFrame:
     every = F.concat(_one("system", False, instructions), body, _one("assistant", False, asked), _one("tool", True, answered), _one("tools", False, offered))
     messages = flat.select("trace_id", "span_id", F.posexplode(every.cast(f"array<{MESSAGE}>")).alias("message", "m"))
     return messages.select("trace_id", "span_id", "message", "m.role", "m.output", F.posexplode("m.parts").alias("part", "p")).select("trace_id", "span_id", "message", "role", "output", "part", "p.*")
+
+
+def chips(spans: DataFrame) -> DataFrame:
+    """What a waterfall shows of each call: ``kind``, ``label``, own tokens, and for agents the model calls beneath them.
+
+    ``model_calls``, ``calls_input_tokens`` and ``calls_output_tokens`` count over the agent's whole
+    subtree, nested agents and tools included; they are null for other kinds and for agents without
+    a model call beneath. Tokens that a call doesn't tell count as 0. Of spans with one id the earliest counts.
+    """
+    own = distinct_spans(spans)
+    calls = model_calls(own)
+    models = calls.where("kind = 'model'").select("trace_id", "span_id", F.lit(1).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("input_tokens", "output_tokens")])
+    names = ["n", "input_tokens", "output_tokens"]
+    beneath = subtree_sums(own, models, names).select("trace_id", "span_id", *[F.col(c).alias(f"_{c}") for c in names])
+    label = F.when(F.col("kind") == "tool", F.concat(F.lit("tool · "), F.coalesce("tool", "name"))).otherwise(F.coalesce("model", "agent", "operation"))
+    has = (F.col("kind") == "agent") & (F.col("_n") > 0)
+    totals = {"model_calls": F.col("_n").cast("bigint"), "calls_input_tokens": F.col("_input_tokens"), "calls_output_tokens": F.col("_output_tokens")}
+    joined = calls.join(beneath, ["trace_id", "span_id"], "left")
+    return joined.select("trace_id", "span_id", "kind", label.alias("label"), "input_tokens", "output_tokens", *[F.when(has, value).alias(name) for name, value in totals.items()])

@@ -105,3 +105,42 @@ def critical_paths(spans: DataFrame) -> DataFrame:
     chosen = rooted.where("parent_id IS NOT NULL").withColumn("_n", F.row_number().over(last)).where("_n = 1")
     nodes = first.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.lit(0).alias("step")).union(chosen.select("trace_id", "span_id", "parent_id", F.lit(1)))
     return _climbed(nodes, scratch, lambda c: F.col(c) + F.col(f"_{c}")).select("trace_id", "span_id", "step")
+
+
+def intervals(spans: DataFrame) -> DataFrame:
+    """Interval numbers of the trees: ``trace_id``, ``span_id``, ``ordinal`` and ``last``, the greatest ordinal beneath or at a span.
+
+    Ordinals are those of :func:`waterfall`. A span's interval ends before its next sibling; that
+    of a last child ends with its parent's, which is led up by doubling. Spans on a cycle have no
+    row, ids are distinct in a trace.
+    """
+    scratch = Scratch(spans.sparkSession, "intervals")
+    parents = with_roots(spans).select("trace_id", "span_id", "parent_id")
+    placed = waterfall(spans).select("trace_id", "span_id", "ordinal").join(parents, ["trace_id", "span_id"])
+    keys = ["trace_id", "parent_id"]
+    beside = running(ranged(placed, keys, ["ordinal"], scratch), keys, ["ordinal"], {"next": ("last", F.col("ordinal"))}, backwards=True)
+    own = scratch.keep(beside.drop("_range"), "siblings")
+    up = F.when(F.col("next").isNull(), F.col("parent_id"))  # null too for the last root: nothing follows it
+    ends = _climbed(own.select("trace_id", "span_id", up.alias("up"), "next"), scratch, lambda c: F.col(f"_{c}"))
+    sizes = own.groupBy("trace_id").agg(F.max("ordinal").alias("_size"))
+    every = scratch.keep(ends.select("trace_id", "span_id", "next"), "ends")
+    open_ = every.where("next IS NULL").join(sizes, "trace_id").select("trace_id", "span_id", F.col("_size").alias("last"))
+    closed = every.where("next IS NOT NULL").select("trace_id", "span_id", (F.col("next") - 1).alias("last"))
+    return own.select("trace_id", "span_id", "ordinal").join(closed.unionByName(open_), ["trace_id", "span_id"])
+
+
+def subtree_sums(spans: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
+    """For every span the sums of ``names`` over all spans beneath it, itself not included: a difference of prefix sums.
+
+    ``values`` has ``trace_id``, ``span_id`` and numbers; spans without a row or a number there count as
+    0. Sums are exact for whole numbers and, as differences of doubles, near for others. Traces of any depth.
+    """
+    scratch = Scratch(spans.sparkSession, "subtrees")
+    tree = scratch.keep(intervals(spans), "tree")
+    each = values.groupBy("trace_id", "span_id").agg(*[F.sum(c).alias(c) for c in names])
+    rows = tree.join(each, ["trace_id", "span_id"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
+    order = ranged(rows, ["trace_id"], ["ordinal"], scratch)
+    summed = scratch.keep(running(order, ["trace_id"], ["ordinal"], {f"_{c}": ("sum", F.col(c)) for c in names}, "upto").drop("_range"), "sums")
+    ends = summed.select("trace_id", F.col("ordinal").alias("last"), *[F.col(f"_{c}").alias(f"_end_{c}") for c in names])
+    joined = summed.join(ends, ["trace_id", "last"])
+    return joined.select("trace_id", "span_id", "ordinal", "last", *[(F.col(f"_end_{c}") - F.col(f"_{c}")).alias(c) for c in names])

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import fields, redaction, text
-from lumenlog.operators import analytics, calls, errors, links, metrics, model_calls, pages, requests, sites, telemetry, traces
+from lumenlog.operators import analytics, calls, errors, links, metrics, model_calls, pages, requests, scans, sites, telemetry, traces
 from lumenlog.plans import predicates as P
+from lumenlog.scratch import Scratch
 from lumenlog.sources import lines, otlp, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -820,3 +821,46 @@ def diff_ranges(spark, d):
   SELECT name, events, distinct_values, CAST(row_number() OVER (ORDER BY events DESC, name) AS INT) AS place FROM s WHERE 5 * events >= (SELECT count(*) FROM ev) AND distinct_values >= 2 AND NOT (distinct_values > 50 AND 5 * distinct_values > events) QUALIFY place <= 4""")
 def facet_fields(spark, d):
     return analytics.facet_fields(tables.events(spark, d))
+
+
+def _agent_trees(rows: DataFrame) -> DataFrame:
+    """Events as spans of agents, models and tools: each hundred is one tree; views extend chains, others hang anywhere before."""
+    n, kind = F.col("event_id") % 100, F.col("event_type")
+    parent = F.when(kind == "view", n - 1).otherwise(F.pmod(F.col("event_id") * 7 + F.col("user_id"), n))
+    texts = {
+        "gen_ai.operation.name": F.when(kind == "signup", "invoke_agent").when(kind == "click", "execute_tool").otherwise("chat"),
+        "gen_ai.agent.name": F.when(kind == "signup", F.concat(F.lit("agent "), F.col("user_id").cast("string"))),
+        "gen_ai.request.model": F.when(~kind.isin("signup", "click"), F.concat(F.lit("model "), (F.col("user_id") % 3).cast("string"))),
+        "gen_ai.tool.name": F.when((kind == "click") & (n % 2 == 0), "look"),
+        "gen_ai.usage.input_tokens": F.when(kind != "click", F.floor("value").cast("string")),
+        "gen_ai.usage.output_tokens": F.when(kind != "error", (F.col("event_id") % 13).cast("string")),
+    }
+    attributes = F.map_filter(F.create_map(*[x for key, value in texts.items() for x in (F.lit(key), value)]), lambda _, v: v.isNotNull())
+    key = lambda at: F.concat(F.lit("s"), at.cast("string"))
+    return rows.select(F.floor(F.col("event_id") / 100).alias("trace_id"), key(n).alias("span_id"), F.when(n > 0, key(parent)).alias("parent_id"), kind.alias("name"), F.lit("agents").alias("service"), F.floor(n / 3).cast("double").alias("start_ms"), F.lit(200.0).alias("end_ms"), F.lit(0).alias("status_code"), attributes.alias("attributes"))
+
+
+AGENTS = """e AS (SELECT event_id // 100 AS trace_id, event_id % 100 AS n, event_type, user_id, floor(value) AS tin, event_id % 13 AS tout, CASE WHEN event_id % 100 = 0 THEN NULL WHEN event_type = 'view' THEN event_id % 100 - 1 ELSE (event_id * 7 + user_id) % (event_id % 100) END AS up FROM events),
+  anc AS (SELECT trace_id, n, up AS a FROM e WHERE up IS NOT NULL UNION ALL SELECT anc.trace_id, anc.n, e.up FROM anc JOIN e ON e.trace_id = anc.trace_id AND e.n = anc.a WHERE e.up IS NOT NULL)"""
+
+
+@query("g19_agent_totals", f"""WITH RECURSIVE {AGENTS}, b AS (SELECT anc.trace_id, a AS n, count(*) AS calls, sum(tin) AS tin, sum(CASE WHEN event_type = 'error' THEN 0 ELSE tout END) AS tout FROM anc JOIN e USING (trace_id, n) WHERE event_type NOT IN ('signup', 'click') GROUP BY ALL)
+  SELECT e.trace_id, 's' || e.n AS span_id, CASE event_type WHEN 'signup' THEN 'agent' WHEN 'click' THEN 'tool' ELSE 'model' END AS kind, CASE event_type WHEN 'signup' THEN 'agent ' || user_id WHEN 'click' THEN 'tool · ' || CASE WHEN e.n % 2 = 0 THEN 'look' ELSE 'click' END ELSE 'model ' || (user_id % 3) END AS label,
+  CASE WHEN event_type <> 'click' THEN CAST(e.tin AS DOUBLE) END AS input_tokens, CASE WHEN event_type <> 'error' THEN CAST(e.tout AS DOUBLE) END AS output_tokens, CASE WHEN event_type = 'signup' THEN CAST(calls AS BIGINT) END AS model_calls, CASE WHEN event_type = 'signup' THEN CAST(b.tin AS DOUBLE) END AS calls_input_tokens, CASE WHEN event_type = 'signup' THEN CAST(b.tout AS DOUBLE) END AS calls_output_tokens FROM e LEFT JOIN b ON b.trace_id = e.trace_id AND b.n = e.n""")
+def agent_totals(spark, d):
+    """Calls with the model calls and tokens beneath each agent, over trees of any depth."""
+    return model_calls.chips(_agent_trees(tables.read(spark, d, "events")))
+
+
+@query("r1_intervals", f"""WITH RECURSIVE {AGENTS}, s AS (SELECT trace_id, a AS n, count(*) AS beneath FROM anc GROUP BY ALL), p AS (SELECT trace_id, n, [[floor(n / 3), n]] AS path FROM e WHERE up IS NULL UNION ALL SELECT e.trace_id, e.n, list_append(p.path, [floor(e.n / 3), hash_order.o]) FROM p JOIN e ON e.trace_id = p.trace_id AND e.up = p.n JOIN (SELECT 's' || range AS k, row_number() OVER (ORDER BY 's' || range) AS o, range AS n FROM range(100)) hash_order ON hash_order.n = e.n),
+  o AS (SELECT trace_id, n, row_number() OVER (PARTITION BY trace_id ORDER BY path) AS ordinal FROM p)
+  SELECT o.trace_id, 's' || o.n AS span_id, CAST(ordinal AS INT) AS ordinal, CAST(ordinal + coalesce(beneath, 0) AS INT) AS last FROM o LEFT JOIN s ON s.trace_id = o.trace_id AND s.n = o.n""")
+def span_intervals(spark, d):
+    """First and last ordinal of each span's subtree."""
+    return traces.intervals(_agent_trees(tables.read(spark, d, "events"))).select("trace_id", "span_id", "ordinal", F.col("last").cast("int").alias("last"))
+
+
+@query("h11_every_seventh", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY user_id, event_id) AS n FROM events) WHERE n % 7 = 1")
+def every_seventh(spark, d):
+    rows = tables.read(spark, d, "events")
+    return scans.every_nth(rows, ["user_id", "event_id"], 7, Scratch(spark, "h11")).select("event_id", "user_id")

@@ -102,3 +102,37 @@ def test_a_hot_source_in_many_ranges_gives_the_same(spark):
         found[parts] = [sorted(map(tuple, run().collect()), key=str) for run in made]
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found["1"] == found["23"] and all(found["1"])
+
+
+CALL = "trace_id string, span_id string, parent_id string, name string, service string, start_ms double, end_ms double, status_code int, attributes map<string,string>"
+
+
+def call(span, parent, operation=None, tokens=None, trace="t"):
+    attributes = {"gen_ai.operation.name": operation} if operation else {}
+    if tokens is not None:
+        attributes["gen_ai.usage.input_tokens"] = str(tokens)
+    return (trace, span, parent, span, "s", 0.0, 1.0, 0, attributes or None)
+
+
+def test_totals_beneath_agents(spark):
+    """Nested agents, an agent without calls, spans without attributes, a span that comes twice, a cycle, a chain of 200."""
+    chain = [call(f"c{i:03d}", f"c{i - 1:03d}" if i else "outer", "chat" if i % 2 else None, 1) for i in range(200)]
+    some = [
+        call("outer", None, "invoke_agent"),
+        call("inner", "outer", "invoke_agent"),
+        call("tool", "inner", "execute_tool"),
+        call("deep", "tool", "chat", 7),
+        call("none", "outer", "chat"),
+        call("deep", "tool", "chat", 7),
+        call("bare", "inner"),
+        call("idle", "outer", "create_agent"),
+        call("x", "y", "invoke_agent"),
+        call("y", "x", "chat", 5),
+        call("outer", None, "invoke_agent", trace="u"),
+        *chain,
+    ]
+    from lumenlog.operators import model_calls
+
+    found = {(r.trace_id, r.span_id): (r.model_calls, r.calls_input_tokens) for r in model_calls.chips(spark.createDataFrame(some, CALL)).collect() if r.kind == "agent"}
+    assert found == {("t", "outer"): (102, 107.0), ("t", "inner"): (1, 7.0), ("t", "idle"): (None, None), ("u", "outer"): (None, None), ("t", "x"): (None, None)}
+    assert model_calls.chips(spark.createDataFrame([], CALL)).count() == 0
