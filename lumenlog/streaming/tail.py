@@ -20,8 +20,22 @@ def rolling_volume(stream: DataFrame, time: str = "ts", width: str = "1 minute",
     return counted.select(F.col("w.start").alias("start"), "events", "errors")
 
 
-def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    """Handles what is there, batch by batch, restarting from the checkpoint, and ends."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(handle).start()
+#: Whether a query runs batches without data, for time that has passed; read when it starts.
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append", idle: bool = True) -> StreamingQuery:
+    """Handles what is there, batch by batch, restarting from the checkpoint, and ends.
+
+    Without ``idle`` only batches with data run: needed where state waits for processing time, for which
+    Spark runs empty batches without end.
+    """
+    spark = stream.sparkSession
+    own = spark.conf.get(IDLE_BATCHES)
+    spark.conf.set(IDLE_BATCHES, str(idle).lower())
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(handle).start()
+    finally:
+        spark.conf.set(IDLE_BATCHES, own)
     query.awaitTermination()
     return query
