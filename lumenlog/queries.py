@@ -11,7 +11,7 @@ from lumenlog.functions import fields, redaction, text
 from lumenlog.operators import analytics, calls, errors, links, metrics, model_calls, pages, requests, scans, sites, telemetry, traces
 from lumenlog.plans import predicates as P
 from lumenlog.scratch import Scratch
-from lumenlog.sources import lines, otlp, tables
+from lumenlog.sources import lines, otlp, otlp_proto, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -864,3 +864,57 @@ def span_intervals(spark, d):
 def every_seventh(spark, d):
     rows = tables.read(spark, d, "events")
     return scans.every_nth(rows, ["user_id", "event_id"], 7, Scratch(spark, "h11")).select("event_id", "user_id")
+
+
+def _bytes(number: Column, n: int) -> Column:
+    """``n`` bytes of a whole number, the lowest first."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(number.cast("bigint"), 8 * k).bitwiseAND(255)), 2, "0")) for k in range(n)])
+
+
+def _field(number: int, value: Column) -> Column:
+    """A protobuf field of up to 16,383 bytes; its length takes two bytes."""
+    tag = F.unhex(F.lit(f"{number << 3 | 2:02x}"))
+    whole = lambda v: F.concat(tag, _bytes(F.length(v) % 128 + 128, 1), _bytes(F.floor(F.length(v) / 128), 1), v)
+    return F.get(F.transform(F.array(value), whole), F.lit(0))  # the value is computed once
+
+
+def _eight(number: int, value: Column) -> Column:
+    return F.concat(F.unhex(F.lit(f"{number << 3 | 1:02x}")), _bytes(value, 8))
+
+
+@query("c17_otlp_protobuf", """SELECT lpad(lower(to_hex(o_orderkey + 1)), 32, '0') AS trace_id, lpad(lower(to_hex(o_orderkey + 1)), 16, '0') AS span_id, CAST(NULL AS VARCHAR) AS parent_id, o_orderpriority AS name, CAST(o_orderkey % 6 AS INT) AS kind, 'orders' AS service, 'lib' AS scope,
+  CAST((o_orderkey + 1) * 1000 AS DOUBLE) AS start_ms, (o_orderkey + 1) * 1000 + 0.25 AS end_ms, CASE o_orderstatus WHEN 'F' THEN 2 ELSE 0 END AS status_code, '["' || o_orderstatus || '",' || (o_orderkey % 100) || ']' AS status FROM orders WHERE o_orderkey % 7 <> 3""")
+def otlp_protobuf(spark, d):
+    """Orders as export requests in protobuf; each seventh breaks off and gives nothing."""
+    key = F.col("o_orderkey") + 1
+    text = lambda c: F.encode(c, "utf-8")
+    id_of = lambda n: F.unhex(F.lpad(F.hex(key), 2 * n, "0"))
+    small = lambda number, value: F.concat(F.unhex(F.lit(f"{number << 3:02x}")), _bytes(value, 1))
+    pair = lambda k, value: F.concat(_field(1, text(F.lit(k))), _field(2, value))
+    listed = F.concat(_field(1, _field(1, text(F.col("o_orderstatus")))), _field(1, small(3, F.col("o_orderkey") % 100)))
+    status = F.when(F.col("o_orderstatus") == "F", _field(15, small(3, F.lit(2)))).otherwise(F.unhex(F.lit("")))
+    span = F.concat(_field(1, id_of(16)), _field(2, id_of(8)), _field(4, F.unhex(F.lit("00" * 8))), _field(5, text(F.col("o_orderpriority"))), small(6, F.col("o_orderkey") % 6), _eight(7, key * 1_000_000_000), _eight(8, key * 1_000_000_000 + 250_999), _field(9, pair("status", _field(5, listed))), status)
+    resource = _field(1, _field(1, pair("service.name", _field(1, text(F.lit("orders"))))))
+    whole = _field(1, F.concat(resource, _field(2, F.concat(_field(1, _field(1, text(F.lit("lib")))), _field(2, span)))))
+    cut = F.get(F.transform(F.array(whole), lambda w: F.substring(w, F.lit(1), F.length(w) - F.when(F.col("o_orderkey") % 7 == 3, 1).otherwise(0))), F.lit(0))
+    payloads = otlp_proto.with_json(tables.read(spark, d, "orders").select(cut.alias("body")), "body", "Traces")
+    read = otlp.spans(payloads.where("error IS NULL"), "json")
+    return read.select("trace_id", "span_id", "parent_id", "name", "kind", "service", "scope", "start_ms", "end_ms", "status_code", F.element_at("attributes", "status").alias("status"))
+
+
+@query("c19_otlp_values", """SELECT lpad(lower(to_hex(o_orderkey + 1)), 16, '0') AS span_id, CAST(o_orderkey % 6 AS INT) AS kind, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS status_code,
+  CASE o_orderkey % 3 WHEN 0 THEN '["' || o_orderstatus || '",' || o_custkey || ',true]' WHEN 1 THEN '{"key":' || o_custkey || ',"list":[["' || o_orderpriority || '"]]}' ELSE o_orderpriority END AS value FROM orders""")
+def otlp_values(spark, d):
+    """Enumerations by number and by name, lists and objects as values."""
+    key, n, status = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.col("o_orderstatus")
+    kind = F.when(key % 2 == 0, F.get(F.array(*map(F.lit, otlp.SPAN_KINDS)), (key % 6).cast("int"))).otherwise((key % 6).cast("string"))
+    code = F.when(status == "F", F.lit('"STATUS_CODE_ERROR"')).when(status == "O", F.lit("1")).otherwise(F.lit('"STATUS_CODE_UNSET"'))
+    word = lambda c: F.concat(F.lit('{"stringValue":"'), c, F.lit('"}'))
+    number = F.concat(F.lit('{"intValue":"'), n, F.lit('"}'))
+    listed = F.concat(F.lit('{"arrayValue":{"values":['), word(status), F.lit(","), number, F.lit(',{"boolValue":true}]}}'))
+    within = F.concat(F.lit('{"arrayValue":{"values":[{"arrayValue":{"values":['), word(F.col("o_orderpriority")), F.lit("]}}]}}"))
+    object_ = F.concat(F.lit('{"kvlistValue":{"values":[{"key":"key","value":{"intValue":"0"}},{"key":"key","value":'), number, F.lit('},{"key":"list","value":'), within, F.lit("}]}}"))
+    value = F.when(key % 3 == 0, listed).when(key % 3 == 1, object_).otherwise(word(F.col("o_orderpriority")))
+    body = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"spanId":"'), F.lpad(F.hex(key + 1), 16, "0"), F.lit('","kind":"'), kind, F.lit('","status":{"code":'), code, F.lit('},"attributes":[{"key":"v","value":'), value, F.lit("}]}]}]}]}"))
+    read = otlp.spans(tables.read(spark, d, "orders").select(body.alias("body")), "body")
+    return read.select("span_id", "kind", "status_code", F.element_at("attributes", "v").alias("value"))
