@@ -28,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.scratch import Scratch
@@ -276,14 +276,17 @@ def groups(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc
 def keep_one(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc_id", width: int = 5, lower: bool = True, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that :func:`groups` doesn't keep; of rows with one id, one stays.
 
-    The ids left out are broadcast if they are counted to be few; else the join shuffles texts by id.
+    Columns may have any names. Of rows with one id the first in the order of their other columns stays
+    (maps and variants have no order); rows without an id all stay. The ids left out are broadcast if
+    they are counted to be few; else the join shuffles texts by id.
     """
     found = scratch.keep(groups(docs, scratch, text, id, width, lower, percent), "groups")
     gone = found.where("NOT kept").select(id).distinct()
     few = gone.limit(MOST_DROPPED + 1).count() <= MOST_DROPPED
-    left = docs.join(F.broadcast(gone) if few else gone, id, "left_anti")
+    left = docs.join(F.broadcast(gone) if few else gone, id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if found.where(F.col(id).isNotNull()).groupBy(id).count().where("count > 1").limit(1).count():
-        order = Window.partitionBy(id).orderBy(*[F.col(f"`{c}`") for c, kind in left.dtypes if c != id and not kind.startswith("map") and kind != "variant"])
-        first = left.where(F.col(id).isNotNull()).withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
-        left = first.union(left.where(F.col(id).isNull()))
+        ordered = [F.col(f"`{c}`") for c, kind in left.dtypes if c != id and not any(odd in kind for odd in ("map<", "variant"))]
+        rows = left.select(F.col(f"`{id}`").alias("key"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"), F.struct(F.lit(0), *ordered).alias("place"))
+        one = rows.where("key IS NOT NULL").groupBy("key").agg(F.min_by("row", "place").alias("row"))
+        left = one.select("row").union(rows.where("key IS NULL").select("row")).select("row.*")
     return left

@@ -15,8 +15,8 @@ def op1() -> str:
     shift = lambda v: f"greatest(length(bin({v})) - {own.BITS}, 0)"
     cell = lambda v: f"(({v} >> {shift(v)}) << {shift(v)})"
     rate = lambda part, whole: f"CAST(({part}) * 10000 // greatest({whole}, 1) AS BIGINT)"
-    rates = ", ".join(f"{rate(part, whole)} AS r_{k}, {rate(f'greatest({part} - CAST(ceil({own.DEVIATIONS} * sqrt({part})) AS BIGINT), 0)', whole)} AS l_{k}" for k, (part, whole) in own.RULES.items())
-    sketch = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, r_{k} AS v FROM m" for k in own.RULES)
+    rates = ", ".join(f"{rate(part, whole)} AS r_{k}, {rate(f'greatest({part} - CAST(ceil({roots} * sqrt({part})) AS BIGINT), 0)', whole)} AS l_{k}" for k, (part, whole, roots) in own.RULES.items())
+    sketch = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {'r' if k in own.COMMON else 'l'}_{k} AS v FROM m WHERE NOT base_failed" for k in own.RULES)
     verdict = " AND ".join(f"{cell(f'l_{k}')} <= most_{k}" for k in own.RULES)
     return rf"""WITH d AS (SELECT doc_id, coalesce('=' || lang, 'null') AS lang, coalesce('=' || source, 'null') AS source, coalesce(text, '') AS t FROM documents),
   w AS (SELECT *, regexp_extract_all(t, '{BLANKS}+') AS words, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '{BLANKS}')] AS lines FROM d),
@@ -32,10 +32,10 @@ def op1() -> str:
   parts AS (SELECT lang, source, rule, cell, n * {own.PARTS} AS n FROM sk
     UNION ALL SELECT lang, source, rule, cell, {own.PARTS} * least({own.PRIOR}, total) * n // total FROM og JOIN lg USING (lang, rule) JOIN lc USING (lang, rule)
     UNION ALL SELECT og.lang, source, og.rule, cell, {own.PARTS} * ({own.PRIOR} - total) * n // whole FROM og JOIN lg USING (lang, rule) JOIN ag USING (rule) JOIN ac USING (rule) WHERE total < {own.PRIOR}),
-  mc AS (SELECT lang, source, rule, cell, sum(sum(n)) OVER (PARTITION BY lang, source, rule ORDER BY cell) AS seen, sum(sum(n)) OVER (PARTITION BY lang, source, rule) AS in_all FROM parts GROUP BY lang, source, rule, cell),
-  q AS (SELECT lang, source, rule, min(cell) FILTER (seen * 100 >= in_all * 50) AS middle, min(cell) FILTER (seen * 100 >= in_all * {own.PERCENT}) AS upper_ FROM mc GROUP BY ALL),
-  g AS (SELECT lang, source, {', '.join(f"max(upper_ + {own.STRETCH} * (upper_ - middle)) FILTER (rule = '{k}') AS most_{k}" for k in own.RULES)} FROM q GROUP BY lang, source)
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {verdict} AS kept FROM m JOIN g USING (lang, source)"""
+  mc AS (SELECT lang, source, rule, cell, sum(sum(n)) OVER (PARTITION BY lang, source, rule ORDER BY cell) AS seen, sum(sum(n)) OVER (PARTITION BY lang, source, rule) AS in_all, coalesce(sum(sum(n) FILTER (cell = 0)) OVER (PARTITION BY lang, source, rule), 0) AS none FROM parts GROUP BY lang, source, rule, cell),
+  q AS (SELECT lang, source, rule, min(cell) FILTER (seen * 100 >= in_all * 50) AS middle, min(cell) FILTER (seen * 100 >= in_all * {own.PERCENT}) AS upper_, min(cell) FILTER (cell > 0 AND (in_all - none) * 100 >= in_all * {own.LEAST} AND (seen - none) * 100 >= (in_all - none) * {own.RARE}) AS rare FROM mc GROUP BY ALL),
+  g AS (SELECT lang, source, {', '.join(f"max(CASE WHEN upper_ > 0 THEN upper_ + {own.STRETCH} * (upper_ - middle) ELSE coalesce(rare - 1, {own.OFF}) END) FILTER (rule = '{k}') AS most_{k}" for k in own.RULES)} FROM q GROUP BY lang, source)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {verdict} AS kept FROM m LEFT JOIN g USING (lang, source)"""
 
 
 def op7(width: int = 2, percent: int = 80) -> str:

@@ -1,19 +1,20 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Every document is measured with DataFrame functions alone. The rates of the documents of each
-language and source go into mergeable quantile sketches: a sketch is the number of rows in each
+Every document is measured with DataFrame functions alone. A text is judged by the least rate that its
+count supports, the count less so many square roots of it as the rule says, so one mark or two in a
+text, or few words, tell nothing. The rates of the documents of each language and source go into mergeable quantile sketches: a sketch is the number of rows in each
 of a fixed series of cells whose width grows with the value (eight leading bits are kept, so a
 quantile is off by 1/128 of itself at most). Merging sketches is adding counts, so Spark builds
 them with partial sums, whatever the partitions, a hot source is no more work than many small
 ones, and the sketch of a language, or of all rows, comes from those of its sources.
 
-No rate has a fixed cutoff. A group's threshold is its upper quartile plus ``STRETCH`` times the
-distance from its median, read from its own sketch merged with its language's, which counts as
+A group's threshold is read from its own sketch merged with its language's, which counts as
 ``PRIOR`` documents, so a group of few documents leans on its language and a large one on itself;
-what a language of fewer documents can't supply comes from all rows. A text is judged by the
-least rate that its counts support, the count less ``DEVIATIONS`` square roots of it, so a few
-marks in a text, or few words, tell nothing. The base rule (too few words, too many repeated
-ones) holds besides.
+what a language of fewer documents can't supply comes from all rows. Where the upper quartile isn't
+zero, a text is too high above it plus ``STRETCH`` times its distance from the median. Where it is
+zero, most of the group has nothing of what is counted: a text is then too high from the rate that
+``RARE`` percent of those that have some stay below, and where fewer than ``LEAST`` percent have any
+the rule is off, for there is nothing to read from the sketch. The base rule (too few words, too many repeated ones) holds besides.
 """
 
 from __future__ import annotations
@@ -33,10 +34,16 @@ PARTS = 1000
 BITS = 8
 #: The upper quantile in percent, and how many times its distance from the median is added.
 PERCENT, STRETCH = 75, 3
-#: Square roots of a count that are taken off before a text is judged by it.
-DEVIATIONS = 2
-#: Rates in ten-thousandths: what is counted, and of how many.
-RULES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
+#: Of the texts that have any of what most have none of, the percent whose rates pass.
+RARE = 10
+#: Percent of a merged sketch that has to have some of it.
+LEAST = 1
+#: Rates in ten-thousandths: what is counted, of how many, and the square roots of the count that are taken off before a text is judged.
+RULES = {"symbols": ("n_symbols", "word_chars", 2), "dup_lines": ("n_dup_lines", "n_lines", 1), "word_length": ("word_chars", "n_words", 2)}
+#: Rules of which every text has some.
+COMMON = ("word_length",)
+#: A threshold that nothing exceeds.
+OFF = 1 << 62
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: Rows of thresholds that may be broadcast; each is under 200 bytes.
 MOST_BROADCAST = 10_000
@@ -66,7 +73,7 @@ def repeat_words(words: Column, hashes: Column, width: int = 5) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of ``MEASURES`` and ``base_failed``; columns of these names are replaced.
+    """``docs`` with the columns of ``MEASURES`` and ``base_failed``; columns of these names, and those named _words, _hashes or _lines, are replaced.
 
     A null or empty text has no words and fails the base rule.
     """
@@ -97,15 +104,15 @@ def rate(part: Column, whole: str) -> Column:
     return F.floor(10_000 * part / F.greatest(F.col(whole), F.lit(1))).cast("long")
 
 
-def rates() -> dict[str, Column]:
-    """What the sketches hold, as whole ten-thousandths."""
-    return {name: rate(F.col(part), whole) for name, (part, whole) in RULES.items()}
+def least_rates() -> dict[str, Column]:
+    """What the verdicts compare, in whole ten-thousandths: the rates of counts less some square roots of them."""
+    less = lambda part, roots: F.greatest(F.col(part) - F.ceil(roots * F.sqrt(part)), F.lit(0))
+    return {name: rate(less(part, roots), whole) for name, (part, whole, roots) in RULES.items()}
 
 
-def least_rates() -> dict[str, Column]:
-    """What the verdicts compare: the rates of counts less ``DEVIATIONS`` square roots of them."""
-    less = lambda part: F.greatest(F.col(part) - F.ceil(DEVIATIONS * F.sqrt(part)), F.lit(0))
-    return {name: rate(less(part), whole) for name, (part, whole) in RULES.items()}
+def sketched_rates() -> dict[str, Column]:
+    """What the sketches hold: plain rates of what every text has, least rates of what most have none of."""
+    return {name: rate(F.col(RULES[name][0]), RULES[name][1]) if name in COMMON else least for name, least in least_rates().items()}
 
 
 def cell(value: Column) -> Column:
@@ -119,9 +126,9 @@ def group_key(column: str) -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Sketches of every language and source: ``lang_key``, ``source_key``, ``rule``, ``cell``, ``n``."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), cell(value).alias("cell")) for name, value in rates().items()])).alias("x")
-    rows = measured.select(group_key("lang").alias("lang_key"), group_key("source").alias("source_key"), pairs)
+    """Sketches of every language and source, of the texts that pass the base rule: ``lang_key``, ``source_key``, ``rule``, ``cell``, ``n``."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), cell(value).alias("cell")) for name, value in sketched_rates().items()])).alias("x")
+    rows = measured.where("NOT base_failed").select(group_key("lang").alias("lang_key"), group_key("source").alias("source_key"), pairs)
     return rows.groupBy("lang_key", "source_key", "x.rule", "x.cell").agg(F.count("*").alias("n"))
 
 
@@ -144,17 +151,21 @@ def thresholds(measured: DataFrame) -> DataFrame:
     cells = F.array_sort(F.collect_list(F.struct("cell", "n")))  # some thousands of cells at most
     grouped = merged(sketches(measured)).groupBy("lang_key", "source_key", "rule").agg(cells.alias("cells"), F.sum("n").alias("in_all"))
 
-    def quantile(percent: int) -> Column:
+    def quantile(percent: int, cells: Column, in_all: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at"))
 
         def step(s: Column, c: Column) -> Column:
             seen = s["seen"] + c["n"]
-            return F.struct(seen.alias("seen"), F.when((s["at"] < 0) & (seen * 100 >= F.col("in_all") * percent), c["cell"]).otherwise(s["at"]).alias("at"))
+            return F.struct(seen.alias("seen"), F.when((s["at"] < 0) & (seen * 100 >= in_all * percent), c["cell"]).otherwise(s["at"]).alias("at"))
 
-        return F.aggregate("cells", start, step)["at"]
+        return F.aggregate(cells, start, step)["at"]
 
-    found = grouped.select("lang_key", "source_key", "rule", quantile(50).alias("middle"), quantile(PERCENT).alias("upper"))
-    most = F.col("upper") + STRETCH * (F.col("upper") - F.col("middle"))
+    some = F.filter("cells", lambda c: c["cell"] > 0)
+    in_some = F.aggregate(some, F.lit(0).cast("long"), lambda n, c: n + c["n"])
+    every, in_all = F.col("cells"), F.col("in_all")
+    found = grouped.select("lang_key", "source_key", "rule", quantile(50, every, in_all).alias("middle"), quantile(PERCENT, every, in_all).alias("upper"), F.when(in_some * 100 >= in_all * LEAST, quantile(RARE, some, in_some)).alias("rare"))
+    fence = F.col("upper") + STRETCH * (F.col("upper") - F.col("middle"))
+    most = F.when(F.col("upper") > 0, fence).when(F.col("rare") > 0, F.col("rare") - 1).otherwise(F.lit(OFF))
     return found.groupBy("lang_key", "source_key").agg(*[F.max(F.when(F.col("rule") == rule, most)).alias(f"most_{rule}") for rule in RULES])
 
 

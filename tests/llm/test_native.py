@@ -158,3 +158,25 @@ def test_fingerprints(spark, ranges):
             assert abs(near - true) < 0.17
         assert prints.setdefault(text, row.fingerprint) == row.fingerprint
         assert prints.setdefault(edited, row.edited_fingerprint) == row.edited_fingerprint
+
+
+@pytest.mark.parametrize("rule, junk", [("symbols", lambda i: " ".join(f"w{j}q{i}%%" if j % (2 + i % 4) == 0 else f"w{j}q{i}" for j in range(80))), ("dup_lines", lambda i: "\n".join([f"line{i} again"] * (5 + i % 9) + [f"other{j}x{i} line{j}y{i} words{j}z{i}" for j in range(60)])), ("word_length", lambda i: " ".join(f"{'w' * (8 + i % 9)}{j}q{i}" for j in range(60)))])
+def test_each_rule_follows_its_sketch(spark, rule, junk):
+    """With the thresholds of other groups in their place, a rule's verdicts change; where nothing is there to read, it is off."""
+    plain = lambda i: " ".join(f"some{j}x{i}" for j in range(60))
+    docs = [(1000 * s + i, junk(i * (s + 1)) if i < 5 + 3 * s else plain(i + 1000 * s), "en", f"s{s}", 0) for s in range(3) for i in range(150)]
+    measured = quality.measure(table(spark, some=docs)).persist()
+    limits = quality.thresholds(measured).orderBy("source_key").collect()
+    names = [f"most_{r}" for r in quality.RULES]
+    assert len({r[f"most_{rule}"] for r in limits}) > 1
+    kept = lambda most: {r.doc_id for r in quality.judge(measured, most).where("kept").select("doc_id").collect()}
+    own = kept(spark.createDataFrame(limits))
+    shuffled = [(r.lang_key, r.source_key, *[other[n] if n == f"most_{rule}" else r[n] for n in names]) for r, other in zip(limits, limits[1:] + limits[:1], strict=True)]
+    assert kept(spark.createDataFrame(shuffled, ["lang_key", "source_key", *names])) != own
+    measured.unpersist()
+
+
+def test_a_rule_without_spread_is_off(spark):
+    measured = quality.measure(table(spark, some=[(i, " ".join(f"some{j}x{i}" for j in range(30)), "en", "s", 0) for i in range(50)]))
+    (limits,) = quality.thresholds(measured).collect()
+    assert limits.most_symbols == limits.most_dup_lines == quality.OFF and 0 < limits.most_word_length < quality.OFF

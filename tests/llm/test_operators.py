@@ -232,3 +232,31 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         total[r.doc_id] += r.length
         assert r.doc_tokens == want[r.doc_id]
     assert total == want
+
+
+def test_one_of_each_group_stays_whatever_the_columns(spark):
+    """Repeated and null ids, and columns named as the operator's own."""
+    some = [r for r in rows() if r[0] is not None]
+    some += [(some[0][0], "another text of the first id", "de", "s0", 1), (None, prose(3, 40), "en", "s0", 1), (None, prose(3, 40), "en", "s0", 1)]
+    docs = table(spark, some=some).selectExpr("*", "1 AS _first", "2 AS row", "3 AS place", "4 AS component_id", "map('a', 1) AS m")
+    found = near_dup.keep_one(docs, Scratch(spark, "t"))
+    assert found.columns == docs.columns
+    got = found.collect()
+    ids = [r.doc_id for r in got if r.doc_id is not None]
+    want = components({r[0]: r[1] for r in sorted(some, key=str) if r[0] is not None}, 5)
+    assert len(ids) == len(set(ids)) and sum(r.doc_id is None for r in got) == 2
+    assert {i for i in ids if i != some[0][0]} == {k for k, (_, c) in want.items() if k == c and k != some[0][0]}
+    assert all(r._first == 1 and r.m == {"a": 1} for r in got)
+
+
+def test_pipeline_of_nothing_null_ids_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _first int, row string, beside string, kept_text string, _words int"
+    docs = [(i if i % 7 else None, prose(300 + i // 2, 60), ["en", None][i % 2], None, None, i, "r", "b", "k", 0) for i in range(1, 20)] + [(3, prose(77, 50), "en", "s", 1, 1, "r", "b", "k", 0), (40, None, None, None, None, None, None, None, None, None)]
+    for name, some in (("none", []), ("some", docs)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        found = corpus_pipeline.run(spark, folder).collect()
+        assert bool(found) == bool(some)
+    assert None in {r.doc_id for r in found} and 40 not in {r.doc_id for r in found} and 3 in {r.doc_id for r in found}
