@@ -14,9 +14,26 @@ SENSITIVE = r"password|passwd|passphrase|secret|token|api[-_ ]?key|authorization
 HARMLESS_END = r"(?:count|limit|ttl|expires?|duration|(?:input|output|prompt|completion|cached|reasoning|total|max)[-_.]?tokens)"
 #: A key of an assignment in a text: not harmless, with a sensitive word or ``pwd`` as its last part.
 _KEY = rf"(?![\w.-]*{HARMLESS_END}[\"']?\s*[:=])(?:[\w.-]*(?:{SENSITIVE})[\w.-]*|(?:[\w.-]*[-_.])?pwd)"
-_BEFORE = rf"(?i)((?<![\w.-]){_KEY}[\"']?\s*[:=]\s*)"
-#: Values: in double quotes, in single quotes, an object or array with one more level inside, or bare with its scheme.
-_VALUES = [(r'"(?:[^"\\]|\\.)*"?', '"', '"'), (r"'(?:[^'\\]|\\.)*'?", "'", "'"), (r"\{(?:[^{}]|\{[^{}]*\})*\}", "", ""), (r"\[(?:[^\[\]]|\[[^\[\]]*\])*\]", "", ""), (r"(?![\"'{\[])(?:(?:bearer|basic)\s+)?[^\s,;\]}\"']+", "", "")]
+_BEFORE = rf"(?i)((?<![\w.-]){_KEY}(?:\\*[\"'])?\s*[:=]\s*)"
+#: Levels of objects and arrays within each other that a container's end is found through; loops are possessive, so long texts need no stack.
+DEPTH = 12
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def _container(depth: int) -> str:
+    deeper = f"|{_container(depth - 1)}" if depth > 1 else ""
+    return rf"[{{\[](?:[^{{}}\[\]\"]++|{_STRING}{deeper})*+[}}\]]"
+
+
+#: Values, and what stands before and after the replacement: in double quotes, in single quotes, in the escaped quotes of a
+#: quoted text (as many backslashes, more of them before quotes within it), a container, or bare with its scheme.
+_VALUES = [
+    (r'"(?:[^"\\]++|\\.)*+"?', '"', '"'),
+    (r"'(?:[^'\\]++|\\.)*+'?", "'", "'"),
+    (r'(\\+)"(?:[^\\"]++|\\++(?!")|\2\\++")*+(?:\2")?', '$2"', '$2"'),
+    (_container(DEPTH), "", ""),
+    (r"(?!\\*[\"'{\[])(?:(?:bearer|basic)\s+)?[^\s,;\]}\"']+", "", ""),
+]
 
 
 def is_sensitive_key(key: Column, configured: tuple[str, ...] = ()) -> Column:
@@ -29,13 +46,15 @@ def is_sensitive_key(key: Column, configured: tuple[str, ...] = ()) -> Column:
 def redact_assignments(text: Column, replacement: str = REDACTED) -> Column:
     """The text with the values of sensitive keys replaced in ``key=value``, ``key: value`` and ``"key": "value"``.
 
-    Quotes stay, a bare value ends at a blank, comma, semicolon or closing bracket, and the
-    credential after ``Bearer`` or ``Basic`` belongs to it. Containers are replaced whole up to two
-    levels; of deeper ones, and of JSON within a quoted string, the plain forms in them are.
+    Quotes stay, also escaped ones of JSON within a quoted string; a bare value ends at a blank, comma,
+    semicolon or closing bracket, and the credential after ``Bearer`` or ``Basic`` belongs to it.
+    Containers are replaced whole. Where a container's end isn't found, because its brackets don't match or it
+    is more than ``DEPTH`` levels deep, everything to the end of the text is replaced.
     """
-    out = text
+    out, put = text, replacement.replace("\\", r"\\").replace("$", r"\$")
     for value, before, after in _VALUES:
-        out = F.regexp_replace(out, _BEFORE + value, "$1" + (before + replacement + after).replace("$", r"\$"))
+        out = F.regexp_replace(out, _BEFORE + value, "$1" + before + put + after)
+    out = F.regexp_replace(out, rf"(?s){_BEFORE}(?!{re.escape(replacement)})[{{\[].*", "$1" + put)
     return F.when(text.rlike(rf"(?i)(?:{SENSITIVE}|pwd)"), out).otherwise(text)
 
 

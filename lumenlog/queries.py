@@ -918,3 +918,15 @@ def otlp_values(spark, d):
     body = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"spanId":"'), F.lpad(F.hex(key + 1), 16, "0"), F.lit('","kind":"'), kind, F.lit('","status":{"code":'), code, F.lit('},"attributes":[{"key":"v","value":'), value, F.lit("}]}]}]}]}"))
     read = otlp.spans(tables.read(spark, d, "orders").select(body.alias("body")), "body")
     return read.select("span_id", "kind", "status_code", F.element_at("attributes", "v").alias("value"))
+
+
+@query("o2_deep_values", r"""SELECT event_id AS id, 'auth password=[REDACTED] and secret: [REDACTED], user_id=' || user_id || ' {"msg":"{\"token\":\"[REDACTED]\",\"kind\":\"' || event_type || '\"}"} ' || CASE WHEN event_id % 3 = 0 THEN 'credential=[REDACTED]' ELSE 'credential=[REDACTED] end ' || event_id END AS redacted FROM events""")
+def redacted_deep_values(spark, d):
+    """Sensitive containers of several levels, JSON within a quoted string, and each third text a container that doesn't end."""
+    n = F.col("event_id").cast("string")
+    deep = F.concat(F.lit('{"a":{"b":{"c":["deep'), n, F.lit('",{"d":"}"}]}}}'))
+    listed = F.concat(F.lit('["x",["y",["zz'), n, F.lit('"]]]'))
+    quoted = F.concat(F.lit(' {"msg":"{\\"token\\":\\"t'), n, F.lit('\\",\\"kind\\":\\"'), F.col("event_type"), F.lit('\\"}"} '))
+    last = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('credential={"a":['), n)).otherwise(F.concat(F.lit('credential={"a":['), n, F.lit("]} end "), n))
+    own = F.concat(F.lit("auth password="), deep, F.lit(" and secret: "), listed, F.lit(", user_id="), F.col("user_id").cast("string"), quoted, last)
+    return tables.read(spark, d, "events").select(F.col("event_id").alias("id"), redaction.redact_text(own).alias("redacted"))

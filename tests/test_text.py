@@ -49,3 +49,27 @@ def test_queries_over_all_events_take_every_event(spark):
     n = spark.read.parquet(f"{tables}/events.parquet").count()
     for name, column in (("e2_columns", "id"), ("c23_metric_points", "value"), ("h1_context_all", "anchor")):
         assert queries.QUERIES[name](spark, tables).select(column).distinct().count() == n
+
+
+def test_redaction_fails_closed(spark):
+    """Containers of any depth, brackets that don't match, JSON within quoted text, very long texts."""
+    from lumenlog.functions import redaction
+
+    r = "[REDACTED]"
+    cases = {
+        'password={"a":{"b":{"c":"deepsecret"}}} next': f"password={r} next",
+        'secret: ["x",["y",["zz"]]], kind: 1': f"secret: {r}, kind: 1",
+        'token={"a":["}",{"b":"]"}]} x': f"token={r} x",
+        '{"msg":"{\\"password\\":\\"hunter2\\",\\"n\\":1}"}': '{"msg":"{\\"password\\":\\"' + r + '\\",\\"n\\":1}"}',
+        'x "{\\"secret\\":\\"a\\\\\\"b\\"}" y': 'x "{\\"secret\\":\\"' + r + '\\"}" y',
+        "password={never closed: 1\nmore": f"password={r}",
+        'password=[1,{"a":2}': f"password={r}",
+        "secret=" + "[" * 40 + "s" + "]" * 40 + " rest": f"secret={r}",
+        "cookie={} token=[] a={b}": f"cookie={r} token={r} a={{b}}",
+        '{"nested":' * 3000 + '{"password":"deep-secret"}' + "}" * 3000: '{"nested":' * 3000 + f'{{"password":"{r}"}}' + "}" * 3000,
+        "password=" + '{"k":"' + "v" * 200_000 + '"}': f"password={r}",
+        "token={" + "1," * 100_000 + "2} end": f"token={r} end",
+        "a=" * 50_000 + " pwd=x": "a=" * 50_000 + f" pwd={r}",
+    }
+    rows = spark.createDataFrame([(k,) for k in [*cases, None]], "t string").select("t", redaction.redact_text(F.col("t")).alias("r")).collect()
+    assert {x.t: x.r for x in rows} == {**cases, None: None}
