@@ -930,3 +930,23 @@ def redacted_deep_values(spark, d):
     last = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('credential={"a":['), n)).otherwise(F.concat(F.lit('credential={"a":['), n, F.lit("]} end "), n))
     own = F.concat(F.lit("auth password="), deep, F.lit(" and secret: "), listed, F.lit(", user_id="), F.col("user_id").cast("string"), quoted, last)
     return tables.read(spark, d, "events").select(F.col("event_id").alias("id"), redaction.redact_text(own).alias("redacted"))
+
+
+@query("f7_locations", """WITH s AS (SELECT p_partkey AS site, 'src/m' || (p_partkey % 5) || '/f' || (p_partkey % 3) || '.ts' AS file, p_partkey // 4 AS line FROM part),
+  e AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'f' || (user_id % 3) || '.ts' ELSE 'src/m' || (user_id % 5) || '/f' || (user_id % 3) || '.ts' END AS path, event_id % 500 AS line, event_type, user_id FROM events),
+  h AS (SELECT e.id, s.site, s.line FROM e JOIN s ON e.line BETWEEN s.line AND s.line + 3 AND (e.path = s.file OR ends_with(s.file, '/' || e.path))),
+  b AS (SELECT id, min(site) AS site FROM h QUALIFY_RANK GROUP BY id HAVING count(*) = 1),
+  m AS (SELECT e.id, -1 AS site FROM e LEFT JOIN b ON b.id = e.id WHERE b.id IS NULL AND event_type = 'error')
+  SELECT id, site, true AS exact FROM b UNION ALL SELECT id, site, false FROM m""".replace("FROM h QUALIFY_RANK", "FROM (SELECT * FROM h QUALIFY line = max(line) OVER (PARTITION BY id))"))
+def located(spark, d):
+    """Statements by the place that an event tells, in paths of several kinds, or by its message."""
+    key = F.col("p_partkey")
+    of = lambda a, b: F.concat(F.lit("src/m"), (a % 5).cast("string"), F.lit("/f"), (b % 3).cast("string"), F.lit(".ts"))
+    parts = tables.read(spark, d, "part").select(key.cast("bigint").alias("site"), of(key, key).alias("file"), F.floor(key / 4).alias("line"), F.lit(None).cast("string").alias("pattern"))
+    known = parts.union(spark.createDataFrame([(-1, "src/errors.ts", 1, "an error of user *")], parts.schema))
+    n, user = F.col("event_id"), F.col("user_id")
+    whole = of(user, user)
+    path = F.when(n % 4 == 1, F.regexp_extract(whole, "[^/]*$", 0)).when(n % 4 == 2, F.concat(F.lit("/srv/app/"), whole)).when(n % 4 == 3, F.concat(F.lit("C:\\app\\"), F.regexp_replace(whole, "/", r"\\")))
+    message = F.when(F.col("event_type") == "error", F.concat(F.lit("an error of user "), user.cast("string"))).otherwise(F.lit("nothing"))
+    rows = tables.read(spark, d, "events").select(n.alias("id"), path.alias("file"), (n % 500).alias("line"), message.alias("message"))
+    return sites.written_by(rows, known)

@@ -105,3 +105,13 @@ def test_facet_fields_of_aliases_dotted_and_long_values(spark):
     rows = spark.createDataFrame([(m,) for m in [*made, None]], "fields map<string,string>")
     assert [(r.name, r.place) for r in analytics.facet_fields(rows).orderBy("place").collect()] == [("service", 1), ("a.b", 2), ("zone", 3)]
     assert analytics.facet_fields(rows.limit(0)).count() == 0
+
+
+def test_statements_by_place(spark):
+    """The closest within three lines, ties none, paths that end in each other, nulls and empty tables."""
+    known = spark.createDataFrame([(1, "src/a.ts", 10, None), (2, "src/a.ts", 12, "near *"), (3, "lib/src/a.ts", 20, None), (4, "other/src/a.ts", 20, None), (5, "b.py", 1, None), (6, None, 5, None), (7, "c.py", None, "by text *")], "site long, file string, line int, pattern string")
+    rows = [(1, "/app/src/a.ts", 13, None), (2, "a.ts", 11, None), (3, "src/a.ts", 15, None), (4, "src/a.ts", 16, "near x"), (5, "src/a.ts", 21, None), (6, "/x/other/src/a.ts", 23, None), (7, "C:\\y\\b.py", 4, None), (8, "xb.py", 1, "by text y"), (9, None, 1, None), (10, "b.py", None, None), (11, "./src/a.ts", 9, None), (7, "b.py", 1, None)]
+    events = spark.createDataFrame(rows, "id long, file string, line int, message string")
+    found = sorted((r.id, r.site, r.exact) for r in sites.written_by(events, known).collect())
+    assert found == [(1, 2, True), (2, 1, True), (3, 2, True), (4, 2, False), (6, 4, True), (7, 5, True), (8, 7, False)]
+    assert sites.written_by(events.limit(0), known).count() == sites.written_by(events, known.limit(0)).count() == 0
