@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.fields import ALIASES, first_number
 from lumenlog.functions.text import first_line, template
+from lumenlog.scratch import Scratch
 
 from .ranks import floor_rank, nth_values
 
@@ -34,14 +35,21 @@ def time_range(events: DataFrame) -> DataFrame:
 
 
 def bucket(low: Column, high: Column, buckets: int) -> Column:
-    """Which of equal parts of the range ``ts_ms`` is in; -1 outside."""
+    """Which of equal parts of the range ``ts_ms`` is in; -1 outside, and without a time."""
     part = F.least(F.lit(buckets - 1), F.floor((F.col("ts_ms") - low) / F.greatest(F.lit(1.0), (high - low) / buckets)))
-    return F.when((F.col("ts_ms") < low) | (F.col("ts_ms") > high), -1).otherwise(part).cast("int")
+    return F.when((F.col("ts_ms") >= low) & (F.col("ts_ms") <= high), part).otherwise(-1).cast("int")
 
 
-def bucketed(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``events`` with ``bucket`` and the range's ``low`` and ``high``; the range is one row."""
-    return events.join(F.broadcast(time_range(events))).withColumn("bucket", bucket(F.col("low"), F.col("high"), buckets))
+def _ranged(rows: DataFrame, buckets: int) -> DataFrame:
+    """The kept rows of :func:`narrow` within the time range, with ``bucket``, and the range's ``low`` and ``high``, which go through the driver."""
+    found = time_range(rows).first()
+    low, high = (F.lit(v).cast("double") for v in (found["low"], found["high"]))
+    return rows.withColumns({"low": low, "high": high, "bucket": bucket(low, high, buckets)}).where("bucket >= 0")
+
+
+def narrow(events: DataFrame, name: str, **columns: Column) -> DataFrame:
+    """The columns that several passes need, read from the events once and kept."""
+    return Scratch(events.sparkSession, name).keep(events.select(*[value.alias(c) for c, value in columns.items()]), "rows")
 
 
 def outlier(value: str) -> Column:
@@ -53,9 +61,8 @@ def outlier(value: str) -> Column:
 
 def volume(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Events, errors and warnings of every bucket, empty ones included, with flags for peaks."""
-    rows = bucketed(events, buckets).where("bucket >= 0")
-    warning = ~is_error() & (F.lower("level") == "warn")
-    counted = rows.groupBy("bucket").agg(F.count("*").alias("events"), F.count_if(is_error()).alias("errors"), F.count_if(warning).alias("warnings"))
+    rows = _ranged(narrow(events, "volume", ts_ms=F.col("ts_ms"), error=is_error(), warning=F.lower("level") == "warn"), buckets)
+    counted = rows.groupBy("bucket").agg(F.count("*").alias("events"), F.count_if("error").alias("errors"), F.count_if(F.col("warning") & ~F.col("error")).alias("warnings"))
     spark = events.sparkSession
     full = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").fillna(0)
     return full.withColumns({"peak_events": outlier("events"), "peak_errors": outlier("errors")})
@@ -63,13 +70,13 @@ def volume(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def latency(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Count, mean and 95th percentile of durations in every bucket that has any."""
-    rows = bucketed(events, buckets).where("bucket >= 0").withColumn("duration", first_number("durationMs", "duration"))
+    rows = _ranged(narrow(events, "latency", ts_ms=F.col("ts_ms"), duration=first_number("durationMs", "duration")), buckets)
     ranked = nth_values(rows, ["bucket"], "duration", {"p95": floor_rank(0.95)})
     return ranked.join(rows.groupBy("bucket").agg(F.avg("duration").alias("average")), "bucket")
 
 
 def percentiles(events: DataFrame) -> DataFrame:
-    rows = events.select(first_number("durationMs", "duration").alias("duration"))
+    rows = narrow(events, "percentiles", duration=first_number("durationMs", "duration"))
     return nth_values(rows, [], "duration", {"p50": floor_rank(0.5), "p95": floor_rank(0.95), "p99": floor_rank(0.99)})
 
 
@@ -94,7 +101,7 @@ def patterns(rows: DataFrame, text: str, id: str, top: int = TOP_PATTERNS) -> Da
 
 def trend(events: DataFrame, key: Column, buckets: int = TREND) -> DataFrame:
     """Events of each key in each of ten parts of the range, and whether the key is new in the last quarter."""
-    rows = bucketed(events, buckets).where("bucket >= 0").withColumn("key", key)
+    rows = _ranged(narrow(events, "trend", ts_ms=F.col("ts_ms"), key=key), buckets)
     first = rows.groupBy("key").agg(F.min("ts_ms").alias("first"), F.max("low").alias("low"), F.max("high").alias("high"))
     new = (F.col("high") - F.col("low") >= 60_000) & (F.col("first") >= F.col("low") + 0.75 * (F.col("high") - F.col("low")))
     return rows.groupBy("key", "bucket").agg(F.count("*").alias("events")).join(first.select("key", new.alias("is_new")), "key")

@@ -115,3 +115,17 @@ def test_statements_by_place(spark):
     found = sorted((r.id, r.site, r.exact) for r in sites.written_by(events, known).collect())
     assert found == [(1, 2, True), (2, 1, True), (3, 2, True), (4, 2, False), (6, 4, True), (7, 5, True), (8, 7, False)]
     assert sites.written_by(events.limit(0), known).count() == sites.written_by(events, known.limit(0)).count() == 0
+
+
+def test_volumes_of_nothing_and_of_rows_without_time_or_duration(spark):
+    from lumenlog.operators import analytics
+
+    events = spark.createDataFrame([(1, 5.0, "error", None, "a", "A", "s", {"durationMs": "3"}), (2, None, None, "x", None, None, None, None), (3, 5.0, "WARN", "y", "a", "A", "s", {"duration": "x"})], EVENT)
+    full = analytics.volume(events).where("events > 0").collect()
+    assert [(r.events, r.errors, r.warnings) for r in full] == [(2, 1, 1)]
+    assert [(r.n, r.p95, r.average) for r in analytics.latency(events).collect()] == [(1, 3.0, 3.0)]
+    assert [(r.n, r.p50) for r in analytics.percentiles(events).collect()] == [(1, 3.0)]
+    assert sorted((r.key, r.events) for r in analytics.trend(events, F.col("server_id")).collect()) == [("a", 2)]
+    none = events.limit(0)
+    assert analytics.volume(none).agg(F.sum("events")).first()[0] == 0
+    assert analytics.latency(none).count() == analytics.trend(none, F.col("server_id")).count() == 0
