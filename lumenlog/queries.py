@@ -11,7 +11,7 @@ from lumenlog.functions import fields, redaction, text
 from lumenlog.operators import analytics, calls, errors, links, metrics, model_calls, pages, requests, scans, sites, telemetry, traces
 from lumenlog.plans import predicates as P
 from lumenlog.scratch import Scratch
-from lumenlog.sources import lines, otlp, otlp_proto, tables
+from lumenlog.sources import json_documents, lines, otlp, otlp_proto, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -950,3 +950,19 @@ def located(spark, d):
     message = F.when(F.col("event_type") == "error", F.concat(F.lit("an error of user "), user.cast("string"))).otherwise(F.lit("nothing"))
     rows = tables.read(spark, d, "events").select(n.alias("id"), path.alias("file"), (n % 500).alias("line"), message.alias("message"))
     return sites.written_by(rows, known)
+
+
+@query("a7_json_documents", """SELECT o_orderkey AS id, CAST(o_orderkey % 4 AS INT) AS document, 'a,"]}' || o_orderpriority AS note, CAST(row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS BIGINT) AS place FROM orders""")
+def json_arrays(spark, d):
+    """Orders written as four files, one array or one run of objects each, and read back element by element."""
+    group = (F.col("o_orderkey") % 4).cast("int")
+    note = F.concat(F.lit('a,"]}'), F.col("o_orderpriority"))
+    json = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.struct(note.alias("note")).alias("inner"), group.alias("document")))
+    own = tables.read(spark, d, "orders").select(group.alias("g"), F.lit(1).alias("kind"), F.col("o_orderkey").cast("bigint").alias("at"), F.when(group < 2, F.concat(F.lit(","), json)).otherwise(json).alias("value"))
+    ends = spark.range(2).select(F.col("id").cast("int").alias("g"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.lit("[{}").alias("value")), F.struct(F.lit(2).alias("kind"), F.lit("]").alias("value")))).alias("x")).select("g", "x.kind", F.lit(0).cast("bigint").alias("at"), "x.value")
+    path = Scratch(spark, "a7").path("documents")
+    own.union(ends).repartition(4, "g").sortWithinPartitions("g", "kind", "at").select("g", "value").write.partitionBy("g").text(path)
+    read = json_documents.read_documents(spark, f"{path}/g=*").where("text <> '{}'")
+    body = F.from_json("text", "id bigint, inner struct<note:string>, document int")
+    rows = read.where("error IS NULL").withColumn("x", body).select("x.id", "x.document", F.col("x.inner.note").alias("note"), "element")
+    return rows.withColumn("place", F.when(F.col("document") < 2, F.col("element") - 1).otherwise(F.col("element"))).drop("element")
