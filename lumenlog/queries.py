@@ -11,7 +11,7 @@ from lumenlog.functions import fields, redaction, text
 from lumenlog.operators import analytics, calls, errors, links, metrics, model_calls, pages, requests, scans, sites, telemetry, traces
 from lumenlog.plans import predicates as P
 from lumenlog.scratch import Scratch
-from lumenlog.sources import json_documents, lines, otlp, otlp_proto, tables
+from lumenlog.sources import json_documents, lines, otlp, otlp_proto, tables, terminal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -966,3 +966,20 @@ def json_arrays(spark, d):
     body = F.from_json("text", "id bigint, inner struct<note:string>, document int")
     rows = read.where("error IS NULL").withColumn("x", body).select("x.id", "x.document", F.col("x.inner.note").alias("note"), "element")
     return rows.withColumn("place", F.when(F.col("document") < 2, F.col("element") - 1).otherwise(F.col("element"))).drop("element")
+
+
+@query("c1_terminal_lines", """WITH g AS (SELECT DISTINCT event_id // 4 AS k FROM events), n AS (SELECT k, k % 5 AS session, row_number() OVER (PARTITION BY k % 5 ORDER BY k) - 1 AS r FROM g)
+  SELECT session, CAST(3 * r + 1 AS BIGINT) AS line, 'done ' || k AS text FROM n UNION ALL SELECT session, CAST(3 * r + 3 AS BIGINT), 'shown ' || k FROM n""")
+def terminal_output(spark, d):
+    """Events as chunks of terminals: four make a redrawn line, two on the second screen, and a sequence cut in two."""
+    k, esc = F.floor(F.col("event_id") / 4), F.lit("\x1b")
+    words = k.cast("string")
+    parts = [
+        F.concat(F.lit("10% of "), F.col("user_id").cast("string"), F.lit("\r")),
+        F.concat(esc, F.lit("[3")),
+        F.concat(F.lit("1mdone "), words, esc, F.lit("[0m\r\n"), esc, F.lit("[?1049hhidden")),
+        F.concat(F.lit("\nmore hidden"), esc, F.lit("[?1049lshown "), words, F.lit("\n")),
+    ]
+    chunk = F.get(F.array(*parts), (F.col("event_id") % 4).cast("int"))
+    rows = tables.read(spark, d, "events").select((k % 5).alias("session"), F.col("event_id").alias("n"), chunk.alias("text"))
+    return terminal.terminal_lines(rows)
