@@ -169,3 +169,38 @@ def requests(stream: DataFrame, time: str = "ts", lag: str = "30 seconds", forge
     rows = stream.withWatermark(time, lag).where(F.col(time).isNotNull()).select("tab", "request", "kind", "url", F.col("status").cast("int").alias("status"), F.col(time).alias("ts"), order.alias("turn"))
     schema = f"tab {kinds['tab']}, request {kinds['request']}, hop int, url string, status int, duration_ms double, state string"
     return rows.groupBy("tab", "request").applyInPandasWithState(run, schema, "request string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rates(stream: DataFrame, series: str = "series", time: str = "ts", value: str = "total", id: str = "id", lag: str = "60 seconds", keep_ms: int = 3_600_000) -> DataFrame:
+    """Change a second of cumulative counters as their points come: ``series``, ``id``, ``time_ms``, ``rate``.
+
+    As :func:`lumenlog.operators.metrics.rates` after :func:`~lumenlog.operators.metrics.without_late`, with ``id``
+    as the order of arrival: a point that isn't later than its series' newest is left out, a drop is a
+    restart from zero, a first point and one without a value have no rate. A series' newest point is kept until the
+    watermark, ``lag`` behind the newest of all, is ``keep_ms`` past it; then the series begins anew. Points
+    later than the watermark, and points without a time, are left out. A null series is a series.
+    """
+    kinds = dict(stream.dtypes)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last = _state(state)
+            for r in _rows(frames, "id", "ts"):
+                at = r.ts.timestamp() * 1000
+                if last and at <= last["at"]:
+                    continue
+                change = r.total
+                if last and last["total"] is not None and r.total is not None and r.total >= last["total"]:
+                    change = r.total - last["total"]
+                out.append((key[0], r.id, at, None if last is None or change is None else change / ((at - last["at"]) / 1000)))
+                last = {"at": at, "total": r.total}
+            state.update((json.dumps(last),))
+            state.setTimeoutTimestamp(max(int(last["at"]) + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["series", "id", "time_ms", "rate"], dtype=object)
+
+    rows = stream.withWatermark(time, lag).where(F.col(time).isNotNull()).select(F.col(series).alias("series"), F.col(id).alias("id"), F.col(value).cast("double").alias("total"), F.col(time).alias("ts"))
+    schema = f"series {kinds[series]}, id {kinds[id]}, time_ms double, rate double"
+    return rows.groupBy("series").applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.EventTimeTimeout)

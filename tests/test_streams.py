@@ -134,3 +134,48 @@ def test_redirects_unread_answers_and_lost_ends(spark, tmp_path):
         ("quiet", 0, "q", 500, 50.0, "unread"),
         ("slow", 0, "s", 200, 40_200.0, "ok"),
     ], key=lambda r: (r[0], r[1], r[2], str(r[3]).zfill(9), r[4] or 0))
+
+
+def test_rates(spark, tmp_path):
+    """Points that come out of order, restarts of counters, missing values, over two runs of the query."""
+    from lumenlog.operators import metrics
+
+    own = random.Random(7)
+    schema, rows, totals = "series string, id bigint, total double, ts timestamp", [], {}
+    for i in range(240):
+        series = own.choice(["hot", "hot", "b", None])
+        totals[series] = own.choice([totals.get(series, 0) + own.randrange(50)] * 8 + [0.0])
+        rows.append((series, i, own.choice([float(totals[series])] * 9 + [None]), START + timedelta(milliseconds=100 * i + own.choice([0, 0, 0, -350]))))
+    feed = Feed(spark, str(tmp_path), schema)
+    for begin in range(0, 240, 60):
+        feed.add(rows[begin : begin + 60])
+        if begin == 60:
+            feed.run(state.rates)
+    found = feed.run(state.rates)
+    table = spark.createDataFrame(rows, schema).withColumn("time_ms", F.unix_millis("ts").cast("double"))
+    want = metrics.rates(metrics.without_late(table)).collect()
+    shown = lambda some: sorted(((r.id, str(r.series), None if r.rate is None else round(r.rate, 6)) for r in some))
+    assert len(want) > 150 and shown(found) == shown(want)
+
+
+def test_a_series_begins_anew_after_its_time(spark, tmp_path):
+    feed = Feed(spark, str(tmp_path), "series string, id bigint, total double, ts timestamp")
+    at = lambda s: START + timedelta(seconds=s)
+    for row in [("a", 1, 10.0, at(0)), ("b", 2, 1.0, at(10_000)), ("b", 3, 2.0, at(10_001)), ("a", 4, 30.0, at(10_002)), ("a", 5, 34.0, at(10_004)), ("a", 6, 1.0, None)]:
+        feed.add([row])
+    found = sorted((r.id, r.rate) for r in feed.run(state.rates))
+    assert found == [(1, None), (2, None), (3, 1.0), (4, None), (5, 2.0)]
+
+
+def test_lag_follows_what_was_late(spark, tmp_path):
+    path = f"{tmp_path}/late"
+    assert tail.next_lag_ms(spark, path, 60_000) == 60_000
+    told = []
+    for run in range(12):
+        late = [1_000, 9_000, 20_000][run % 3] if run < 9 else 2_000
+        rows = [(START + timedelta(minutes=run), START + timedelta(minutes=run, milliseconds=m)) for m in (0, late)] + [(None, START), (START, None)]
+        tail.note_lateness(spark.createDataFrame(rows, "ts timestamp, seen timestamp"), path)
+        told.append(tail.next_lag_ms(spark, path, 60_000))
+    tail.note_lateness(spark.createDataFrame([], "ts timestamp, seen timestamp"), path)
+    assert told == [60_000] * 4 + [40_000] * 4 + [60_000] + [40_000] * 3
+    assert tail.next_lag_ms(spark, path, 30_000) == 30_000
