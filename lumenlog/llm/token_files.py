@@ -8,13 +8,15 @@ sequences of a batch, and read from the mapped file in place. Beside it lies an
 each document's key, first token in the shard and number of tokens.
 
 Shards hold ranges of keys in ascending order and documents in ascending order within, so the
-files in name order are the whole corpus in order. Each task writes one shard under a name of its
-own and renames it at the end, so a task that runs twice leaves one shard.
+files in the manifest's order are the whole corpus in order. Each attempt of a task writes one shard under
+a name that no other attempt has and tells it in its row of the manifest, which Spark commits for one
+attempt of each task only. So the files and the index that a reader takes are of one attempt, and nothing is
+renamed, which object stores can't; what other attempts left is deleted when the manifest stands.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from .worker_memory import tidy
 #: Sequences of a batch.
 PER_BATCH = 256
 MOST_DOCS_AT_ONCE = 512
-MANIFEST = "shard bigint, documents bigint, tokens bigint"
+MANIFEST = "shard bigint, file string, documents bigint, tokens bigint"
 
 
 def id_type(size: int) -> np.dtype:
@@ -43,11 +45,11 @@ class ShardWriter:
 
     def __init__(self, folder: str, shard: int, sequence: int, kind: np.dtype, key_type: pa.DataType):
         self.files, self.folder = fs.FileSystem.from_uri(folder)
-        self.name, self.sequence, self.kind, self.key_type = f"{self.folder}/shard-{shard:06d}", sequence, kind, key_type
-        self.part = f".{os.getpid()}-{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
+        self.file = f"shard-{shard:06d}-{uuid.uuid4().hex}"
+        self.name, self.sequence, self.kind, self.key_type = f"{self.folder}/{self.file}", sequence, kind, key_type
         self.files.create_dir(self.folder, recursive=True)
         self.schema = pa.schema({"ids": pa.list_(pa.from_numpy_dtype(kind), sequence), "mask": pa.list_(pa.bool_(), sequence)})
-        self.out = self.files.open_output_stream(self.name + ".arrow" + self.part)
+        self.out = self.files.open_output_stream(self.name + ".arrow")
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.held: list[np.ndarray] = []
         self.held_size = self.tokens = 0
@@ -78,18 +80,16 @@ class ShardWriter:
         self.out.close()
         keys, start, n = zip(*self.index, strict=True) if self.index else ((), (), ())
         index = pa.table({"key": pa.array(keys, self.key_type), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(n, pa.int64())})
-        with self.files.open_output_stream(self.name + ".index" + self.part) as out, pa.ipc.new_file(out, index.schema) as writer:
+        with self.files.open_output_stream(self.name + ".index") as out, pa.ipc.new_file(out, index.schema) as writer:
             writer.write_table(index)
-        for kind in (".index", ".arrow"):
-            self.files.move(self.name + kind + self.part, self.name + kind)
 
 
 class ShardReader:
-    """Random access to one shard."""
+    """Random access to one shard, by the manifest's name for it."""
 
-    def __init__(self, folder: str, shard: int):
+    def __init__(self, folder: str, file: str):
         self.files, base = fs.FileSystem.from_uri(folder)
-        self.name = f"{base}/shard-{shard:06d}"
+        self.name = f"{base}/{file}"
         self.reader = pa.ipc.open_file(self._open(".arrow"))
         self.sequence = self.reader.schema.field("ids").type.list_size
         self._at, self._batch = -1, None
@@ -125,7 +125,7 @@ class ShardReader:
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, sequence: int = 2048, shards: int | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Encodes and writes ``docs`` and returns the manifest: ``shard``, ``documents``, ``tokens``.
+    """Encodes and writes ``docs`` and returns the manifest: ``shard``, ``file``, ``documents``, ``tokens``.
 
     A null text counts as empty: its end id alone. Null keys come first, repeated keys stand side by
     side. An empty table gives an empty manifest. ``shards``: ranges of keys, by default as many as
@@ -145,12 +145,24 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
                     writer.add(key, np.frombuffer(ids + end, "<u4"))
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, len(writer.index), writer.tokens)], ["shard", "documents", "tokens"])
+            n, documents, tokens = (pa.array([x], pa.int64()) for x in (number, len(writer.index), writer.tokens))
+            yield pa.RecordBatch.from_arrays([n, pa.array([writer.file]), documents, tokens], ["shard", "file", "documents", "tokens"])
 
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     ordered.mapInArrow(tidy(run), MANIFEST).write.parquet(f"{folder}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    drop_orphans(folder, {r.file for r in manifest.select("file").collect()})  # a row a shard
+    return manifest
+
+
+def drop_orphans(folder: str, files: set[str]) -> None:
+    """Deletes shards in ``folder`` that the manifest doesn't name: those of attempts that failed or came second."""
+    there, base = fs.FileSystem.from_uri(folder)
+    for found in there.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        name, kind = found.base_name.partition(".")[::2]
+        if kind in ("arrow", "index") and name.startswith("shard-") and name not in files:
+            there.delete_file(found.path)
 
 
 def read_documents(spark: SparkSession, folder: str, key_type: str = "bigint") -> DataFrame:
@@ -160,12 +172,12 @@ def read_documents(spark: SparkSession, folder: str, key_type: str = "bigint") -
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    based = manifest.select("shard", before.alias("base"), "documents")
+    based = manifest.select("shard", "file", before.alias("base"))
 
     def read(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard = ShardReader(folder, row["shard"])
+                shard = ShardReader(folder, row["file"])
                 index = shard.index()
                 start, n = index.column("start").to_pylist(), index.column("n_tokens").to_pylist()
                 crc = [zlib.crc32(shard.tokens(a, k).astype("<u4").tobytes()) for a, k in zip(start, n, strict=True)]

@@ -92,7 +92,10 @@ def test_packing(spark, monkeypatch, pool):
 
 def test_token_files(spark, tmp_path):
     folder = f"file://{tmp_path}/tokens"
-    token_files.write_tokens(table(spark), folder, WORDS, sequence=64, shards=3)
+    (tmp_path / "tokens").mkdir()
+    for kind in ("arrow", "index"):  # as an attempt leaves them that was lost
+        (tmp_path / "tokens" / f"shard-000000-lost.{kind}").write_bytes(b"half")
+    manifest = token_files.write_tokens(table(spark), folder, WORDS, sequence=64, shards=3)
     own = library(WORDS)
     ordered = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0))
     want, start = [], 0
@@ -102,10 +105,11 @@ def test_token_files(spark, tmp_path):
         start += len(ids)
     found = sorted(map(tuple, token_files.read_documents(spark, folder).collect()), key=lambda r: r[1])
     assert found == want
-    shard = token_files.ShardReader(folder, 0)
+    shard = token_files.ShardReader(folder, manifest.orderBy("shard").first().file)
     ids, mask = shard.sequence_at(0)
     assert len(ids) == len(mask) == 64 and ids.dtype == np.uint16 and mask.all() and not ids.flags.owndata
-    assert not list(tmp_path.glob("tokens/*.part"))
+    named = {r.file for r in manifest.collect()}
+    assert {p.name.split(".")[0] for p in tmp_path.glob("tokens/shard-*")} == named and len(named) == manifest.count()
 
 
 @pytest.mark.parametrize("width", [2, 5])
