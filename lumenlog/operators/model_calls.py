@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions.fields import number
+from lumenlog.scratch import Scratch
 
 from .traces import distinct_spans, subtree_sums
 
@@ -309,7 +310,7 @@ def chips(spans: DataFrame) -> DataFrame:
     subtree, nested agents and tools included; they are null for other kinds and for agents without
     a model call beneath. Tokens that a call doesn't tell count as 0. Of spans with one id the earliest counts.
     """
-    own = distinct_spans(spans)
+    own = Scratch(spans.sparkSession, "chips").keep(distinct_spans(spans), "spans")
     calls = model_calls(own)
     models = calls.where("kind = 'model'").select("trace_id", "span_id", F.lit(1).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("input_tokens", "output_tokens")])
     names = ["n", "input_tokens", "output_tokens"]

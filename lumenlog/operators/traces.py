@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lumenlog.scratch import Scratch
 
-from .scans import numbered, ranged, running
+from .scans import ranged, running
+
+#: Spans of a trace that is walked within one task; larger ones are dealt out.
+MOST_SPANS = 10_000
 
 
 def distinct_spans(spans: DataFrame) -> DataFrame:
@@ -43,18 +49,133 @@ def _climbed(nodes: DataFrame, scratch: Scratch, join) -> DataFrame:
     return now.where("up IS NULL")
 
 
+def _walked(batches, names: list[str], schema: pa.Schema):
+    """Rows of :func:`_toured` of batches in order of trace, start, end and id; what is held is a batch and the rest of one trace."""
+    held: dict[str, list] = {}
+
+    def walk(rows: dict[str, list]) -> pa.RecordBatch:
+        traces, ids, parents, starts = (rows[c] for c in ("trace_id", "span_id", "parent_id", "start_ms"))
+        place = {key: i for i, key in enumerate(zip(traces, ids, strict=True))}
+        up = [None if p is None or p == s or t is None else place.get((t, p)) for t, s, p in zip(traces, ids, parents, strict=True)]
+        first, after, last, depth, sums = ([None] * len(ids) for _ in range(5))
+        roots, order, values = [], [], list(zip(*[rows[c] for c in names], strict=True)) if names else []
+        for i in range(len(ids) - 1, -1, -1):
+            if up[i] is None:
+                roots.append(i)
+            else:
+                after[i], first[up[i]] = first[up[i]], i
+        total = [0] * len(names)
+        base, bases, lows = 0, [None] * len(ids), {}
+        for n, root in enumerate(reversed(roots)):
+            if n and traces[root] != traces[order[-1]]:
+                base = len(order)
+            at, deep = root, 0
+            while at is not None:
+                order.append(at)
+                depth[at], bases[at] = deep, base
+                if starts[at] is not None:
+                    lows[base] = min(lows.get(base, starts[at]), starts[at])
+                if names:
+                    total = [a + b for a, b in zip(total, values[at], strict=True)]
+                    sums[at] = total
+                if first[at] is not None:
+                    at, deep = first[at], deep + 1
+                    continue
+                while at is not None:  # it ends, and so do those whose last child it is
+                    last[at] = len(order)
+                    if names:
+                        sums[at] = [b - a for a, b in zip(sums[at], total, strict=True)]
+                    if after[at] is not None:
+                        at = after[at]
+                        break
+                    at, deep = up[at], deep - 1
+        out = [
+            [traces[i] for i in order],
+            [ids[i] for i in order],
+            [depth[i] for i in order],
+            [n - bases[i] + 1 for n, i in enumerate(order)],
+            [last[i] - bases[i] for i in order],
+            [None if starts[i] is None else starts[i] - lows[bases[i]] for i in order],
+            *[[sums[i][k] for i in order] for k in range(len(names))],
+        ]
+        return pa.record_batch([pa.array(x, type=f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for name, column in zip(batch.schema.names, batch.columns, strict=True):
+            held.setdefault(name, []).extend(column.to_pylist())
+        cut = len(held["trace_id"])
+        while cut and held["trace_id"][cut - 1] == held["trace_id"][-1]:
+            cut -= 1
+        if cut:
+            yield walk({c: v[:cut] for c, v in held.items()})
+            held = {c: v[cut:] for c, v in held.items()}
+    if held.get("trace_id"):
+        yield walk(held)
+
+
+def _ranked(spans: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
+    """Rows of :func:`_toured` of traces of any size: a list of entering and leaving each span, whose places are found by doubling.
+
+    A span is entered before its first child, and left before its next sibling or its parent is; what
+    each place knows is the spans and numbers from there to its trace's end. Keys are structs, so
+    that nulls are keys.
+    """
+    order, side = ["start_ms", "end_ms", "span_id"], lambda id, out: F.struct(id, F.lit(out).alias("out"))
+    id, up = F.col("span_id"), F.col("parent_id").alias("span_id")
+    keys = ["trace_id", "parent_id"]
+    beside = running(ranged(with_roots(spans), keys, order, scratch), keys, order, {"_next": ("last", F.struct("span_id"))}, backwards=True)
+    own = scratch.keep(beside.drop("_range"), "siblings")
+    firsts = own.where("parent_id IS NOT NULL").groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.min(F.struct(*order))["span_id"].alias("_first"))
+    found = own.join(firsts, ["trace_id", "span_id"], "left")
+    nothing = [F.lit(0).cast(own.schema[c].dataType).alias(c) for c in names]
+    trace = F.struct("trace_id").alias("trace_id")
+    down = F.when(F.col("_first").isNotNull(), side(F.col("_first").alias("span_id"), False)).otherwise(side(id, True))
+    along = F.when(F.col("_next").isNotNull(), side(F.col("_next.span_id").alias("span_id"), False)).when(F.col("parent_id").isNotNull(), side(up, True))
+    one = lambda n: F.lit(n).cast("bigint")
+    entered = found.select(trace, side(id, False).alias("span_id"), down.alias("up"), one(1).alias("_n"), one(1).alias("_deep"), *names)
+    left = own.select(trace, side(id, True).alias("span_id"), along.alias("up"), one(0).alias("_n"), one(-1).alias("_deep"), *nothing)
+    places = _climbed(entered.unionByName(left), scratch, lambda c: F.col(c) + F.col(f"_{c}"))
+    of = lambda c, out: F.max(F.when(F.col("span_id.out") == out, F.col(c)))
+    ends = places.groupBy(F.col("trace_id.trace_id").alias("trace_id"), F.col("span_id.span_id").alias("span_id")).agg(
+        of("_n", False).alias("_from"), of("_n", True).alias("_to"), of("_deep", False).alias("_deep"), *[(of(c, False) - of(c, True)).alias(f"_all_{c}") for c in names]
+    )
+    joined = scratch.keep(ends.join(own.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), "start_ms", *names), F.col("trace_id").eqNullSafe(F.col("_t")) & F.col("span_id").eqNullSafe(F.col("_s"))), "places")
+    traces = joined.groupBy("_t").agg(F.max("_from").alias("_size"), F.min("start_ms").alias("_low"))
+    rows = joined.drop("_t").join(traces, F.col("trace_id").eqNullSafe(F.col("_t")))
+    number = lambda c: c.cast("int")
+    return rows.select(
+        "trace_id", "span_id", number(-F.col("_deep")).alias("depth"), number(F.col("_size") - F.col("_from") + 1).alias("ordinal"), number(F.col("_size") - F.col("_to")).alias("last"),
+        (F.col("start_ms") - F.col("_low")).alias("offset_ms"), *[(F.col(f"_all_{c}") - F.col(c)).alias(c) for c in names],
+    )
+
+
+def _toured(spans: DataFrame, scratch: Scratch, names: list[str] | None = None, most: int = MOST_SPANS) -> DataFrame:
+    """Depth, ordinal, last ordinal beneath, offset, and sums beneath of the columns ``names``, of every span that a root reaches.
+
+    Roots and children stand in order of start, end and id. Traces of ``most`` spans at most are
+    walked whole within tasks, many in each; those of larger ones are dealt out span by span.
+    """
+    names = names or []
+    own = scratch.keep(spans.select("trace_id", "span_id", "parent_id", "start_ms", "end_ms", *names), "spans")
+    large = scratch.keep(own.groupBy(F.col("trace_id").alias("_t")).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_t"), "large")
+    is_large = F.col("trace_id").eqNullSafe(F.col("_t"))
+    any_large = bool(large.head(1))
+    small = own.join(large, is_large, "left_anti") if any_large else own
+    type_of = lambda c: own.schema[c].dataType.simpleString()
+    schema = ", ".join(f"`{n}` {t}" for n, t in {"trace_id": type_of("trace_id"), "span_id": type_of("span_id"), "depth": "int", "ordinal": "int", "last": "int", "offset_ms": type_of("start_ms"), **{c: type_of(c) for c in names}}.items())
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    dealt = small.select("trace_id", "span_id", "parent_id", "start_ms", "end_ms", *names).repartition("trace_id").sortWithinPartitions("trace_id", "start_ms", "end_ms", "span_id").drop("end_ms")
+    walked = dealt.mapInArrow(lambda batches: _walked(batches, names, arrow), schema)
+    return walked.unionByName(_ranked(own.join(large, is_large, "left_semi"), names, scratch)) if any_large else walked
+
+
 def waterfall(spans: DataFrame) -> DataFrame:
     """Depth, ordinal in depth-first order and offset from the trace's start of every span that a root reaches.
 
-    A span's path of (start, end, id) from its root orders the tree. Ids are distinct in a trace
+    Siblings stand in order of start, end and id. Ids are distinct in a trace
     (:func:`distinct_spans`); spans on a cycle have no root and no row, of any depth none is cut.
     """
-    scratch = Scratch(spans.sparkSession, "waterfall")
-    nodes = with_roots(spans).select("trace_id", "span_id", F.col("parent_id").alias("up"), F.array(F.struct("start_ms", "end_ms", "span_id")).alias("path"))
-    out = ranged(_climbed(nodes, scratch, lambda c: F.concat(f"_{c}", c)).drop("up"), ["trace_id"], ["path"], scratch)
-    own = F.element_at("path", -1)["start_ms"]
-    rows = running(numbered(out, ["trace_id"], ["path"], "ordinal"), ["trace_id"], ["path"], {"_from": ("min", own)}, "all")
-    return rows.select("trace_id", "span_id", (F.size("path") - 1).alias("depth"), F.col("ordinal").cast("int").alias("ordinal"), (own - F.col("_from")).alias("offset_ms"))
+    return _toured(spans, Scratch(spans.sparkSession, "waterfall")).select("trace_id", "span_id", "depth", "ordinal", "offset_ms")
 
 
 def self_times(spans: DataFrame) -> DataFrame:
@@ -110,23 +231,9 @@ def critical_paths(spans: DataFrame) -> DataFrame:
 def intervals(spans: DataFrame) -> DataFrame:
     """Interval numbers of the trees: ``trace_id``, ``span_id``, ``ordinal`` and ``last``, the greatest ordinal beneath or at a span.
 
-    Ordinals are those of :func:`waterfall`. A span's interval ends before its next sibling; that
-    of a last child ends with its parent's, which is led up by doubling. Spans on a cycle have no
-    row, ids are distinct in a trace.
+    Ordinals are those of :func:`waterfall`. Spans on a cycle have no row, ids are distinct in a trace.
     """
-    scratch = Scratch(spans.sparkSession, "intervals")
-    parents = with_roots(spans).select("trace_id", "span_id", "parent_id")
-    placed = waterfall(spans).select("trace_id", "span_id", "ordinal").join(parents, ["trace_id", "span_id"])
-    keys = ["trace_id", "parent_id"]
-    beside = running(ranged(placed, keys, ["ordinal"], scratch), keys, ["ordinal"], {"next": ("last", F.col("ordinal"))}, backwards=True)
-    own = scratch.keep(beside.drop("_range"), "siblings")
-    up = F.when(F.col("next").isNull(), F.col("parent_id"))  # null too for the last root: nothing follows it
-    ends = _climbed(own.select("trace_id", "span_id", up.alias("up"), "next"), scratch, lambda c: F.col(f"_{c}"))
-    sizes = own.groupBy("trace_id").agg(F.max("ordinal").alias("_size"))
-    every = scratch.keep(ends.select("trace_id", "span_id", "next"), "ends")
-    open_ = every.where("next IS NULL").join(sizes, "trace_id").select("trace_id", "span_id", F.col("_size").alias("last"))
-    closed = every.where("next IS NOT NULL").select("trace_id", "span_id", (F.col("next") - 1).alias("last"))
-    return own.select("trace_id", "span_id", "ordinal").join(closed.unionByName(open_), ["trace_id", "span_id"])
+    return _toured(spans, Scratch(spans.sparkSession, "intervals")).select("trace_id", "span_id", "ordinal", "last")
 
 
 def subtree_sums(spans: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
@@ -135,12 +242,7 @@ def subtree_sums(spans: DataFrame, values: DataFrame, names: list[str]) -> DataF
     ``values`` has ``trace_id``, ``span_id`` and numbers; spans without a row or a number there count as
     0. Sums are exact for whole numbers and, as differences of doubles, near for others. Traces of any depth.
     """
-    scratch = Scratch(spans.sparkSession, "subtrees")
-    tree = scratch.keep(intervals(spans), "tree")
     each = values.groupBy("trace_id", "span_id").agg(*[F.sum(c).alias(c) for c in names])
-    rows = tree.join(each, ["trace_id", "span_id"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
-    order = ranged(rows, ["trace_id"], ["ordinal"], scratch)
-    summed = scratch.keep(running(order, ["trace_id"], ["ordinal"], {f"_{c}": ("sum", F.col(c)) for c in names}, "upto").drop("_range"), "sums")
-    ends = summed.select("trace_id", F.col("ordinal").alias("last"), *[F.col(f"_{c}").alias(f"_end_{c}") for c in names])
-    joined = summed.join(ends, ["trace_id", "last"])
-    return joined.select("trace_id", "span_id", "ordinal", "last", *[(F.col(f"_end_{c}") - F.col(f"_{c}")).alias(c) for c in names])
+    rows = spans.select("trace_id", "span_id", "parent_id", "start_ms", "end_ms").join(each, ["trace_id", "span_id"], "left")
+    filled = rows.withColumns({c: F.coalesce(c, F.lit(0).cast(each.schema[c].dataType)) for c in names})
+    return _toured(filled, Scratch(spans.sparkSession, "subtrees"), names).select("trace_id", "span_id", "ordinal", "last", *names)

@@ -1,3 +1,4 @@
+import random
 import subprocess
 import sys
 
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import redaction, text
 from lumenlog.operators import traces
+from lumenlog.scratch import Scratch
 
 SPAN = "trace_id string, span_id string, parent_id string, name string, service string, start_ms double, end_ms double, status_code int"
 
@@ -29,6 +31,27 @@ def test_deep_chains_cycles_and_empty_tables(spark):
     assert traces.waterfall(spans(spark, [])).count() == traces.critical_paths(spans(spark, [])).count() == 0
 
 
+def test_traces_walked_in_tasks_and_dealt_out_agree(spark):
+    dice, some = random.Random(5), []
+    for trace in ("a", "b", None, "d"):
+        for i in range(60):
+            parent = None if i == 0 or dice.random() < 0.1 else f"s{dice.randrange(i) if dice.random() < 0.5 else i - 1}"
+            some.append((trace, f"s{i}", parent, float(dice.randrange(8)), float(dice.randrange(8)), dice.randrange(9)))
+    some += [("d", "x", "y", -5.0, 1.0, 1), ("d", "y", "x", -6.0, 1.0, 1), ("d", "z", "x", 0.0, 1.0, 1), ("e", "q", "q", None, 1.0, 2), ("e", "w", "q", 3.0, 1.0, 1)]
+    own = spark.createDataFrame(some, "trace_id string, span_id string, parent_id string, start_ms double, end_ms double, v bigint")
+    walked, dealt, both = (sorted((str(r) for r in traces._toured(own, Scratch(spark, "tour"), ["v"], most).collect())) for most in (1000, 0, 60))
+    assert walked == dealt == both and len(walked) == 242
+
+
+def test_a_waterfall_does_not_gather_paths_in_the_driver(spark):
+    """Ranges of paths were sampled into the driver, whose size grows with the depth of the traces."""
+    chain = spark.range(2000).selectExpr("id div 500 AS trace_id", "CAST(id AS STRING) AS span_id", "CASE WHEN id % 500 > 0 THEN CAST(id - 1 AS STRING) END AS parent_id", "CAST(id % 500 AS DOUBLE) AS start_ms", "500.0D AS end_ms")
+    found = traces.waterfall(chain)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "path" not in plan and "RepartitionByExpression [trace_id" in plan
+    assert {(r.span_id, r.depth, r.ordinal) for r in found.collect()} == {(str(i), i % 500, i % 500 + 1) for i in range(2000)}
+
+
 def test_natural_keys_of_long_numbers(spark):
     names = ["a9" + "0" * 20, "a1" + "0" * 25, "a007", "a7b", "A10", "a"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(text.natural_key(F.col("n"))).collect()
