@@ -87,9 +87,11 @@ def crash_links(events: DataFrame, is_structured: Column, is_crash: Column, wind
 
 def merged_ranges(ranges: DataFrame, key: str, first: str, last: str) -> DataFrame:
     """Unions of overlapping or touching whole-number ranges of each key."""
-    own = ranged(ranges.select(key, first, last), [key], [first, last], Scratch(ranges.sparkSession, "ranges"))
-    seen = running(own, [key], [first, last], {"_before": ("max", F.col(last))}).withColumn("_new", F.when(F.col(first) > F.col("_before") + 1, 1).otherwise(0))
-    island = running(seen, [key], [first, last], {"_island": ("sum", F.col("_new"))}, "upto")
+    # One row a place: of equal rows, which stand in any order, either walk below might take another one as an island's first.
+    longest = ranges.groupBy(key, first).agg(F.max(last).alias(last))
+    own = ranged(longest, [key], [first], Scratch(ranges.sparkSession, "ranges"))
+    seen = running(own, [key], [first], {"_before": ("max", F.col(last))}).withColumn("_new", F.when(F.col(first) > F.col("_before") + 1, 1).otherwise(0))
+    island = running(seen, [key], [first], {"_island": ("sum", F.col("_new"))}, "upto")
     return island.groupBy(key, "_island").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("_island")
 
 

@@ -136,3 +136,18 @@ def test_totals_beneath_agents(spark):
     found = {(r.trace_id, r.span_id): (r.model_calls, r.calls_input_tokens) for r in model_calls.chips(spark.createDataFrame(some, CALL)).collect() if r.kind == "agent"}
     assert found == {("t", "outer"): (102, 107.0), ("t", "inner"): (1, 7.0), ("t", "idle"): (None, None), ("u", "outer"): (None, None), ("t", "x"): (None, None)}
     assert model_calls.chips(spark.createDataFrame([], CALL)).count() == 0
+
+
+def test_islands_of_equal_ranges_begin_once(spark, monkeypatch):
+    """Equal rows stand in any order: what begins an island in one walk may come second in the next one."""
+    ranges = spark.createDataFrame([("k", 1, 2), ("k", 10, 12), ("k", 10, 12), ("k", 10, 20), ("k", 30, 30), (None, 5, 6), (None, 5, 6)], "key string, a long, b long")
+    calls, own = [], scans.running
+
+    def reordered(rows, keys, order, *rest):
+        calls.append(rows.groupBy(*keys, *order).count().agg(F.max("count")).first()[0])
+        return own(rows, keys, order, *rest)
+
+    monkeypatch.setattr(pages, "running", reordered)
+    found = sorted(((r.key or "", r.a, r.b) for r in pages.merged_ranges(ranges, "key", "a", "b").collect()))
+    assert found == [("", 5, 6), ("k", 1, 2), ("k", 10, 20), ("k", 30, 30)]
+    assert calls == [1, 1]
