@@ -12,7 +12,7 @@ from lumenlog.scratch import Scratch
 
 #: Forms of container prefixes and of logfmt pairs.
 COMPOSE = r"^([A-Za-z0-9][\w.-]{0,127}) +\| ?"
-REPLICA = r"[-_](\d{1,4})$"
+REPLICA = r"[-_](\d+)$"  # of any length: numbers of replicas may be ids
 KUBERNETES = r"^\[pod/([^/\]\s]{1,253})/([^\]\s]{1,63})\] ?"
 DOCKER_TIME = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:\d{2})) "
 PAIR = r'([A-Za-z_@][\w.@/-]*)=("(?:[^"\\]|\\.)*"|[^\s"]*)(?=\s|$)'

@@ -87,3 +87,10 @@ def test_tail_counts_repeats_once(spark, tmp_path):
     windows: list = []
     tail.run_available(tail.rolling_volume(stream), f"{tmp_path}/c2", lambda df, _: windows.extend(df.collect()))
     assert {(r.events, r.errors) for r in windows} <= {(60, 6), (80, 8), (81, 8), (1, 0)} and windows
+
+
+def test_replica_numbers_of_any_length(spark):
+    from lumenlog.sources import lines
+
+    rows = spark.createDataFrame([("shop_api_90000  | up",), ("web-12345 | {}",), ("a | b",)], "line string").select(lines.container_prefix(F.col("line")).alias("p")).select("p.service", "p.container", "p.payload").collect()
+    assert [tuple(r) for r in rows] == [("api", "shop_api_90000", "up"), ("web", "web-12345", "{}"), (None, None, "a | b")]
