@@ -35,6 +35,11 @@ ENVELOPE = {
 NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)\s*$"
 
 
+def once(value: Column, of) -> Column:
+    """``of(value)`` with ``value`` computed once a row, also within lambdas, where common expressions are not shared."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def group_of(name: str) -> list[str]:
     """The names that mean the same as ``name``, itself included."""
     return next((g for g in ALIASES if name.lower() in {n.lower() for n in g}), [name])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.functions.fields import level_of
+from lumenlog.functions.fields import level_of, once
 from lumenlog.functions.text import first_line, leading_level, strip_ansi
 from lumenlog.operators.scans import numbered, ranged, running
 from lumenlog.scratch import Scratch
@@ -41,8 +41,8 @@ def container_prefix(line: Column) -> Column:
 
 def _first_of_each(entries: Column, most: int = MOST_FIELDS) -> Column:
     """Map of key and value entries; the first of equal keys wins."""
-    keys = F.transform(entries, lambda e: e["key"])
-    kept = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    first = lambda es, keys: F.filter(es, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    kept = once(entries, lambda es: once(F.transform(es, lambda e: e["key"]), lambda keys: first(es, keys)))
     return F.map_from_entries(F.slice(kept, 1, most))
 
 
@@ -65,18 +65,26 @@ def logfmt(line: Column) -> Column:
 def flattened(json: Column, depth: int = 4) -> Column:
     """Map of a JSON object's primitive fields: own names first, then nested ones by dotted path, then by leaf name."""
     entries = lambda j: F.map_entries(F.from_json(j, "map<string,string>"))
-    level = F.transform(entries(json), lambda e: F.struct(e["key"].alias("key"), e["key"].alias("leaf"), e["value"].alias("value")))
     nested = lambda v: v.startswith("{")
-    found, leaves = [], []
-    for at in range(depth):
+    pair = lambda e, name: F.struct(e[name].alias("key"), e["value"].alias("value"))
+    below = lambda e: F.transform(entries(e["value"]), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["key"].alias("leaf"), c["value"].alias("value")))
+
+    def found(level: Column, at: int) -> Column:
+        """Struct of ``paths`` and ``leaves`` of this level and those beneath it; each object is parsed once."""
         plain = F.filter(level, lambda e: e["value"].isNotNull() & ~nested(e["value"]) & ~e["value"].startswith("["))
-        found.append(F.transform(plain, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-        if at:
-            leaves.append(F.transform(plain, lambda e: F.struct(e["leaf"].alias("key"), e["value"].alias("value"))))
-        if at < depth - 1:
-            inner = F.transform(F.filter(level, lambda e: nested(e["value"])), lambda e: F.transform(entries(e["value"]), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["key"].alias("leaf"), c["value"].alias("value"))))
-            level = F.flatten(inner)
-    return _first_of_each(F.concat(*found, *leaves))
+
+        def both(own: Column, deeper: Column | None) -> Column:
+            here = {name: F.transform(own, lambda e: pair(e, key)) for name, key in (("paths", "key"), ("leaves", "leaf"))}
+            here["leaves"] = here["leaves"] if at else F.slice(here["leaves"], 1, 0)
+            return F.struct(*[(c if deeper is None else F.concat(c, deeper[name])).alias(name) for name, c in here.items()])
+
+        if at == depth - 1:
+            return once(plain, lambda own: both(own, None))
+        inner = F.flatten(F.transform(F.filter(level, lambda e: nested(e["value"])), below))
+        return once(plain, lambda own: once(inner, lambda under: once(found(under, at + 1), lambda deeper: both(own, deeper))))
+
+    top = F.transform(entries(json), lambda e: F.struct(e["key"].alias("key"), e["key"].alias("leaf"), e["value"].alias("value")))
+    return once(once(top, lambda level: found(level, 0)), lambda f: _first_of_each(F.concat(f["paths"], f["leaves"])))
 
 
 def parse(lines: DataFrame, line: str = "line", stream: str = "file") -> DataFrame:

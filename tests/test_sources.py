@@ -94,3 +94,11 @@ def test_replica_numbers_of_any_length(spark):
 
     rows = spark.createDataFrame([("shop_api_90000  | up",), ("web-12345 | {}",), ("a | b",)], "line string").select(lines.container_prefix(F.col("line")).alias("p")).select("p.service", "p.container", "p.payload").collect()
     assert [tuple(r) for r in rows] == [("api", "shop_api_90000", "up"), ("web", "web-12345", "{}"), (None, None, "a | b")]
+
+
+def test_objects_are_parsed_once_a_level(spark):
+    """Common expressions aren't shared within lambdas: each use of a level, and each look at the keys, parsed all of it again."""
+    assert lines.flattened(F.col("line"))._jc.toString().count("from_json") == 4
+    assert lines.logfmt(F.col("line"))._jc.toString().count("regexp_extract_all") == 3  # keys and values, and keys for their number
+    rows = spark.createDataFrame([('{"a":{"b":{"c":{"d":1,"e":{"f":2}},"g":3}},"b":"x","g":null}',)], "line string")
+    assert lines.parse(rows).first().fields == {"b": "x", "a.b.g": "3", "a.b.c.d": "1", "g": "3", "d": "1"}
