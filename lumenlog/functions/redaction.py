@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fields import once
 from .text import REDACTED, redact
 
 #: Words that make a key sensitive, and ends of keys that only share such a word.
@@ -14,7 +15,14 @@ SENSITIVE = r"password|passwd|passphrase|secret|token|api[-_ ]?key|authorization
 HARMLESS_END = r"(?:count|limit|ttl|expires?|duration|(?:input|output|prompt|completion|cached|reasoning|total|max)[-_.]?tokens)"
 #: A key of an assignment in a text: not harmless, with a sensitive word or ``pwd`` as its last part.
 _KEY = rf"(?![\w.-]*{HARMLESS_END}[\"']?\s*[:=])(?:[\w.-]*(?:{SENSITIVE})[\w.-]*|(?:[\w.-]*[-_.])?pwd)"
-_BEFORE = rf"(?i)((?<![\w.-]){_KEY}(?:\\*[\"'])?\s*[:=]\s*)"
+
+
+def _before(opens: str) -> str:
+    """A key and its sign. What follows must begin with ``opens``, which is seen first: other words are passed over without a search for sensitive ones."""
+    ahead = rf"(?=[\w.-]++(?: [\w.-]++)?(?:\\*+[\"'])?\s*+[:=]\s*+{opens})"  # keys of two words have one blank
+    return rf"(?i)((?<![\w.-]){ahead}{_KEY}(?:\\*[\"'])?\s*[:=]\s*)"
+
+
 #: Levels of objects and arrays within each other that a container's end is found through; loops are possessive, so long texts need no stack.
 DEPTH = 12
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
@@ -25,14 +33,14 @@ def _container(depth: int) -> str:
     return rf"[{{\[](?:[^{{}}\[\]\"]++|{_STRING}{deeper})*+[}}\]]"
 
 
-#: Values, and what stands before and after the replacement: in double quotes, in single quotes, in the escaped quotes of a
+#: Values, what they begin with, and what stands before and after the replacement: in double quotes, in single quotes, in the escaped quotes of a
 #: quoted text (as many backslashes, more of them before quotes within it), a container, or bare with its scheme.
 _VALUES = [
-    (r'"(?:[^"\\]++|\\.)*+"?', '"', '"'),
-    (r"'(?:[^'\\]++|\\.)*+'?", "'", "'"),
-    (r'(\\+)"(?:[^\\"]++|\\++(?!")|\2\\++")*+(?:\2")?', '$2"', '$2"'),
-    (_container(DEPTH), "", ""),
-    (r"(?!\\*[\"'{\[])(?:(?:bearer|basic)\s+)?[^\s,;\]}\"']+", "", ""),
+    (r'"(?:[^"\\]++|\\.)*+"?', '"', '"', '"'),
+    (r"'(?:[^'\\]++|\\.)*+'?", "'", "'", "'"),
+    (r'(\\+)"(?:[^\\"]++|\\++(?!")|\2\\++")*+(?:\2")?', r"\\", '$2"', '$2"'),
+    (_container(DEPTH), r"[{\[]", "", ""),
+    (r"(?!\\*[\"'{\[])(?:(?:bearer|basic)\s+)?[^\s,;\]}\"']+", r"[^\s,;\]}\"'{\[]", "", ""),
 ]
 
 
@@ -52,15 +60,16 @@ def redact_assignments(text: Column, replacement: str = REDACTED) -> Column:
     is more than ``DEPTH`` levels deep, everything to the end of the text is replaced.
     """
     out, put = text, replacement.replace("\\", r"\\").replace("$", r"\$")
-    for value, before, after in _VALUES:
-        out = F.regexp_replace(out, _BEFORE + value, "$1" + before + put + after)
-    out = F.regexp_replace(out, rf"(?s){_BEFORE}(?!{re.escape(replacement)})[{{\[].*", "$1" + put)
+    for value, opens, before, after in _VALUES:
+        out = F.regexp_replace(out, _before(opens) + value, "$1" + before + put + after)
+    open_ = rf"(?!{re.escape(replacement)})[{{\[]"
+    out = F.regexp_replace(out, rf"(?s){_before(open_)}{open_}.*", "$1" + put)
     return F.when(text.rlike(rf"(?i)(?:{SENSITIVE}|pwd)"), out).otherwise(text)
 
 
 def redact_text(text: Column, replacement: str = REDACTED) -> Column:
     """Assignments and credentials of known form replaced."""
-    return redact(redact_assignments(text, replacement), replacement)
+    return once(redact_assignments(text, replacement), lambda t: redact(t, replacement))
 
 
 def redact_fields(fields: Column, configured: tuple[str, ...] = (), replacement: str = REDACTED) -> Column:
@@ -73,9 +82,11 @@ def redact_fields(fields: Column, configured: tuple[str, ...] = (), replacement:
         parts = F.split(key, r"\.")
         return F.exists(F.sequence(F.lit(1), F.size(parts)), lambda n: is_sensitive_key(F.array_join(F.slice(parts, F.lit(1), n), "."), configured))
 
-    entries = F.filter(F.map_entries(fields), lambda e: path(e["key"]))
-    twin = lambda k, v: F.exists(entries, lambda e: (e["value"] == v) & ((e["key"] == k) | F.endswith(e["key"], F.concat(F.lit("."), k))))
-    return F.transform_values(fields, lambda k, v: F.when(v.isNull(), v).when(is_sensitive_key(k, configured) | F.coalesce(twin(k, v), F.lit(False)), F.lit(replacement)).otherwise(redact_text(v, replacement)))
+    def redacted(own: Column, entries: Column) -> Column:
+        twin = lambda k, v: F.exists(entries, lambda e: (e["value"] == v) & ((e["key"] == k) | F.endswith(e["key"], F.concat(F.lit("."), k))))
+        return F.transform_values(own, lambda k, v: F.when(v.isNull(), v).when(is_sensitive_key(k, configured) | F.coalesce(twin(k, v), F.lit(False)), F.lit(replacement)).otherwise(redact_text(v, replacement)))
+
+    return once(fields, lambda own: once(F.filter(F.map_entries(own), lambda e: path(e["key"])), lambda entries: redacted(own, entries)))
 
 
 def redact_event(events, text: tuple[str, ...] = ("message", "raw"), fields: str = "fields", configured: tuple[str, ...] = ()):

@@ -1,6 +1,7 @@
 import random
 import subprocess
 import sys
+import time
 
 from pyspark.sql import functions as F
 
@@ -75,6 +76,21 @@ def test_redaction_by_key(spark):
     assert (found.message, found.raw, found.fields) == ("m password=[REDACTED]", None, {"a.token": "[REDACTED]", "token": "[REDACTED]", "b": None, "Card": "[REDACTED]"})
 
 
+def test_words_without_a_value_are_passed_over(spark):
+    """A long word was searched for sensitive words, and each of those for its end, in every pass."""
+    rows = spark.createDataFrame([("token" * 20_000,), ("api key: x",)], "t string").select(redaction.redact_text(F.col("t")).alias("r"))
+    start = time.monotonic()
+    assert [r.r for r in rows.collect()] == ["token" * 20_000, "api key: [REDACTED]"]
+    assert time.monotonic() - start < 15
+
+
+def test_sensitive_fields_are_found_once_a_map(spark):
+    """They were found again for every field of the map."""
+    shown = redaction.redact_fields(F.col("m"))._jc.toString()
+    assert shown.count("map_entries") == 1 and shown.count("transform_values") == 1
+    assert shown.index("map_entries") < shown.index("transform_values")  # an argument of the lambda, not within it
+
+
 def test_the_core_works_without_the_subpackage():
     code = "import sys; sys.modules['tokenizers'] = None; sys.modules['lumenlog.llm'] = None; import __spark_entry__ as e; assert len(e.queries()) > 70 and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
