@@ -62,3 +62,24 @@ def test_broken_documents_are_told(spark, tmp_path):
         ("open", 1, '{"a": 1}', None),
         ("open", 2, '{"b": [2', "the array isn't closed"),
     ]
+
+
+def test_pieces_are_not_kept(spark, tmp_path, monkeypatch):
+    """What is kept between steps is a row an element and split, not a row a piece, and an open array is told across splits."""
+    items = [{"n": i, "v": ["a,b", "\\\"],", list(range(20))]} for i in range(200)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "closed.json").write_text(json.dumps(items))
+    (tmp_path / "in" / "open.json").write_text(json.dumps(items)[:-1])
+    kept, own = [], json_documents.Scratch.keep
+    monkeypatch.setattr(json_documents.Scratch, "keep", lambda self, df, name: kept.append(own(self, df, name)) or kept[-1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = json_documents.read_documents(spark, f"{tmp_path}/in").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name in ("closed", "open"):
+        found = sorted((r for r in rows if r.file.endswith(f"/{name}.json")), key=lambda r: r.element)
+        assert [json.loads(r.text) for r in found] == items
+        assert [r.error for r in found] == [None] * 199 + [None if name == "closed" else "the array isn't closed"]
+    assert sum(t.count() for t in kept) < 3 * len(rows)
