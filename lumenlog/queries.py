@@ -874,12 +874,14 @@ def _bytes(number: Column, n: int) -> Column:
 def _field(number: int, value: Column) -> Column:
     """A protobuf field of up to 16,383 bytes; its length takes two bytes."""
     tag = F.unhex(F.lit(f"{number << 3 | 2:02x}"))
-    whole = lambda v: F.concat(tag, _bytes(F.length(v) % 128 + 128, 1), _bytes(F.floor(F.length(v) / 128), 1), v)
+    size = lambda v: (F.length(v) % 128 + 128) * 256 + F.floor(F.length(v) / 128)
+    whole = lambda v: F.concat(tag, F.unhex(F.hex(size(v))), v)
     return F.get(F.transform(F.array(value), whole), F.lit(0))  # the value is computed once
 
 
 def _eight(number: int, value: Column) -> Column:
-    return F.concat(F.unhex(F.lit(f"{number << 3 | 1:02x}")), _bytes(value, 8))
+    low_first = lambda h: F.concat(F.lit(f"{number << 3 | 1:02x}"), *[F.substring(h, 15 - 2 * k, 2) for k in range(8)])
+    return F.unhex(fields.once(F.lpad(F.hex(value), 16, "0"), low_first))
 
 
 @query("c17_otlp_protobuf", """SELECT lpad(lower(to_hex(o_orderkey + 1)), 32, '0') AS trace_id, lpad(lower(to_hex(o_orderkey + 1)), 16, '0') AS span_id, CAST(NULL AS VARCHAR) AS parent_id, o_orderpriority AS name, CAST(o_orderkey % 6 AS INT) AS kind, 'orders' AS service, 'lib' AS scope,

@@ -118,3 +118,11 @@ def test_enumerations_in_every_spelling(spark):
     rows = spark.createDataFrame([("2",), ("SPAN_KIND_SERVER",), ("server",), (None,), ("2.5",)], "v string")
     assert [r[0] for r in rows.select(otlp.enum_of(F.col("v"), otlp.SPAN_KINDS)).collect()] == [2, 2, None, None, None]
     assert otlp.SEVERITIES[17] == "SEVERITY_NUMBER_ERROR" and otlp.SEVERITIES[24] == "SEVERITY_NUMBER_FATAL4"
+
+
+def test_payloads_are_read_once(spark):
+    """A filter on what is wrong, and columns taken from the text, don't read a payload again."""
+    payloads = spark.createDataFrame([(bytes(TRACES),), (bytes(TRACES[:-1]),)], "body binary")
+    good = otlp_proto.with_json(payloads, "body", "Traces").where("error IS NULL").select("json")
+    assert good._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert good.count() == 1
