@@ -38,13 +38,20 @@ def with_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
     return events.join(listed, "session_id", "left").select(events["*"], F.col("s.label").alias("label"), F.col("s.status").alias("status"))
 
 
+def spans_of_logs(spans: DataFrame, events: DataFrame) -> DataFrame:
+    """The spans of traces that events name, in any case. Taken before spans are sorted, the others cost a scan only."""
+    named = events.select(F.lower(F.nullif(field("traceId"), F.lit(""))).alias("_named")).where("_named IS NOT NULL").distinct()
+    return spans.join(named, F.lower(F.col("trace_id").cast("string")) == F.col("_named"), "left_semi")
+
+
 def trace_logs(events: DataFrame, spans: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     """Logs of traces: ``trace_id, id, span_id, offset_ms, linked, span_omitted``.
 
     An event belongs to the trace that its field names, in any case. The event of a span itself is
     left out where the trace has spans. ``offset_ms`` counts from the trace's first span. ``linked``
     tells whether the log's span was received, ``span_omitted`` whether it is received but not in
-    ``shown`` (``trace_id``, ``span_id``; all spans if missing). Ids of spans are lower case.
+    ``shown`` (``trace_id``, ``span_id``; all spans if missing). Ids of spans are lower case. Spans of other
+    traces don't count, so :func:`spans_of_logs` may leave them out first.
     """
     traces = spans.groupBy(F.lower(F.col("trace_id").cast("string")).alias("trace_id")).agg(F.min("start_ms").alias("_start"))
     keys = lambda rows: rows.select(F.lower(F.col("trace_id").cast("string")).alias("trace_id"), F.lower("span_id").alias("span_id")).distinct()

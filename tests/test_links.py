@@ -129,3 +129,10 @@ def test_volumes_of_nothing_and_of_rows_without_time_or_duration(spark):
     none = events.limit(0)
     assert analytics.volume(none).agg(F.sum("events")).first()[0] == 0
     assert analytics.latency(none).count() == analytics.trend(none, F.col("server_id")).count() == 0
+
+
+def test_spans_of_other_traces_are_left_out(spark):
+    """Spans of traces that no log names don't reach the sort; those named in another case do."""
+    events = spark.createDataFrame([(1, {"traceId": "Ab"}), (2, {"trace_id": ""}), (3, {"k": "cd"})], "id bigint, fields map<string,string>")
+    spans = spark.createDataFrame([("aB", "s1"), ("aB", "s2"), ("cd", "s3"), (None, "s4"), ("", "s5")], "trace_id string, span_id string")
+    assert sorted(r.span_id for r in links.spans_of_logs(spans, events).collect()) == ["s1", "s2"]
